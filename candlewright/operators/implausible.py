@@ -43,7 +43,7 @@ class SpikeRules:
     volume_sparse: float = 3.9
     volume_spike: float = 3.9
     near: int = 7
-    still: float = 0.05
+    still: float = 0.02
     least_run: int = 6
     false_alarm: float = 1e-4
 

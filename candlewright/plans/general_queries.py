@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.operators import rolling
+from candlewright.operators import implausible, rolling
 from candlewright.session import read_table
 
 
@@ -25,6 +25,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.silent_windows(rolling.rolling_bar_totals(read_table(spark, sf_dir, "bars")))
 
 
+def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible.flag_implausible(read_table(spark, sf_dir, "klines"), read_table(spark, sf_dir, "symbols"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_flags(spark, sf_dir).select("ingest_seq")
+
+
 _P1_DAILY = """
 WITH one AS (
   SELECT symbol, pos, loaded_at, max(timestamp) AS ts, max(volume) AS volume, max(close) AS close, max(atr_14) AS atr_14
@@ -66,4 +74,4 @@ SELECT symbol, strftime(day, '%Y-%m-%d') AS day, CAST(window_days AS INTEGER) AS
 FROM rolled WHERE n_active = 0 AND day > a0 AND day < a1""",
 }
 
-QUERIES = {"p1_rolling_totals": p1_rolling_totals, "p1_found": p1_found}
+QUERIES = {"p1_rolling_totals": p1_rolling_totals, "p1_found": p1_found, "p4_found": p4_found, "p4_flags": p4_flags}
