@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, salts: int = 32, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, per_key: DataFrame, key: str | Sequence[str], spread_by: str, salts: int = 32, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``per_key`` (at most one row a key), NULL keys matching.
 
     Should the planner shuffle this join, a key's rows go to ``salts`` places by the hash of
     ``spread_by``; ``per_key`` is repeated that often, which is small beside ``rows``.
     Whether to broadcast is left to the planner, which knows sizes.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_by)), F.lit(salts)).cast("int"))
-    right = per_key.withColumnRenamed(key, "_key").withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt2"]), how)
-    return joined.drop("_salt", "_salt2", "_key")
+    right = per_key.withColumnsRenamed({k: f"_key_{k}" for k in keys}).withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = left["_salt"] == right["_salt2"]
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"_key_{k}"])
+    return left.join(right, same, how).drop("_salt", "_salt2", *[f"_key_{k}" for k in keys])
