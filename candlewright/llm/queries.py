@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm import digest, mixing, packing, runs, sampling
+from candlewright.llm import digest, mixing, packing, residue, runs, sampling
 from candlewright.session import read_table
 
 
@@ -65,6 +65,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1].filter("exhausted").select("source")
 
 
+def p8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_evidence(read_table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_posts(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -78,4 +86,6 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_evidence": p8_evidence,
 }
