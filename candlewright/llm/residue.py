@@ -32,7 +32,7 @@ LETTERS = 28  # a..z, any other letter, anything else
 
 _FILLED = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
 _WORD = re.compile(r"[^\W\d_]{3,}")
-_TAGGED = re.compile(r"<(?:html|noscript|!doctype|body)\b", re.I)
+_TAGGED = re.compile(r"^\s*<(?:html|noscript|!doctype|body)\b", re.I)
 _SPLIT = re.compile(r"(?<=[.!?;])\s+")
 
 
@@ -108,7 +108,7 @@ def look(text: str | None, model: np.ndarray | None) -> tuple[float, list[str],
     The first line is the title; the fingerprint masks digits and fillings of what is outside code.
     """
     units = split_units(text) if text else []
-    families = sorted({k for u in units for k in families_of(u, model)})
+    families = sorted({k for u in units for k in families_of(u, model)} | ({"prompt"} if sum(u in ("...", "…") for u in units) > 1 else set()))
     first, _, rest = (text or "").strip().partition("\n")
     terms = lambda s: sorted({w.lower() for w in _WORD.findall(s) if len(w) > 3})
     print_ = re.sub(r"\d+", "#", _FILLED.sub("□", " ".join(units).lower()))[:400] if len(units) <= 6 else ""

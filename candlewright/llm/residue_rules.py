@@ -74,7 +74,7 @@ FILLER = [
     r"\bwie die seite später aussieht\b",
     r"^(?:(?:lorem|ipsum|dolor\w*|amet|sit|consectetur|adipiscing|elit|magni\w*|porta|integra|vita\w+|nunc\w*|tell\w+|velit\w*|duis\w*|sed\w*|fauc\w+|eget|quis|donec|mauris|vestibulum|aenean)\W+){3,}",
     r"^(?:sample answer|coming soon|to be (?:added|written|done|announced)|tbd|tba|todo)\b(?: ?[-:.]|$)",
-    r"\bthe real text follows\b|\bfor layout purposes\b|\b(?:will be|is) added (?:to this page|here|later|soon)\b|\bthis (?:text|entry|copy) (?:is|will be) (?:replaced|only)\b",
+    r"\bthe real text follows\b|\btext to be (?:supplied|added|written|provided)\b|\bfor layout purposes\b|\b(?:will be|is) added (?:to this page|here|later|soon)\b|\bthis (?:text|entry|copy) (?:is|will be) (?:replaced|only)\b",
     r"\b(?:aquí irá|hier steht bald|ici viendra|ici se trouvera|próximamente|demnächst hier|hier folgt)\b|\bà remplacer par\b",
     r"^(?:asd|qwe|zxc|hjk|sdf|dfg|fgh|jkl|wer|xcv)[a-z]*(?:\W+(?:asd|qwe|zxc|hjk|sdf|dfg|fgh|jkl|wer|xcv)[a-z]*)*\W*$",
 ]
@@ -93,6 +93,7 @@ MACHINE = [
     r"^fatal: ",
     r"^(?:request|incident|reference|ref|trace|ray|event)(?: ?(?:no|id|number|code))?[.:#]? ?[0-9a-f\-]{5,}\.?$",
     r"^(?:error|fault|status) ?(?:code|no|number)[.:]? ?[0-9a-f]{2,}\.?$",
+    r"\[[45]\d\d\]\W*$",
     r"^reason: (?:bad|too|service|forbidden|not|internal|gateway|unknown|time)",
     r"^(?:service unavailable|bad gateway|not found|forbidden|too many requests|internal server error)\b.{0,4}[\[(]?\d{3}",
     r"\bsqlstate\b|\bunhandled exception\b|\buncaught \w*(?:error|exception)\b|\bmissing_translation\b|\b\w+exception at \w+|\bnullreference\b",
@@ -154,21 +155,21 @@ NOTICES = [
 #: Notices that scripts (or cookies) are required.
 _JS = r"(?:java ?script|js|scripts?|script support|scripting|cookies)"
 SCRIPTS = [
-    r"<noscript\b[^>]*>.{3,}",
+    r"<noscript\b[^>]*>.{3,}</noscript>",
     rf"\b{_JS}\b.{{0,30}}\b(?:is|are|must|be|seems?|was|were)\b.{{0,20}}\b(?:disabled|required|off|blocked|not supported|not enabled|needed|allowed|active|enabled|turned off|switched off|missing|unavailable|turned on)\b",
     rf"\b(?:enable|activate|allow|turn on|switch on|activating|enabling|unblock)\b.{{0,15}}\b{_JS}\b",
     rf"\bturn {_JS} on\b",
     rf"\b(?:requires?|needs?|depends? on|relies on|works? only with|not work without|without)\b.{{0,12}}\b{_JS}\b",
     rf"^no {_JS}, no\b",
     rf"^{_JS} (?:is |are )?(?:required|needed|disabled|off|blocked|missing)\b|\bturned off {_JS}\b|\b{_JS} (?:was|were) not detected\b|\bcheck that {_JS} is on\b|^switch it on\b|^turn it on and reload\b",
-    r"\b(?:no admite|ne fonctionne pas sans|funktioniert nicht ohne|no funciona sin|unterstützt keine|ne prend pas en charge)\b.{0,20}\b(?:scripts?|java ?script|cookies)\b",
+    r"\b(?:ohne|sans|sin) (?:java ?script|scripts?|cookies)\b.{0,40}\b(?:nicht|pas|no)\b|\b(?:no admite|ne fonctionne pas sans|funktioniert nicht ohne|no funciona sin|unterstützt keine|ne prend pas en charge)\b.{0,20}\b(?:scripts?|java ?script|cookies)\b",
     rf"\bblocks {_JS}\b|\bdoes not (?:support|run|allow) {_JS}\b",
     r"\b(?:activar|activez|activer|habilit\w+|aktivieren sie|aktiviere|activa|autoriser|permitir)\b.{0,20}\b(?:java ?script|scripts?|cookies)\b|\b(?:java ?script|scripts?|cookies)\b.{0,30}\b(?:aktivier\w*|deaktiviert|erforderlich|desactivad\w+|activad\w+|désactivée?s?|activée?s?|nécessaires?|necesari\w+|requis\w*|benötigt|ausgeschaltet|eingeschaltet)\b",
 ]
 
 #: Signs that a unit speaks about such text instead of being it.
 TALK = (
-    r"\?$|\b(?:i|i'm|i've|my|mine|me|how|which|what|why|where|we|anyone|somebody|someone|says?|said|shows?|showed|leaves|"
+    r"\?$|\b(?:i|i'm|i've|my|mine|me|how|which|what|why|where|anyone|somebody|someone|says?|said|shows?|showed|leaves|"
     r"typing|stores|replace|returns?|instead of|looks like|sounds|means|so wait|called|for example|"
     r"was enough|by design|should we|although|visitors|hitting|handler)\b"
 )
