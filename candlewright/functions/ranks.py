@@ -62,15 +62,15 @@ def top_ranked(rows: DataFrame, keys: Sequence[str], score: str, tie: Sequence[s
 
 
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], cuts: int = CUTS) -> DataFrame:
-    """(keys, quantile, value, n): linearly interpolated quantiles of the known values; groups without any are absent.
+    """(keys, q, value, n): linearly interpolated quantiles of the known values; groups without any are absent.
 
     Only the cuts that hold a wanted rank are ordered.
     """
     placed = _cut(rows.select(*keys, value), keys, value, cuts)
     offsets = _offsets(placed, keys)
-    wanted = offsets.select(*keys, "_cut", "_off", "_k", "_n", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile"))
-    place = F.col("quantile") * (F.col("_n") - 1)
-    ranks = wanted.select(*keys, "_cut", "_off", "_k", "_n", "quantile", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"))
+    wanted = offsets.select(*keys, "_cut", "_off", "_k", "_n", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q"))
+    place = F.col("q") * (F.col("_n") - 1)
+    ranks = wanted.select(*keys, "_cut", "_off", "_k", "_n", "q", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"))
     ranks = ranks.filter((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_k")))
     needed = ranks.select(*keys, "_cut", "_off").distinct()
     ordered = placed.alias("l").join(needed.alias("r"), _same(keys)).select("l.*", "r._off")
@@ -78,10 +78,10 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles:
     same = F.col("l._rank") == F.col("r._rank")
     for k in keys:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    hits = ranks.alias("l").join(numbered.alias("r"), same).select(*[F.col(f"l.{k}") for k in keys], "l.quantile", "l._n", "l._rank", F.col(f"r.{value}").alias("_v"))
+    hits = ranks.alias("l").join(numbered.alias("r"), same).select(*[F.col(f"l.{k}") for k in keys], "l.q", "l._n", "l._rank", F.col(f"r.{value}").alias("_v"))
     lo, hi = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
-    part = F.col("quantile") * (F.first("_n") - 1) - F.floor(F.col("quantile") * (F.first("_n") - 1))
-    return hits.groupBy(*keys, "quantile").agg((lo + (hi - lo) * part).alias("value"), F.first("_n").alias("n"))
+    part = F.col("q") * (F.first("_n") - 1) - F.floor(F.col("q") * (F.first("_n") - 1))
+    return hits.groupBy(*keys, "q").agg((lo + (hi - lo) * part).alias("value"), F.first("_n").alias("n"))
 
 
 def correlation(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
@@ -90,7 +90,7 @@ def correlation(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFra
     ranked = with_average_rank(with_average_rank(both, keys, a, "_ra"), keys, b, "_rb")
 
     def r(x: str, y: str) -> Column:
-        # corr of a constant column is NaN
-        return F.nanvl(F.corr(x, y), F.lit(None).cast("double"))
+        # corr() divides by zero on a constant column
+        return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r(a, b).alias("pearson"), r("_ra", "_rb").alias("spearman"))

@@ -29,7 +29,7 @@ def group_stats(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quartiles(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, n, mean, median, p25, p75) of the known values."""
     q = exact_quantiles(rows, keys, value, [0.25, 0.5, 0.75]).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("quantile") == x, F.col("value"))).alias(n) for x, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
+        *[F.max(F.when(F.col("q") == x, F.col("value"))).alias(n) for x, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
     )
     means = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     return means.join(q, list(keys), "left")

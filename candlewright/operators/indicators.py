@@ -176,7 +176,8 @@ def wide_bars(bars: DataFrame, horizon: int = 24, local_low_window: int = 10, fe
     """
     w = series_window()
     rows = add_cluster(add_indicators(blocked(bars, BACK, max(horizon, 1)), w))
-    if digits is not None:
-        rows = rows.withColumn("ma_dispersion_atr", F.round("ma_dispersion_atr", digits))
     rows = add_outcomes(add_trigger_inputs(rows, w, local_low_window), w, horizon)
-    return own(add_features(rows, w) if features else rows)
+    rows = own(add_features(rows, w) if features else rows)
+    if digits is None:
+        return rows
+    return rows.withColumns({c: F.round(c, digits) for c in ("ma_dispersion_atr", "prev_dispersion")})

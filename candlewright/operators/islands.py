@@ -22,7 +22,7 @@ def freeze_thresholds(bars: DataFrame, train_end: Column, quantiles: Sequence[fl
     train = bars.filter(F.col("pos") < train_end).select(*keys, "ma_dispersion_atr")
     q = exact_quantiles(train, keys, "ma_dispersion_atr", quantiles)
     threshold = F.col("value") if digits is None else F.round("value", digits)
-    return q.select(*keys, "quantile", threshold.alias("threshold"), F.col("n").alias("n_train"))
+    return q.select(*keys, F.col("q").alias("quantile"), threshold.alias("threshold"), F.col("n").alias("n_train"))
 
 
 def with_thresholds(bars: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

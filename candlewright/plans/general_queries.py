@@ -17,7 +17,7 @@ def p1_rolling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("day", "yyyy-MM-dd").alias("day"),
         F.col("window_days").cast("bigint").alias("window_days"),
         "n",
-        *[F.round(c, 6).alias(c) for c in numbers],
+        *[F.round(F.round(c, 9), 6).alias(c) for c in numbers],
     )
 
 
@@ -65,8 +65,8 @@ SQL = {
     "p1_rolling_totals": _P1_DAILY
     + """
 SELECT symbol, strftime(day, '%Y-%m-%d') AS day, CAST(window_days AS BIGINT) AS window_days, CAST(n AS BIGINT) AS n,
-       round(v, 6) AS total_volume, round(v / nullif(nv, 0), 6) AS avg_volume,
-       round(c / nullif(nc, 0), 6) AS avg_close, round(a / nullif(na, 0), 6) AS avg_atr_14
+       CAST(round(CAST(v AS DECIMAL(38,9)), 6) AS DOUBLE) AS total_volume, CAST(round(CAST(v / nullif(nv, 0) AS DECIMAL(38,9)), 6) AS DOUBLE) AS avg_volume,
+       CAST(round(CAST(c / nullif(nc, 0) AS DECIMAL(38,9)), 6) AS DOUBLE) AS avg_close, CAST(round(CAST(a / nullif(na, 0) AS DECIMAL(38,9)), 6) AS DOUBLE) AS avg_atr_14
 FROM rolled""",
     "p1_found": _P1_DAILY
     + """

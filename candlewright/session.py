@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +25,26 @@ def local_session(app: str = "candlewright", cores: int | str = "*", partitions:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="candlewright-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut.
+    """``df`` written once as a table in the shared folder and read back, its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, one machine) a temporary folder takes its place. The files are on shared
-    storage, so a lost executor loses nothing.
+    Columnar, so that later steps read only what they need; on shared storage, so that a lost
+    executor loses nothing.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="candlewright-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/candlewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
