@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,6 @@ def with_p_values(correlations: DataFrame, columns: Sequence[str] = ("pearson",
     p = I(x; (n - 2) / 2, 1 / 2) with x = 1 - r^2, by its continued fraction, vectorised over the few
     result rows; NULL below three rows, 0 for |r| = 1.
     """
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("double")
     def p_value(r: pd.Series, n: pd.Series) -> pd.Series:

@@ -12,9 +12,11 @@ from candlewright.operators import episodes as epi
 from candlewright.operators import evaluate as ev
 from candlewright.operators import indicators as ind
 from candlewright.operators import islands as isl
+from candlewright.operators import model
 from candlewright.operators import outcomes as out
 from candlewright.plans.pipeline import Pipeline
-from candlewright.sources import feed
+from candlewright.session import materialise
+from candlewright.sources import feed, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -350,3 +352,52 @@ def agg_12_edges(p: Pipeline) -> DataFrame:
     both = mean(test, "event").join(mean(p.control, "control"), "k").drop("k")
     edges = both.withColumns({"edge_gross_bp": (F.col("event_gross") - F.col("control_gross")) * 1e4, "edge_net_bp": (F.col("event_net") - F.col("control_net")) * 1e4})
     return rounded(rounded(edges, ["event_gross", "event_net", "control_gross", "control_net"], 6), ["edge_gross_bp", "edge_net_bp"], 3)
+
+
+def _dataset(p: Pipeline) -> DataFrame:
+    """The pooled event dataset of the first quantile with all features."""
+    features = [f for f in ind.FEATURES if f != "compression_duration"]
+    events = p.split(p.labelled(p.events("zone_start").filter(F.col("quantile") == p.s.quantiles[0])))
+    rows = out.at_positions(events, p.featured, features).withColumn("compression_duration", F.col("zone_length").cast("double"))
+    return materialise(rows.filter(out.complete(rows, features)))
+
+
+def _trained(p: Pipeline, rounds: int = 20) -> tuple:
+    rows = _dataset(p)
+    fitted, info = model.train(rows.filter("split = 'train'"), rows.filter("split = 'val'"), ind.FEATURES, rounds=rounds, patience=10, depth=3)
+    return rows, fitted, info
+
+
+@query
+def ml_1_3_scores(p: Pipeline) -> DataFrame:
+    """Predictions for every event outside training, from trees boosted on the training events."""
+    rows, fitted, _ = _trained(p)
+    return model.predict(fitted, rows.filter("split <> 'train'"), ind.FEATURES).select("symbol", "decision_pos", "split", "prediction", "short_utility")
+
+
+@query
+def ml_5_importance(p: Pipeline) -> DataFrame:
+    _, fitted, info = _trained(p)
+    return p.spark.createDataFrame(list(info["importance"].items()), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(10)
+
+
+@query
+def ml_6_evaluation(p: Pipeline) -> DataFrame:
+    rows, fitted, _ = _trained(p)
+    scored = model.predict(fitted, rows.filter("split <> 'train'"), ind.FEATURES)
+    corr, _ = ev.evaluate_score(scored, ["split"], "prediction", ["symbol", "decision_pos"])
+    return ev.with_p_values(corr)
+
+
+@query
+def smp_2_permutation(p: Pipeline) -> DataFrame:
+    rows, fitted, _ = _trained(p)
+    return model.permutation_importance(fitted, rows.filter("split <> 'train'"), ind.FEATURES, ["symbol", "decision_pos"], repeats=3, seed=p.s.seed)
+
+
+@query
+def prj_10_titles(p: Pipeline) -> DataFrame:
+    rows = ev.review_sets(p.scored.filter("split = 'test'"), ["quantile"], "score", ["symbol", "decision_pos"], 10, 10, 10, p.s.seed)
+    named = rows.withColumns({"event_id": F.col("decision_pos"), "prediction": F.col("score"), "episode_age": F.col("episode_age_at_decision")})
+    decision, outcome = sinks.review_titles()
+    return named.select("quantile", "symbol", decision.alias("decision_title"), outcome.alias("outcome_title"))
