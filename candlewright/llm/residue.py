@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.salting import salted_join
 from candlewright.llm.residue_rules import CODE_RE, COMPILED, PLACEHOLDERS, QUOTE_RE, TALK_RE
+from candlewright.session import materialise
 
 #: Evidence of one detector family; a post is residue from 2.0 on.
-WEIGHTS = {"placeholder": 2.0, "prompt": 2.0, "leak": 2.0, "filler": 2.0, "machine": 2.0, "notice": 2.0, "scripts": 2.0, "soft": 1.0, "gibberish": 1.5}
+WEIGHTS = {"placeholder": 2.0, "prompt": 2.0, "leak": 2.0, "filler": 2.0, "machine": 2.0, "notice": 2.0, "scripts": 2.0, "soft": 1.0, "gibberish": 2.0}
 #: Families that hold though the unit speaks in the first person or asks.
 ALWAYS = ("placeholder", "prompt")
 MISMATCH = DUPLICATED = 0.5
@@ -31,6 +32,9 @@ THREADS = 3
 LETTERS = 28  # a..z, any other letter, anything else
 
 _FILLED = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
+#: Families whose every pattern holds one of these characters.
+NEED_MARKS = ("placeholder", "soft")
+_MARKS = re.compile(r"[{<\[%«@|_]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _TAGGED = re.compile(r"^\s*<(?:html|noscript|!doctype|body)\b", re.I)
 _SPLIT = re.compile(r"(?<=[.!?;])\s+")
@@ -96,23 +100,32 @@ def unlikely(unit: str, model: np.ndarray, least: float = -3.9) -> bool:
 def families_of(unit: str, model: np.ndarray | None) -> list[str]:
     """Detector families that a unit belongs to."""
     talk = bool(TALK_RE.search(unit)) and not _TAGGED.search(unit)
-    found = [k for k, tests in COMPILED.items() if (not talk or k in ALWAYS) and any(t.search(unit) for t in tests)]
+    marked = bool(_MARKS.search(unit))
+    found = [
+        k
+        for k, tests in COMPILED.items()
+        if (not talk or k in ALWAYS) and (marked or k not in NEED_MARKS) and any(t.search(unit) for t in tests)
+    ]
     if not found and model is not None and not talk and unlikely(unit, model):
         found.append("gibberish")
     return found
 
 
-def look(text: str | None, model: np.ndarray | None) -> tuple[float, list[str], list[str], list[str], str]:
+def look(text: str | None, model: np.ndarray | None, cache: dict[str, list[str]] | None = None) -> tuple[float, list[str], list[str], list[str], str]:
     """(evidence, families, title terms, body terms, fingerprint) of one text.
 
-    The first line is the title; the fingerprint masks digits and fillings of what is outside code.
+    The first line is the title; the fingerprint masks digits and fillings of what is outside code. Body
+    terms are given where there is evidence. ``cache`` keeps what was found for units seen before.
     """
     units = split_units(text) if text else []
-    families = sorted({k for u in units for k in families_of(u, model)} | ({"prompt"} if sum(u in ("...", "…") for u in units) > 1 else set()))
+    judge = families_of if cache is None else lambda u, m: cache[u] if u in cache else cache.setdefault(u, families_of(u, m))
+    if cache is not None and len(cache) > 100_000:
+        cache.clear()
+    families = sorted({k for u in units for k in judge(u, model)} | ({"prompt"} if sum(u in ("...", "…") for u in units) > 1 else set()))
     first, _, rest = (text or "").strip().partition("\n")
     terms = lambda s: sorted({w.lower() for w in _WORD.findall(s) if len(w) > 3})
     print_ = re.sub(r"\d+", "#", _FILLED.sub("□", " ".join(units).lower()))[:400] if len(units) <= 6 else ""
-    return max((WEIGHTS[k] for k in families), default=0.0), families, terms(first), terms(rest if rest.strip() else first), print_
+    return max((WEIGHTS[k] for k in families), default=0.0), families, terms(first), terms(rest if rest.strip() else first) if families else [], print_
 
 
 def residue_evidence(documents: DataFrame) -> DataFrame:
@@ -124,7 +137,8 @@ def residue_evidence(documents: DataFrame) -> DataFrame:
     NULL and empty texts are no residue. Whole texts are read, of any length; repeated rows are
     judged alike; an empty table gives no rows. Other columns are ignored.
 
-    One pass trains letter pairs, one runs the detectors. Only fingerprints (hashes) of low-information posts
+    One pass trains letter pairs, one runs the detectors, whose slim results are written to the shared
+    folder. Only fingerprints (hashes) of low-information posts
     are counted, with partial sums; posts without detector evidence could not reach the
     score and take no part in the joins.
     """
@@ -133,11 +147,13 @@ def residue_evidence(documents: DataFrame) -> DataFrame:
 
     @F.pandas_udf(out)
     def inspect(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([look(t, model) for t in texts], columns=["evidence", "families", "title", "body", "print"])
+        cache: dict[str, list[str]] = {}
+        return pd.DataFrame([look(t, model, cache) for t in texts], columns=["evidence", "families", "title", "body", "print"])
 
     posts = documents.select(
         "doc_id", F.coalesce("question_id", "doc_id").alias("_thread"), (F.col("question_id") == F.col("doc_id")).alias("_asks"), "source", inspect("text").alias("r")
-    ).select("doc_id", "_thread", "_asks", "source", "r.evidence", "r.families", "r.title", "r.body", F.when(F.col("r.print") != "", F.xxhash64("r.print")).alias("_print"))
+    ).select("doc_id", "_thread", "_asks", "source", "r.evidence", "r.families", F.when(F.col("_asks"), F.col("r.title")).alias("title"), "r.body", F.when(F.col("r.print") != "", F.xxhash64("r.print")).alias("_print"))
+    posts = materialise(posts)  # three readers follow
 
     hosts = posts.filter(F.col("_print").isNotNull()).groupBy("source", "_print").agg(F.approx_count_distinct("_thread", 0.05).alias("_threads"))
     hosts = hosts.filter(F.col("_threads") >= THREADS)
