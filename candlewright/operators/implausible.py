@@ -79,18 +79,30 @@ def with_step(scales: DataFrame, steps: DataFrame | None, key: str = "symbol") -
     return joined.withColumn("_step", F.coalesce(F.col("_given"), nearest).cast("bigint") * 60000).drop("_k", "_given")
 
 
+def _known_median(m: np.ndarray, axis: int) -> np.ndarray:
+    """Medians of the known values along an axis, 0 where there is none."""
+    v = np.sort(m, axis=axis)  # NaN last
+    n = np.isfinite(v).sum(axis=axis, keepdims=True)
+    pick = lambda k: np.take_along_axis(v, np.maximum(k, 0), axis=axis)
+    return np.where(n > 0, (pick((n - 1) // 2) + pick(n // 2)) / 2, 0.0)
+
+
 def low_rank_part(m: np.ndarray, cut: np.ndarray, rank: int, rounds: int) -> np.ndarray:
     """Low-rank parts of a stack of matrices (c, days, slots) with gaps (NaN), by alternating projections.
 
-    Each round takes entries whose residual exceeds ``cut`` (c, 1, 1) as sparse, fills them and the gaps
+    It starts from the slots' and then the days' medians; under eight days it ends there, with days' medians
+    only, and the rank is at most an eighth of the days: a few days cannot tell normal from sparse. Each round takes entries whose residual exceeds ``cut`` (c, 1, 1) as sparse, fills them and the gaps
     from the current low-rank part, and projects on the leading ``rank`` right singular vectors,
     found by subspace iteration that starts from the last round's.
     """
     known = np.isfinite(m)
     c, days, slots = m.shape
-    rank = max(1, min(rank, days - 1, slots))
+    rank = min(rank, days // 8, slots)
     value = np.where(known, m, 0.0)
-    low = np.zeros_like(value)
+    slot = _known_median(m, 1) if rank else np.zeros((c, 1, slots))
+    low = slot + _known_median(np.where(known, m - slot, np.nan), 2)
+    if not rank:
+        return np.broadcast_to(low, m.shape)
     basis = np.cos(np.pi * np.outer(np.arange(slots) + 0.5, np.arange(rank)) / slots)[None].repeat(c, 0)
     basis /= np.sqrt((basis**2).sum(1, keepdims=True))
     for _ in range(rounds):
