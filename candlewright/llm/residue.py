@@ -29,6 +29,7 @@ MISMATCH = DUPLICATED = 0.5
 ENOUGH = 2.0
 #: Threads of a source that must hold the same response for it to count as duplicated.
 THREADS = 3
+PRIOR = 20.0
 LETTERS = 28  # a..z, any other letter, anything else
 
 _FILLED = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
@@ -72,23 +73,30 @@ def letter_pairs(texts: Iterator[str]) -> np.ndarray:
 
 
 def pair_model(documents: DataFrame) -> np.ndarray:
-    """Log-probabilities of the next symbol, trained on all texts; LETTERS ** 2 numbers reach the driver."""
+    """Log-probabilities of the next symbol, trained on all texts; LETTERS ** 2 numbers reach the driver.
+
+    Every text has the same weight (1,000 pairs, fewer if it is shorter), so that no long dump sets the rule; the
+    prior of ``PRIOR`` pairs a cell keeps a small corpus from finding everything unlikely.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(LETTERS * LETTERS, np.int64)
+        total = np.zeros(LETTERS * LETTERS)
         for pdf in batches:
-            total += letter_pairs(CODE_RE.sub(" ", t) for t in pdf["text"] if t)
+            for t in pdf["text"]:
+                if t:
+                    pairs = letter_pairs([CODE_RE.sub(" ", t)])
+                    total += pairs * min(1.0, 1000.0 / max(int(pairs.sum()), 1))
         yield pd.DataFrame({"pair": np.arange(len(total)), "n": total})
 
-    rows = documents.select("text").mapInPandas(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = documents.select("text").mapInPandas(count, "pair int, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(LETTERS * LETTERS)
     for r in rows:
         n[r["pair"]] = r["n"]
-    n = n.reshape(LETTERS, LETTERS) + 0.5
+    n = n.reshape(LETTERS, LETTERS) + PRIOR
     return np.log(n / n.sum(1, keepdims=True))
 
 
-def unlikely(unit: str, model: np.ndarray, least: float = -3.9) -> bool:
+def unlikely(unit: str, model: np.ndarray, least: float = -3.65) -> bool:
     """Are four or more plain words, taken letter by letter, unlike all the corpus's text?"""
     words = _WORD.findall(unit)
     if len(words) < 4 or not re.fullmatch(r"[^\W\d_]+(?:[ .,!?]+[^\W\d_]+)*[ .,!?]*", unit):
