@@ -93,7 +93,7 @@ class Pipeline:
 
     @cached_property
     def anchored(self) -> DataFrame:
-        return materialise(epi.anchored_events(self.episodes, epi.add_triggers(self.streaks)))
+        return epi.anchored_events(self.episodes, epi.add_triggers(self.streaks))
 
     @cached_property
     def labelled_bars(self) -> DataFrame:
@@ -110,7 +110,7 @@ class Pipeline:
     @cached_property
     def scored(self) -> DataFrame:
         """Labelled anchored events with their split and the baseline score, minus dispersion."""
-        return self.split(self.labelled(self.anchored)).withColumn("score", -F.col("ma_dispersion_atr_at_decision"))
+        return materialise(self.split(self.labelled(self.anchored)).withColumn("score", -F.col("ma_dispersion_atr_at_decision")))
 
     @cached_property
     def folds(self) -> DataFrame:

@@ -224,7 +224,7 @@ def wf_4_7_grid(p: Pipeline) -> DataFrame:
 @query
 def wf_8_pool(p: Pipeline) -> DataFrame:
     """Pooled out-of-sample results of the baseline score per (trigger, quantile); a series' fold is one fold."""
-    test = p.fold_events().filter("split = 'test'").select("trigger", "quantile", "symbol", "fold", "decision_pos", *out.LABELS, (-F.col("ma_dispersion_atr")).alias("score"))
+    test = materialise(p.fold_events().filter("split = 'test'").select("trigger", "quantile", "symbol", "fold", "decision_pos", *out.LABELS, (-F.col("ma_dispersion_atr")).alias("score")))
     bars = p.labelled_bars.join(p.folds.select("symbol", "fold", "test_lo", "test_hi"), "symbol").withColumn("symbol", F.concat_ws("#", "symbol", "fold"))
     fold = F.concat_ws("#", "symbol", F.col("fold").cast("string"))
     distinct = test.select(fold.alias("symbol"), "decision_pos").distinct()
