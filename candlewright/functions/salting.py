@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def salted_join(rows: DataFrame, per_key: DataFrame, key: str | Sequence[str], spread_by: str, salts: int = 32, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``per_key`` (at most one row a key), NULL keys matching.
+    """``rows`` with the columns of ``per_key`` (few rows a key), NULL keys matching.
 
     Should the planner shuffle this join, a key's rows go to ``salts`` places by the hash of
     ``spread_by``; ``per_key`` is repeated that often, which is small beside ``rows``.

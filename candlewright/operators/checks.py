@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.blocks import WEEK_MS
 from candlewright.functions.exprs import holds
+from candlewright.functions.salting import salted_join
 from candlewright.sources.feed import PRICES, first_delivery
 
 
 def _steps(rows: DataFrame, steps: DataFrame) -> DataFrame:
     """First deliveries with their series' step and the time since the bar before (``_gap``), found per time bucket."""
-    given = steps.select(F.col("symbol").alias("_s"), (F.col("bar_minutes") * 60_000).cast("bigint").alias("step_ms"))
+    given = steps.select(F.col("symbol"), (F.col("bar_minutes") * 60_000).cast("bigint").alias("step_ms"))
     bars = first_delivery(rows.filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())).withColumn("_b", F.floor(F.col("ts") / WEEK_MS)).repartition("symbol", "_b")
     ends = bars.groupBy("symbol", "_b").agg(F.max("ts").alias("_end"))
     over = Window.partitionBy("symbol").orderBy("_b")
     carry = ends.select("symbol", "_b", F.lag("_end").over(over).alias("_carry"), F.min("_b").over(Window.partitionBy("symbol")).alias("_b0"))
     prev = F.coalesce(F.lag("ts").over(Window.partitionBy("symbol", "_b").orderBy("ts")), F.col("_carry"))
     lagged = bars.join(carry, ["symbol", "_b"]).withColumn("prev_ts", prev)
-    return lagged.join(given, F.col("symbol") == F.col("_s"), "left").drop("_s", "_carry", "_b0", "_b")
+    return salted_join(lagged, given, "symbol", "ts", how="left").drop("_carry", "_b0", "_b")
 
 
 def check_report(feed: DataFrame, steps: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def check_report(feed: DataFrame, steps: DataFrame) -> DataFrame:
     o, h, lo, c = (F.col(x) for x in PRICES)
     bounds = holds(h < lo) | holds(h < o) | holds(h < c) | holds(lo > o) | holds(lo > c) | holds(lo <= 0)
     first = bars.groupBy("symbol").agg(F.min("ts").alias("_first"))
-    phased = bars.join(first, "symbol")
+    phased = salted_join(bars, first, "symbol", "ts")
     report = phased.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows_final"),
         F.count_if(null).alias("null_rows"),

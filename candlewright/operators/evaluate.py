@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.ranks import correlation, exact_quantiles, top_ranked
+from candlewright.functions.salting import salted_join
 from candlewright.operators.outcomes import at_positions
 
 
@@ -128,7 +129,7 @@ def matched_control(
     value = F.col("value") if digits is None else F.round("value", digits)
     cuts = cuts.groupBy("symbol").agg(F.min(value).alias("_t1"), F.max(value).alias("_t2"))
     tercile = F.when(F.col("atr_14") < F.col("_t1"), 0).when(F.col("atr_14") < F.col("_t2"), 1).otherwise(2)
-    pool = pool.join(cuts, "symbol").withColumn("_ter", tercile)
+    pool = salted_join(pool, cuts, "symbol", "pos").withColumn("_ter", tercile)
     both = F.explode(F.array(F.struct(F.col("_period").alias("p"), F.col("_ter").alias("t")), F.struct(F.lit("*").alias("p"), F.lit(-1).alias("t"))))
     tagged = pool.select("symbol", "pos", both.alias("_g")).select("symbol", "pos", F.col("_g.p").alias("_period"), F.col("_g.t").alias("_ter"))
     # numbered along pos in blocks of positions

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from candlewright.functions.blocks import carried
 from candlewright.functions.exprs import holds, ratio
 from candlewright.functions.ranks import exact_quantiles
+from candlewright.functions.salting import salted_join
 
 TRIGGERS = ("zone_start", "dispersion_exit", "price_breakout")
 
@@ -27,11 +28,7 @@ def freeze_thresholds(bars: DataFrame, train_end: Column, quantiles: Sequence[fl
 
 def with_thresholds(bars: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Every bar once for each threshold of its series (``keys``); extra columns of ``thresholds`` come along."""
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"b.{k}") == F.col(f"t.{k}"))
-    extra = [c for c in thresholds.columns if c not in keys]
-    return bars.alias("b").join(thresholds.alias("t"), same).select("b.*", *[f"t.{c}" for c in extra])
+    return salted_join(bars, thresholds, keys, "pos")
 
 
 def add_streaks(rows: DataFrame, keys: Sequence[str] = ("symbol", "quantile")) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.functions.salting import salted_join
 from candlewright.operators import episodes as epi
 from candlewright.operators import evaluate as ev
 from candlewright.operators import indicators as ind
@@ -119,7 +120,7 @@ class Pipeline:
     @cached_property
     def fold_thresholds(self) -> DataFrame:
         """Thresholds frozen on each fold's inner training bars, per series and fold."""
-        bars = self.kept.select("symbol", "pos", "ma_dispersion_atr").join(self.folds.select("symbol", "fold", "inner_val_start"), "symbol")
+        bars = salted_join(self.kept.select("symbol", "pos", "ma_dispersion_atr"), self.folds.select("symbol", "fold", "inner_val_start"), "symbol", "pos")
         return isl.freeze_thresholds(bars, F.col("inner_val_start"), self.s.quantiles, ("symbol", "fold"), self.s.digits)
 
     def fold_events(self, triggers: tuple[str, ...] = isl.TRIGGERS) -> DataFrame:

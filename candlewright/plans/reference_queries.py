@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.functions.salting import salted_join
 from candlewright.operators import checks
 from candlewright.operators import episodes as epi
 from candlewright.operators import evaluate as ev
@@ -225,7 +226,7 @@ def wf_4_7_grid(p: Pipeline) -> DataFrame:
 def wf_8_pool(p: Pipeline) -> DataFrame:
     """Pooled out-of-sample results of the baseline score per (trigger, quantile); a series' fold is one fold."""
     test = materialise(p.fold_events().filter("split = 'test'").select("trigger", "quantile", "symbol", "fold", "decision_pos", *out.LABELS, (-F.col("ma_dispersion_atr")).alias("score")))
-    bars = p.labelled_bars.join(p.folds.select("symbol", "fold", "test_lo", "test_hi"), "symbol").withColumn("symbol", F.concat_ws("#", "symbol", "fold"))
+    bars = salted_join(p.labelled_bars, p.folds.select("symbol", "fold", "test_lo", "test_hi"), "symbol", "pos").withColumn("symbol", F.concat_ws("#", "symbol", "fold"))
     fold = F.concat_ws("#", "symbol", F.col("fold").cast("string"))
     distinct = test.select(fold.alias("symbol"), "decision_pos").distinct()
     control = ev.matched_control(bars, distinct, p.s.horizon, F.col("test_lo") + p.s.gap, F.col("test_hi"), ["gross_return"], draws=p.s.draws, seed=p.s.seed, digits=p.s.digits)
