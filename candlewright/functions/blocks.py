@@ -73,18 +73,20 @@ def carried(rows: DataFrame, keys: Sequence[str], last: dict[str, Column] | None
     at = {n: F.when(F.coalesce(p, F.lit(False)), F.col("pos")) for n, p in {**last, **following}.items()}
     blk = rows.withColumn("_blk", F.floor(F.col("pos") / size).cast("bigint")).repartition(*keys, "_blk")
     summary = blk.groupBy(*keys, "_blk").agg(*[F.max(at[n]).alias(n) for n in last], *[F.min(at[n]).alias(n) for n in following])
-    over = Window.partitionBy(*keys).orderBy("_blk")
+    # what follows is read in falling order: a frame that ends at the last row would be summed anew for each row
+    over, back = Window.partitionBy(*keys).orderBy("_blk"), Window.partitionBy(*keys).orderBy(F.col("_blk").desc())
     carry = summary.select(
         *keys,
         "_blk",
         *[F.max(n).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{n}") for n in last],
-        *[F.min(n).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"_c_{n}") for n in following],
+        *[F.min(n).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{n}") for n in following],
     )
     w = Window.partitionBy(*keys, "_blk").orderBy("pos")
+    rw = Window.partitionBy(*keys, "_blk").orderBy(F.col("pos").desc())
     done = blk.join(carry, [*keys, "_blk"]).withColumns(
         {
             **{n: F.coalesce(F.max(at[n]).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_c_{n}")) for n in last},
-            **{n: F.coalesce(F.min(at[n]).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col(f"_c_{n}")) for n in following},
+            **{n: F.coalesce(F.min(at[n]).over(rw.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"_c_{n}")) for n in following},
         }
     )
     return done.drop("_blk", *[f"_c_{n}" for n in {**last, **following}])
