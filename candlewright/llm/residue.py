@@ -29,6 +29,10 @@ MISMATCH = DUPLICATED = 0.5
 ENOUGH = 2.0
 #: Threads of a source that must hold the same response for it to count as duplicated.
 THREADS = 3
+#: A response that no detector knows is evidence by itself where so many threads of one source hold it, nearly
+#: only there, with so many terms and off nearly every thread's subject. Short answers ('No.', 'Works, thanks!') have fewer terms.
+REPEATED, ONE_HOST, LEAST_TERMS, OFF_TOPIC = 20, 0.9, 6, 0.95
+WEIGHT_REPEATED = 1.0
 PRIOR = 20.0
 LETTERS = 28  # a..z, any other letter, anything else
 
@@ -123,7 +127,7 @@ def look(text: str | None, model: np.ndarray | None, cache: dict[str, list[str]]
     """(evidence, families, title terms, body terms, fingerprint) of one text.
 
     The first line is the title; the fingerprint masks digits and fillings of what is outside code. Body
-    terms are given where there is evidence. ``cache`` keeps what was found for units seen before.
+    terms are those of the rest where there is evidence, else of the whole text. ``cache`` keeps what was found for units seen before.
     """
     units = split_units(text) if text else []
     judge = families_of if cache is None else lambda u, m: cache[u] if u in cache else cache.setdefault(u, families_of(u, m))
@@ -133,7 +137,7 @@ def look(text: str | None, model: np.ndarray | None, cache: dict[str, list[str]]
     first, _, rest = (text or "").strip().partition("\n")
     terms = lambda s: sorted({w.lower() for w in _WORD.findall(s) if len(w) > 3})
     print_ = re.sub(r"\d+", "#", _FILLED.sub("□", " ".join(units).lower()))[:400] if len(units) <= 6 else ""
-    return max((WEIGHTS[k] for k in families), default=0.0), families, terms(first), terms(rest if rest.strip() else first) if families else [], print_
+    return max((WEIGHTS[k] for k in families), default=0.0), families, terms(first), terms((rest if rest.strip() else first) if families else text or ""), print_
 
 
 def residue_evidence(documents: DataFrame) -> DataFrame:
@@ -145,10 +149,14 @@ def residue_evidence(documents: DataFrame) -> DataFrame:
     NULL and empty texts are no residue. Whole texts are read, of any length; repeated rows are
     judged alike; an empty table gives no rows. Other columns are ignored.
 
+    A post that no detector knows has the family ``repeated`` if ``REPEATED`` threads of its source hold its
+    response, others hardly any, and it is off the subject of nearly all of them; being mismatched and
+    duplicated then decides.
+
     One pass trains letter pairs, one runs the detectors, whose slim results are written to the shared
     folder. Only fingerprints (hashes) of low-information posts
-    are counted, with partial sums; posts without detector evidence could not reach the
-    score and take no part in the joins.
+    are counted, with partial sums; of posts without detector evidence only those with such a response take
+    part in the joins.
     """
     model = pair_model(documents)
     out = "struct<evidence:double,families:array<string>,title:array<string>,body:array<string>,print:string>"
@@ -163,15 +171,23 @@ def residue_evidence(documents: DataFrame) -> DataFrame:
     ).select("doc_id", "_thread", "_asks", "source", "r.evidence", "r.families", F.when(F.col("_asks"), F.col("r.title")).alias("title"), "r.body", F.when(F.col("r.print") != "", F.xxhash64("r.print")).alias("_print"))
     posts = materialise(posts)  # three readers follow
 
-    hosts = posts.filter(F.col("_print").isNotNull()).groupBy("source", "_print").agg(F.approx_count_distinct("_thread", 0.05).alias("_threads"))
-    hosts = hosts.filter(F.col("_threads") >= THREADS)
+    counts = posts.filter(F.col("_print").isNotNull()).groupBy("source", "_print").agg(F.approx_count_distinct("_thread", 0.05).alias("_threads"))
+    often = counts.filter(F.col("_threads") >= REPEATED).select("_print").distinct()
+    everywhere = counts.join(often, "_print", "left_semi").groupBy("_print").agg(F.sum("_threads").alias("_all"))
+    hosts = counts.filter(F.col("_threads") >= THREADS)
+    own = hosts.filter(F.col("_threads") >= REPEATED).join(everywhere, "_print").filter(F.col("_threads") >= ONE_HOST * F.col("_all")).drop("_all")
     titles = posts.filter(F.col("_asks")).groupBy("_thread").agg(F.first("title").alias("_title"))
-    seen = posts.filter(F.col("evidence") > 0)
-    seen = salted_join(seen, hosts, ["source", "_print"], "doc_id", how="left")
-    seen = salted_join(seen, titles, "_thread", "doc_id", salts=4, how="left")
     mismatched = F.when(F.col("_title").isNotNull(), ~F.arrays_overlap("body", "_title"))
-    duplicated = F.col("_threads").isNotNull()
-    judged = seen.withColumns({"mismatched": mismatched, "duplicated": duplicated})
+
+    seen = salted_join(posts.filter(F.col("evidence") > 0), hosts, ["source", "_print"], "doc_id", how="left")
+    seen = salted_join(seen, titles, "_thread", "doc_id", salts=4, how="left").withColumn("mismatched", mismatched)
+    plain = posts.filter((F.col("evidence") == 0) & F.col("_print").isNotNull() & (F.size("body") >= LEAST_TERMS))
+    plain = salted_join(plain, own, ["source", "_print"], "doc_id")
+    plain = salted_join(plain, titles, "_thread", "doc_id", salts=4, how="left").withColumn("mismatched", mismatched)
+    plain = materialise(plain.withColumns({"evidence": F.lit(WEIGHT_REPEATED), "families": F.array(F.lit("repeated"))}))  # read twice
+    off = plain.groupBy("source", "_print").agg(F.avg(F.col("mismatched").cast("double")).alias("_off")).filter(F.col("_off") >= OFF_TOPIC).drop("_off")
+    seen = seen.unionByName(salted_join(plain, off, ["source", "_print"], "doc_id"))
+    judged = seen.withColumn("duplicated", F.col("_threads").isNotNull())
     score = F.col("evidence") + F.when(F.col("mismatched"), MISMATCH).otherwise(0.0) + F.when(F.col("duplicated"), DUPLICATED).otherwise(0.0)
     return judged.select("doc_id", "families", "evidence", "mismatched", "duplicated", score.alias("score"), (score >= ENOUGH).alias("residue"))
 

@@ -1,0 +1,26 @@
+"""Repeated responses that no detector knows: off the subject of one source's threads, not short or common answers."""
+
+from candlewright.llm import residue
+
+SCHEMA = "doc_id bigint, text string, source string, question_id bigint"
+SHORT = ["No.", "+1", "Works, thanks!", "See the comment above.", "Same here, no fix yet.", "This saved my weekend."]
+UNKNOWN = "The night gardener has locked gate {n}, so kindly stroll around until morning arrives."
+ON_TOPIC = "Brake squeals vanish after somebody cleans brake dust with alcohol."
+COMMON = "Many greetings from everybody else around, hopefully sunshine follows tomorrow."
+
+
+def test_repeated_response_of_one_source_decides(spark):
+    n = 30
+    rows = [(i, f"Brake squeals number {i}", "s", i) for i in range(n)] + [(1000 + i, f"Chain rattles number {i}", "t", 1000 + i) for i in range(n)]
+    rows += [(2000 + i, UNKNOWN.format(n=i), "s", i) for i in range(n)]
+    rows += [(3000 + i, ON_TOPIC, "s", i) for i in range(n)]
+    rows += [(4000 + 1000 * t + i, COMMON, s, 1000 * t + i) for t, s in enumerate(["s", "t"]) for i in range(n)]
+    rows += [(10_000 + 100 * k + i, text, "s", i) for k, text in enumerate(SHORT) for i in range(n)]
+    # the same unknown response in few threads
+    rows += [(20_000 + i, "Our lantern keeper dozes while owls guard every shelf.", "t", 1000 + i) for i in range(5)]
+    rows += [(30_000, UNKNOWN.format(n=1), "s", 99_999)]  # its thread's question is missing
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r[0] for r in residue.residue_posts(df).collect()) == [2000 + i for i in range(n)]
+    got = residue.residue_evidence(df).toPandas().set_index("doc_id")
+    assert list(got.loc[2000, "families"]) == ["repeated"] and got.loc[2000, "score"] == residue.ENOUGH
+    assert not got.loc[30_000, "residue"] and len(got) == n + 1
