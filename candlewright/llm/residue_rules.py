@@ -167,12 +167,26 @@ SCRIPTS = [
     r"\b(?:activar|activez|activer|habilit\w+|aktivieren sie|aktiviere|activa|autoriser|permitir)\b.{0,20}\b(?:java ?script|scripts?|cookies)\b|\b(?:java ?script|scripts?|cookies)\b.{0,30}\b(?:aktivier\w*|deaktiviert|erforderlich|desactivad\w+|activad\w+|désactivée?s?|activée?s?|nécessaires?|necesari\w+|requis\w*|benötigt|ausgeschaltet|eingeschaltet)\b",
 ]
 
-#: Signs that a unit speaks about such text instead of being it.
-TALK = (
-    r"\?$|\b(?:i|i'm|i've|my|mine|me|how|which|what|why|where|anyone|somebody|someone|says?|said|shows?|showed|leaves|"
-    r"typing|stores|replace|returns?|instead of|looks like|sounds|means|so wait|called|for example|"
-    r"was enough|by design|should we|although|visitors|hitting|handler)\b"
-)
+#: Signs that a unit speaks about such text instead of being it, by how the sentence is built and not by single words:
+#: a notice may hold what, which, where, how, returns or shows.
+_SAYS = r"(?:says?|said|tells?|told|claims?|claimed|complains?|complained|reports?|reported|shows?|showed|answers|answered)"
+_PUTS = r"(?:leaves?|left|prints?|printed|shows?|showed|displays?|displayed|renders?|rendered|says?|said|reads|inserts?|inserted|writes?|wrote|sends?|sent|contains?|keeps?|kept)"
+TALK = [
+    r"\?\W*$",  # a question
+    # the writer is the subject, or what it is about is the writer's
+    r"(?<![\w.])i(?:'m|'ve|'d|'ll|’m|’ve|’d|’ll)?(?![\w.'’])",
+    r"\bmy (?!(?:account|profile|dashboard|page|posts|questions|answers|settings)\b)\w+|^mine\b",
+    r"\b(?:tells?|told|gives?|gave|shows?|showed|asks?|asked|lets?) me\b|\bfor me\W*$",
+    # a question's opening without its mark; 'what you were looking for' opens no question
+    r"^(?:(?:and|but|so|hi|hello|also|ok),? )?(?:how|why|what|where|which|when|who)(?: (?!you\b|we\b|this\b|the\b)\w+)? (?:do|does|did|is|are|was|were|can|could|should|would|will|has|have|to)\b",
+    r"^(?:(?:does|has|did|can|could|is there) )?(?:any(?:one|body)\b(?: else| here)? (?:knows?|has|have|had|sees?|seen|gets?|got|tried|explain)|some(?:one|body)\b(?: else| here)? (?:knows?|explain))\b",
+    # what somebody or something says
+    rf"\b(?:it|he|she|they|browser|reader|client|editor|app|tool|console|log|screen|proxy|server|visitors?|users?|people|everyone|colleagues?) (?:just |only |now |always |then |still )?{_SAYS}\b",
+    # a quotation (masked) that something says or that is called a text; 'the page ⟦⟧ could not be found' is a notice
+    rf"\b(?:{_SAYS}|messages?|texts?|notices?|banners?|sentences?|lines?|words?|labels?|called|like)\b\W*⟦⟧|⟦⟧ means\b",
+    # a bare field name that something puts into a text
+    rf"^\w+(?: \w+){{0,4}} {_PUTS} (?:the |a |an |me |us |only )?[\[<][\w ]+[\]>](?! *[.!,]? *$)",
+]
 
 FAMILIES = {
     "placeholder": PLACEHOLDERS,
@@ -191,6 +205,6 @@ def joined(patterns: list[str]) -> str:
 
 
 COMPILED = {k: [re.compile(p, re.I) for p in v] for k, v in FAMILIES.items()}
-TALK_RE = re.compile(TALK, re.I)
+TALK_RE = re.compile(joined(TALK), re.I)
 CODE_RE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]+`", re.S | re.I)
 QUOTE_RE = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”")

@@ -1,0 +1,51 @@
+"""Notices that hold question words or verbs of saying are residue; sentences about notices are not."""
+
+import pytest
+
+from candlewright.llm import residue
+
+NOTICES = [
+    "We could not find what you were looking for.",
+    "The page which you requested could not be found.",
+    "What you requested: this page does not exist.",
+    "The page where this answer was has been removed.",
+    "The server did not respond, which is why this page cannot be displayed.",
+    "Learn how in our help pages.",
+    "Here is how to enable JavaScript in your browser.",
+    "Someone has moved it: the page is no longer available.",
+    "The page \"greenhouse\" could not be found.",
+    "Access denied. Sign in to My account.",
+    "Although you are signed in, this page is temporarily unavailable.",
+    "It looks like JavaScript is disabled in your browser.",
+    "This page is temporarily unavailable by design.",
+]
+TALK = [
+    "I could not find the page with the diagram.",
+    "My page cannot be displayed since the move.",
+    "Why is the page temporarily unavailable?",
+    "How do I enable JavaScript for one site",
+    "What does it mean when the page cannot be displayed",
+    "Anyone know why the page is temporarily unavailable",
+    "The browser says the page cannot be displayed.",
+    "It told me that the page does not exist.",
+    "Visitors without scripts get the message \"Please enable JavaScript\" from the app.",
+    "My reader shows \"JavaScript is disabled\" although it is on.",
+    "The page cannot be displayed for me.",
+    "Mail merge leaves [First Name] in every letter.",
+    "The tool prints <user name> in each line.",
+]
+
+
+@pytest.mark.parametrize("text", NOTICES)
+def test_notice(text):
+    assert residue.look(text, None)[0] >= residue.ENOUGH, residue.split_units(text)
+
+
+@pytest.mark.parametrize("text", TALK)
+def test_talk(text):
+    assert residue.look(text, None)[:2] == (0.0, [])
+
+
+@pytest.mark.parametrize("text", ["Thanks [first_name]", "Hello <user name>, welcome.", "Regards from [company name]"])
+def test_bare_field_names_stay_soft(text):
+    assert residue.look(text, None)[1] == ["soft"]
