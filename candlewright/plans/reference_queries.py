@@ -322,6 +322,13 @@ def sort_3_review_sets(p: Pipeline) -> DataFrame:
     return rows.select("quantile", "review_set", "place", "symbol", "decision_pos")
 
 
+@query
+def sort_3_published_sets(p: Pipeline) -> DataFrame:
+    """``sort_3_review_sets`` at the published 50 rows a set."""
+    rows = ev.review_sets(p.scored.filter("split = 'test'"), ["quantile"], "score", ["symbol", "decision_pos"], seed=p.s.seed)
+    return rows.select("quantile", "review_set", "place", "symbol", "decision_pos")
+
+
 @query
 def sort_7_context(p: Pipeline) -> DataFrame:
     rows = ev.context_bars(p.scored.filter("split = 'test' AND quantile = 0.3"), p.bars, 119, p.s.horizon)
@@ -363,9 +370,10 @@ def _dataset(p: Pipeline) -> DataFrame:
     return materialise(rows.filter(out.complete(rows, features)))
 
 
-def _trained(p: Pipeline, rounds: int = 20) -> tuple:
+def _trained(p: Pipeline) -> tuple:
+    """Dataset, model and its info, with the published settings (300 rounds, patience 50, depth 5)."""
     rows = _dataset(p)
-    fitted, info = model.train(rows.filter("split = 'train'"), rows.filter("split = 'val'"), ind.FEATURES, rounds=rounds, patience=10, depth=3)
+    fitted, info = model.train(rows.filter("split = 'train'"), rows.filter("split = 'val'"), ind.FEATURES, seed=p.s.seed)
     return rows, fitted, info
 
 
@@ -393,12 +401,12 @@ def ml_6_evaluation(p: Pipeline) -> DataFrame:
 @query
 def smp_2_permutation(p: Pipeline) -> DataFrame:
     rows, fitted, _ = _trained(p)
-    return model.permutation_importance(fitted, rows.filter("split <> 'train'"), ind.FEATURES, ["symbol", "decision_pos"], repeats=3, seed=p.s.seed)
+    return model.permutation_importance(fitted, rows.filter("split <> 'train'"), ind.FEATURES, ["symbol", "decision_pos"], seed=p.s.seed)
 
 
 @query
 def prj_10_titles(p: Pipeline) -> DataFrame:
-    rows = ev.review_sets(p.scored.filter("split = 'test'"), ["quantile"], "score", ["symbol", "decision_pos"], 10, 10, 10, p.s.seed)
+    rows = ev.review_sets(p.scored.filter("split = 'test'"), ["quantile"], "score", ["symbol", "decision_pos"], seed=p.s.seed)
     named = rows.withColumns({"event_id": F.col("decision_pos"), "prediction": F.col("score"), "episode_age": F.col("episode_age_at_decision")})
     decision, outcome = sinks.review_titles()
     return named.select("quantile", "symbol", decision.alias("decision_title"), outcome.alias("outcome_title"))
