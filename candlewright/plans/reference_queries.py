@@ -223,9 +223,13 @@ def wf_4_7_grid(p: Pipeline) -> DataFrame:
 
 
 @query
-def wf_8_pool(p: Pipeline) -> DataFrame:
-    """Pooled out-of-sample results of the baseline score per (trigger, quantile); a series' fold is one fold."""
-    test = materialise(p.fold_events().filter("split = 'test'").select("trigger", "quantile", "symbol", "fold", "decision_pos", *out.LABELS, (-F.col("ma_dispersion_atr")).alias("score")))
+def wf_5_grid(p: Pipeline) -> DataFrame:
+    """``wf_4_7_grid`` over events with all features known."""
+    return p.fold_gate.withColumn("fold", F.col("fold").cast("bigint"))
+
+
+def _pool(p: Pipeline, events: DataFrame) -> DataFrame:
+    test = materialise(events.filter("split = 'test'").select("trigger", "quantile", "symbol", "fold", "decision_pos", *out.LABELS, (-F.col("ma_dispersion_atr")).alias("score")))
     bars = salted_join(p.labelled_bars, p.folds.select("symbol", "fold", "test_lo", "test_hi"), "symbol", "pos").withColumn("symbol", F.concat_ws("#", "symbol", "fold"))
     fold = F.concat_ws("#", "symbol", F.col("fold").cast("string"))
     distinct = test.select(fold.alias("symbol"), "decision_pos").distinct()
@@ -237,6 +241,19 @@ def wf_8_pool(p: Pipeline) -> DataFrame:
     return rounded(rounded(pooled, returns, 6), ["edge_all_vs_control_bp", "edge_top10_vs_control_bp"], 3)
 
 
+@query
+def wf_8_pool(p: Pipeline) -> DataFrame:
+    """Pooled out-of-sample results of the baseline score per (trigger, quantile); a series' fold is one fold."""
+    return _pool(p, p.fold_events())
+
+
+@query
+def wf_8_gated_pool(p: Pipeline) -> DataFrame:
+    """``wf_8_pool`` over events with all features known, without the cells that fail the gate."""
+    passed = p.fold_gate.filter("passes_gate").select("trigger", "quantile", "symbol", "fold")
+    return _pool(p, p.fold_dataset.join(passed, ["trigger", "quantile", "symbol", "fold"], "left_semi"))
+
+
 @query
 def agg_1_group_stats(p: Pipeline) -> DataFrame:
     stats = ev.group_stats(p.scored, ["quantile", "split"])

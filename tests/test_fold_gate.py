@@ -1,0 +1,35 @@
+"""Folds: events with an unknown feature are dropped before the gate, and cells that fail it are not pooled."""
+
+from candlewright.operators import indicators as ind
+from candlewright.plans import reference_queries as rq
+from candlewright.plans.pipeline import Pipeline
+from candlewright.session import materialise
+from candlewright.sources import feed
+
+
+def test_features_and_gate(spark, make_walk, monkeypatch):
+    p = Pipeline(spark, "")
+    klines = spark.createDataFrame(make_walk(6000, symbol="A")).unionByName(spark.createDataFrame(make_walk(500, seed=8, symbol="B")))
+    p.__dict__["bars"] = materialise(feed.bars_of_feed(klines))
+    all_events = materialise(p.fold_events())
+    monkeypatch.setattr(p, "fold_events", lambda: all_events)
+    monkeypatch.setattr(rq, "Pipeline", lambda *_: p)
+    cell = ["trigger", "quantile", "symbol", "fold"]
+
+    kept = p.fold_dataset.toPandas()
+    every = all_events.toPandas()
+    assert every.decision_pos.min() < 139 <= kept.decision_pos.min()
+    assert not kept[ind.FEATURES].isna().any().any() and set(ind.FEATURES) <= set(kept)
+    assert len(kept) == (every.decision_pos >= 139).sum()
+
+    sizes = kept.groupby([*cell, "split"]).size().unstack(fill_value=0)
+    want = {k: (r.train, r.val, r.test, r.train >= 40 and r.val >= 10 and r.test >= 10) for k, r in sizes.iterrows()}
+    got = rq.QUERIES["wf_5_grid"](spark, "").toPandas()
+    assert {(r.trigger, r["quantile"], r.symbol, r.fold): (r.n_train, r.n_val, r.n_test, r.passes_gate) for _, r in got.iterrows()} == want
+    assert 0 < got.passes_gate.sum() < len(got)
+
+    passed = got[got.passes_gate].groupby(["trigger", "quantile"])
+    pooled = rq.QUERIES["wf_8_gated_pool"](spark, "").toPandas().set_index(["trigger", "quantile"])
+    assert pooled.n_folds_used.to_dict() == passed.size().to_dict()
+    assert pooled.n_oos_events.to_dict() == passed.n_test.sum().to_dict()
+    assert pooled.control_mean_gross_return.notna().all()
