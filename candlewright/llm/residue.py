@@ -9,6 +9,7 @@ low-information response, digits and fillings aside, stands in several of its th
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -126,7 +127,7 @@ def families_of(unit: str, model: np.ndarray | None) -> list[str]:
 def look(text: str | None, model: np.ndarray | None, cache: dict[str, list[str]] | None = None) -> tuple[float, list[str], list[str], list[str], str]:
     """(evidence, families, title terms, body terms, fingerprint) of one text.
 
-    The first line is the title; the fingerprint masks digits and fillings of what is outside code. Body
+    The first line is the title; the fingerprint is a hash of all that is outside code, digits and fillings masked. Body
     terms are those of the rest where there is evidence, else of the whole text. ``cache`` keeps what was found for units seen before.
     """
     units = split_units(text) if text else []
@@ -136,7 +137,10 @@ def look(text: str | None, model: np.ndarray | None, cache: dict[str, list[str]]
     families = sorted({k for u in units for k in judge(u, model)} | ({"prompt"} if sum(u in ("...", "…") for u in units) > 1 else set()))
     first, _, rest = (text or "").strip().partition("\n")
     terms = lambda s: sorted({w.lower() for w in _WORD.findall(s) if len(w) > 3})
-    print_ = re.sub(r"\d+", "#", _FILLED.sub("□", " ".join(units).lower()))[:400] if len(units) <= 6 else ""
+    print_ = " ".join(units).lower()
+    print_ = re.sub(r"\d+", "#", _FILLED.sub("□", print_) if _MARKS.search(print_) else print_)
+    if print_:
+        print_ = hashlib.blake2b(print_.encode("utf-8", "replace"), digest_size=16).hexdigest()
     return max((WEIGHTS[k] for k in families), default=0.0), families, terms(first), terms((rest if rest.strip() else first) if families else text or ""), print_
 
 
@@ -154,8 +158,7 @@ def residue_evidence(documents: DataFrame) -> DataFrame:
     duplicated then decides.
 
     One pass trains letter pairs, one runs the detectors, whose slim results are written to the shared
-    folder. Only fingerprints (hashes) of low-information posts
-    are counted, with partial sums; of posts without detector evidence only those with such a response take
+    folder. Only fingerprints (hashes) are counted, with partial sums; of posts without detector evidence only those with such a response take
     part in the joins.
     """
     model = pair_model(documents)

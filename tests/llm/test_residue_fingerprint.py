@@ -1,0 +1,21 @@
+"""Fingerprints cover whole texts of any length."""
+
+from candlewright.llm import residue
+
+SCHEMA = "doc_id bigint, text string, source string, question_id bigint"
+LONG = " ".join(f"Gentle {w} wander beyond quiet meadows." for w in ("herons", "otters", "badgers", "swallows", "foxes", "beetles", "lizards", "kestrels"))
+
+
+def test_whole_text_is_compared():
+    same = [residue.look(t, None)[4] for t in (LONG + " Number 1.", LONG + " Number 22.")]
+    assert same[0] == same[1] != ""
+    opening = "Thanks [first_name], " + "gentle herons wander beyond quiet meadows and " * 12
+    assert residue.look(opening + "sleep.", None)[4] != residue.look(opening + "sing.", None)[4]
+    assert residue.look("", None)[4] == "" == residue.look(None, None)[4]
+
+
+def test_soft_placeholder_in_a_long_template(spark):
+    rows = [(i, f"Brake squeals number {i}", "s", i) for i in range(5)]
+    rows += [(10 + i, f"Thanks [first_name]. {LONG}", "s", i) for i in range(4)]
+    got = residue.residue_evidence(spark.createDataFrame(rows, SCHEMA)).toPandas().set_index("doc_id")
+    assert got.residue.to_dict() == {10: True, 11: True, 12: True, 13: True} and got["duplicated"].all()
