@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,6 +189,18 @@ def spl_2_counts(p: Pipeline) -> DataFrame:
     return rows.groupBy("symbol", "quantile", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+def published(p: Pipeline) -> Pipeline:
+    """The pipeline at the published horizon (24 bars) and embargo (164: features reach back 139 bars)."""
+    return Pipeline(p.spark, p.sf_dir, replace(p.s, horizon=24, gap=out.embargo(120, 24, 139)))
+
+
+@query
+def spl_2_published_counts(p: Pipeline) -> DataFrame:
+    """``spl_2_counts`` at the published horizon and embargo; short series have no event left in some splits."""
+    p = published(p)
+    return p.split(p.labelled(p.events("zone_start"))).groupBy("symbol", "quantile", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def spl_3_dataset(p: Pipeline) -> DataFrame:
     features = [f for f in ind.FEATURES if f != "compression_duration"]
