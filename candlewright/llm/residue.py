@@ -1,10 +1,10 @@
 """Residue instead of content: unfilled placeholders, form prompts, leaked values, filler, error pages and script notices.
 
-Three kinds of evidence are combined for each post. Detectors look at each unit of the text (see
-``residue_rules``), after code, quotations and quoted lines are masked, and pass over units that speak
-about residue. Terms of the post are compared with those of its address (the thread, whose
-question's first line stands for slug and title). And the host (``source``) tells whether the same
-low-information response, digits and fillings aside, stands in several of its threads.
+A post's address is its thread, whose question's first line stands for slug and title. Each unit (a line's sentence) of a
+text is judged by its syntax and vocabulary (``residue_rules``), after code, quotations and quoted lines are masked. That
+is a suspicion only; template syntax apart, other evidence decides: whether the unit's terms are those
+of the title and of the rest of the body, whether the host (``source``) gives the same response in several threads, and whether
+the post says anything besides.
 """
 
 from __future__ import annotations
@@ -15,73 +15,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.functions.salting import salted_join
-from candlewright.llm.residue_rules import CODE_RE, COMPILED, PLACEHOLDERS, QUOTE_RE, TALK_RE
+from candlewright.llm.residue_rules import CODE_RE, LETTERS, MANNER, TEMPLATE, TEMPLATE_RE, WEAK, Judge, letter_pairs, split_units
 from candlewright.session import materialise
 
-#: Evidence of one detector family; a post is residue from 2.0 on.
-WEIGHTS = {"placeholder": 2.0, "prompt": 2.0, "leak": 2.0, "filler": 2.0, "machine": 2.0, "notice": 2.0, "scripts": 2.0, "soft": 1.0, "gibberish": 2.0}
-#: Families that hold though the unit speaks in the first person or asks.
-ALWAYS = ("placeholder", "prompt")
-MISMATCH = DUPLICATED = 0.5
+#: A post is residue from this score on.
 ENOUGH = 2.0
-#: Threads of a source that must hold the same response for it to count as duplicated.
+#: Each piece of evidence beside a unit's own weight; terms shared with title and body count against it, and where
+#: there is nothing to compare half the weight stands. A suspicious unit alone in its post is not enough.
+MISMATCH = DUPLICATED = 0.5
+BARE = 0.25
+#: Threads of a source that must hold the same unit, digits and fillings aside, for it to count as duplicated.
 THREADS = 3
-#: A response that no detector knows is evidence by itself where so many threads of one source hold it, nearly
-#: only there, with so many terms and off nearly every thread's subject. Short answers ('No.', 'Works, thanks!') have fewer terms.
+#: A weakly suspicious unit of fewer terms cannot be told from a short answer that is often given; nor is less a body.
+LEAST_UNIT_TERMS = 4
+#: A response that nothing in its wording makes suspicious: so many threads of one source hold it, nearly
+#: only there, with so many terms and off nearly every thread's subject.
 REPEATED, ONE_HOST, LEAST_TERMS, OFF_TOPIC = 20, 0.9, 6, 0.95
-WEIGHT_REPEATED = 1.0
 PRIOR = 20.0
-LETTERS = 28  # a..z, any other letter, anything else
-
-_FILLED = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
-#: Families whose every pattern holds one of these characters.
-NEED_MARKS = ("placeholder", "soft")
-_MARKS = re.compile(r"[{<\[%«@|_]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
-_TAGGED = re.compile(r"^\s*<(?:html|noscript|!doctype|body)\b", re.I)
-_SPLIT = re.compile(r"(?<=[.!?;])\s+")
-
-
-def split_units(text: str) -> list[str]:
-    """Lines' sentences outside code, quotations and quoted lines; machine output and mark-up lines stay whole."""
-    text = CODE_RE.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n"))
-    units = []
-    for line in text.split("\n"):
-        line = line.strip()
-        if not line or line[0] == ">":
-            continue
-        if line[0] == "{" and line[-1] == "}" or _TAGGED.search(line):
-            units.append(line)
-            continue
-        line = QUOTE_RE.sub(" ⟦⟧ ", line).strip()
-        units += [u for u in _SPLIT.split(line) if u]
-    return units
-
-
-def letter_pairs(texts: Iterator[str]) -> np.ndarray:
-    """Counts of adjacent symbols (LETTERS x LETTERS, flat) over lower-cased texts."""
-    table = np.full(65536, 26, np.uint8)
-    table[:128] = 27
-    table[ord("a") : ord("z") + 1] = np.arange(26)
-    table[128:192] = 27
-    total = np.zeros(LETTERS * LETTERS, np.int64)
-    for text in texts:
-        codes = np.frombuffer(text.lower().encode("utf-16-le", "replace"), np.uint16)
-        if len(codes) > 1:
-            s = table[codes].astype(np.int64)
-            total += np.bincount(s[:-1] * LETTERS + s[1:], minlength=LETTERS * LETTERS)
-    return total
+
+_DIGITS = re.compile(r"\d+")
+_UNIT = "struct<kind:string,weight:double,terms:array<int>,print:int,alone:boolean>"
+_POST = f"struct<units:array<{_UNIT}>,title:array<int>,prose:array<int>,print:bigint>"
 
 
 def pair_model(documents: DataFrame) -> np.ndarray:
-    """Log-probabilities of the next symbol, trained on all texts; LETTERS ** 2 numbers reach the driver.
+    """Log-probabilities of the next letter, given the one before and not: (2, LETTERS, LETTERS), from all texts.
 
     Every text has the same weight (1,000 pairs, fewer if it is shorter), so that no long dump sets the rule; the
-    prior of ``PRIOR`` pairs a cell keeps a small corpus from finding everything unlikely.
+    prior of ``PRIOR`` pairs a cell keeps a small corpus from finding everything unlikely. ``LETTERS`` ** 2 numbers reach the driver.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +54,7 @@ def pair_model(documents: DataFrame) -> np.ndarray:
         for pdf in batches:
             for t in pdf["text"]:
                 if t:
-                    pairs = letter_pairs([CODE_RE.sub(" ", t)])
+                    pairs = letter_pairs(CODE_RE.sub(" ", t))
                     total += pairs * min(1.0, 1000.0 / max(int(pairs.sum()), 1))
         yield pd.DataFrame({"pair": np.arange(len(total)), "n": total})
 
@@ -98,101 +63,123 @@ def pair_model(documents: DataFrame) -> np.ndarray:
     for r in rows:
         n[r["pair"]] = r["n"]
     n = n.reshape(LETTERS, LETTERS) + PRIOR
-    return np.log(n / n.sum(1, keepdims=True))
-
-
-def unlikely(unit: str, model: np.ndarray, least: float = -3.65) -> bool:
-    """Are four or more plain words, taken letter by letter, unlike all the corpus's text?"""
-    words = _WORD.findall(unit)
-    if len(words) < 4 or not re.fullmatch(r"[^\W\d_]+(?:[ .,!?]+[^\W\d_]+)*[ .,!?]*", unit):
-        return False
-    pairs = letter_pairs([" ".join(words)]).reshape(LETTERS, LETTERS)
-    return pairs.sum() > 15 and float((pairs * model).sum() / pairs.sum()) < least
-
-
-def families_of(unit: str, model: np.ndarray | None) -> list[str]:
-    """Detector families that a unit belongs to."""
-    talk = bool(TALK_RE.search(unit)) and not _TAGGED.search(unit)
-    marked = bool(_MARKS.search(unit))
-    found = [
-        k
-        for k, tests in COMPILED.items()
-        if (not talk or k in ALWAYS) and (marked or k not in NEED_MARKS) and any(t.search(unit) for t in tests)
-    ]
-    if not found and model is not None and not talk and unlikely(unit, model):
-        found.append("gibberish")
-    return found
+    alone = np.log(n.sum(0) / n.sum())
+    return np.stack([np.log(n / n.sum(1, keepdims=True)), np.broadcast_to(alone, n.shape)])
 
 
-def look(text: str | None, model: np.ndarray | None, cache: dict[str, list[str]] | None = None) -> tuple[float, list[str], list[str], list[str], str]:
-    """(evidence, families, title terms, body terms, fingerprint) of one text.
+def look(text: str | None, asks: bool, judge: Judge) -> tuple[list[dict], list[int], list[int], int | None]:
+    """(suspicious units, title terms, prose terms, fingerprint) of one whole text.
 
-    The first line is the title; the fingerprint is a hash of all that is outside code, digits and fillings masked. Body
-    terms are those of the rest where there is evidence, else of the whole text. ``cache`` keeps what was found for units seen before.
+    The title is the first line of a question, as far as it is content; all of it is where a body follows, template syntax apart. Prose is all other content; what a site or a form could
+    say without being suspicious is neither. alone: the post says little besides, and more than one weakly
+    suspicious unit stands for that. The fingerprint hashes all units, digits and fillings masked.
     """
     units = split_units(text) if text else []
-    judge = families_of if cache is None else lambda u, m: cache[u] if u in cache else cache.setdefault(u, families_of(u, m))
-    if cache is not None and len(cache) > 100_000:
-        cache.clear()
-    families = sorted({k for u in units for k in judge(u, model)} | ({"prompt"} if sum(u in ("...", "…") for u in units) > 1 else set()))
-    first, _, rest = (text or "").strip().partition("\n")
-    terms = lambda s: sorted({w.lower() for w in _WORD.findall(s) if len(w) > 3})
-    print_ = " ".join(units).lower()
-    print_ = re.sub(r"\d+", "#", _FILLED.sub("□", print_) if _MARKS.search(print_) else print_)
-    if print_:
-        print_ = hashlib.blake2b(print_.encode("utf-8", "replace"), digest_size=16).hexdigest()
-    return max((WEIGHTS[k] for k in families), default=0.0), families, terms(first), terms((rest if rest.strip() else first) if families else text or ""), print_
-
-
-def residue_evidence(documents: DataFrame) -> DataFrame:
-    """Evidence of every post with any: (doc_id, families, evidence, mismatched, duplicated, score, residue).
-
-    mismatched: body and the thread's title (for a question: its own rest) share no term of four
-    letters or more; NULL where the thread's question is missing. duplicated: the same fingerprint
-    stands in at least ``THREADS`` threads of the source, all posts counted; a NULL source is a host of its own.
-    NULL and empty texts are no residue. Whole texts are read, of any length; repeated rows are
-    judged alike; an empty table gives no rows. Other columns are ignored.
-
-    A post that no detector knows has the family ``repeated`` if ``REPEATED`` threads of its source hold its
-    response, others hardly any, and it is off the subject of nearly all of them; being mismatched and
-    duplicated then decides.
-
-    One pass trains letter pairs, one runs the detectors, whose slim results are written to the shared
-    folder. Only fingerprints (hashes) are counted, with partial sums; of posts without detector evidence only those with such a response take
-    part in the joins.
+    if not units:
+        return [], [], [], None
+    judged = [judge.unit(u) for u in units]
+    heads = len(split_units(text.strip().split("\n", 1)[0])) if asks else 0
+    prose = {t for kind, weight, terms, _ in judged[heads:] if not weight and kind != MANNER for t in terms}
+    if len(prose) >= LEAST_UNIT_TERMS:  # what a title with a body below it says is the subject, however a site might say it
+        judged[:heads] = [j if j[1] >= TEMPLATE else ("", 0.0, *j[2:]) for j in judged[:heads]]
+    title = {t for kind, weight, terms, _ in judged[:heads] if not weight and kind != MANNER for t in terms}
+    masked = "\n".join(units).lower()
+    if "{" in masked or "<" in masked or "[" in masked or "%" in masked:
+        masked = TEMPLATE_RE.sub("□", masked)
+    print_ = int.from_bytes(hashlib.blake2b(_DIGITS.sub("#", masked).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    found = []
+    if any(weight for _, weight, _, _ in judged):
+        said = sum(len(terms) for kind, weight, terms, _ in judged if weight or kind == MANNER)
+        other = sum(len(terms) for kind, weight, terms, _ in judged[1:] if not weight and kind != MANNER)
+        several = sum(weight > 0 or kind == MANNER for kind, weight, _, _ in judged) > 1
+        for kind, weight, terms, unit_print in judged:
+            if weight:
+                alone = said >= other and (weight > WEAK or kind == "machine" or several)
+                found.append({"kind": kind, "weight": weight, "terms": sorted(terms), "print": unit_print, "alone": alone})
+    return found, sorted(title), sorted(prose), print_
+
+
+def _threads(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact number of threads per key: (keys, _threads). Rows of a hot key are reduced before they meet."""
+    return rows.select(*keys, "_thread").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_threads"))
+
+
+def _off_topic(terms: Column, title: Column, prose: Column, asks: Column) -> Column:
+    """Are at most a third of the terms among those of title and body? NULL if there is nothing to compare; a question without any content is off topic."""
+    known = F.array_union(F.coalesce(title, F.array().cast("array<int>")), F.coalesce(prose, F.array().cast("array<int>")))
+    nothing = (F.size(known) == 0) | (F.size(terms) == 0)
+    return F.when(nothing, F.when(asks, F.lit(True))).otherwise(3 * F.size(F.array_intersect(terms, known)) <= F.size(terms))
+
+
+def residue_evidence(documents: DataFrame, titles: bool = True, hosts: bool = True) -> DataFrame:
+    """Evidence on every suspicious post: (doc_id, kinds, weight, mismatched, duplicated, alone, score, residue).
+
+    A post is residue if one of its units scores ``ENOUGH``: its own weight (template syntax has enough by itself), plus
+    ``MISMATCH`` where its terms are not those of the thread's title and the post's other content, minus
+    ``MISMATCH`` where they are (half of it where there is nothing to compare), plus ``DUPLICATED`` where the same unit stands in ``THREADS`` threads of the source or more, plus ``BARE``
+    where the post says little besides. The row shows the unit of the highest score. A post in whose wording
+    nothing is suspicious has the kind ``repeated`` if ``REPEATED`` threads of its source hold the whole
+    response, others hardly any, and it is off the subject of nearly all of them.
+
+    A NULL source is a host of its own; a post without question_id is its own thread. NULL and empty texts are no
+    residue. Whole texts are read, of any length. Rows with the same doc_id give one row. An empty table
+    gives no rows; other columns are ignored. ``titles`` and ``hosts`` switch those kinds of evidence off, for measuring what they do.
+
+    One pass trains letter pairs, one judges units; its slim results (hashes) are written to the shared folder. Only
+    suspicious units and fingerprints are counted and joined, hot keys salted.
     """
-    model = pair_model(documents)
-    out = "struct<evidence:double,families:array<string>,title:array<string>,body:array<string>,print:string>"
-
-    @F.pandas_udf(out)
-    def inspect(texts: pd.Series) -> pd.DataFrame:
-        cache: dict[str, list[str]] = {}
-        return pd.DataFrame([look(t, model, cache) for t in texts], columns=["evidence", "families", "title", "body", "print"])
-
-    posts = documents.select(
-        "doc_id", F.coalesce("question_id", "doc_id").alias("_thread"), (F.col("question_id") == F.col("doc_id")).alias("_asks"), "source", inspect("text").alias("r")
-    ).select("doc_id", "_thread", "_asks", "source", "r.evidence", "r.families", F.when(F.col("_asks"), F.col("r.title")).alias("title"), "r.body", F.when(F.col("r.print") != "", F.xxhash64("r.print")).alias("_print"))
-    posts = materialise(posts)  # three readers follow
-
-    counts = posts.filter(F.col("_print").isNotNull()).groupBy("source", "_print").agg(F.approx_count_distinct("_thread", 0.05).alias("_threads"))
-    often = counts.filter(F.col("_threads") >= REPEATED).select("_print").distinct()
-    everywhere = counts.join(often, "_print", "left_semi").groupBy("_print").agg(F.sum("_threads").alias("_all"))
-    hosts = counts.filter(F.col("_threads") >= THREADS)
-    own = hosts.filter(F.col("_threads") >= REPEATED).join(everywhere, "_print").filter(F.col("_threads") >= ONE_HOST * F.col("_all")).drop("_all")
-    titles = posts.filter(F.col("_asks")).groupBy("_thread").agg(F.first("title").alias("_title"))
-    mismatched = F.when(F.col("_title").isNotNull(), ~F.arrays_overlap("body", "_title"))
-
-    seen = salted_join(posts.filter(F.col("evidence") > 0), hosts, ["source", "_print"], "doc_id", how="left")
-    seen = salted_join(seen, titles, "_thread", "doc_id", salts=4, how="left").withColumn("mismatched", mismatched)
-    plain = posts.filter((F.col("evidence") == 0) & F.col("_print").isNotNull() & (F.size("body") >= LEAST_TERMS))
-    plain = salted_join(plain, own, ["source", "_print"], "doc_id")
-    plain = salted_join(plain, titles, "_thread", "doc_id", salts=4, how="left").withColumn("mismatched", mismatched)
-    plain = materialise(plain.withColumns({"evidence": F.lit(WEIGHT_REPEATED), "families": F.array(F.lit("repeated"))}))  # read twice
-    off = plain.groupBy("source", "_print").agg(F.avg(F.col("mismatched").cast("double")).alias("_off")).filter(F.col("_off") >= OFF_TOPIC).drop("_off")
-    seen = seen.unionByName(salted_join(plain, off, ["source", "_print"], "doc_id"))
-    judged = seen.withColumn("duplicated", F.col("_threads").isNotNull())
-    score = F.col("evidence") + F.when(F.col("mismatched"), MISMATCH).otherwise(0.0) + F.when(F.col("duplicated"), DUPLICATED).otherwise(0.0)
-    return judged.select("doc_id", "families", "evidence", "mismatched", "duplicated", score.alias("score"), (score >= ENOUGH).alias("residue"))
+    pairs = pair_model(documents)
+
+    @F.pandas_udf(_POST)
+    def inspect(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        judge = Judge(pairs)
+        for texts, asks in batches:
+            rows = [look(t, bool(a), judge) for t, a in zip(texts, asks)]
+            frame = pd.DataFrame(rows, columns=["units", "title", "prose", "print"])
+            frame["print"] = frame["print"].astype("Int64")
+            yield frame
+
+    thread = F.coalesce("question_id", "doc_id")
+    asks = F.coalesce(thread == F.col("doc_id"), F.lit(False))
+    posts = documents.select("doc_id", thread.alias("_thread"), asks.alias("_asks"), "source", inspect("text", asks).alias("r"))
+    posts = materialise(posts.select("doc_id", "_thread", "_asks", "source", "r.*"))  # several readers follow
+
+    named = posts.filter(F.col("_asks") & (F.size("title") > 0)).groupBy("_thread").agg(F.first("title").alias("_title"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return salted_join(rows, named, "_thread", "doc_id", salts=4, how="left") if titles else rows.withColumn("_title", F.lit(None).cast("array<int>"))
+
+    # suspicious units
+    units = posts.filter(F.size("units") > 0).select("doc_id", "_thread", "_asks", "source", "prose", F.explode("units").alias("u"))
+    units = units.select("doc_id", "_thread", "_asks", "source", "prose", "u.kind", "u.weight", "u.terms", F.col("u.print").alias("_print"), "u.alone")
+    often = _threads(units, ["source", "_print"]).filter(F.col("_threads") >= THREADS)
+    seen = salted_join(placed(units), often, ["source", "_print"], "doc_id", how="left")
+    off = _off_topic(F.col("terms"), F.col("_title"), F.col("prose"), F.col("_asks")) if titles else F.lit(None).cast("boolean")
+    told = F.col("_threads").isNotNull() & ((F.col("weight") > WEAK) | (F.size("terms") >= LEAST_UNIT_TERMS)) if hosts else F.lit(False)
+    seen = seen.select("doc_id", "kind", "weight", off.alias("mismatched"), told.alias("duplicated"), "alone")
+    against = F.when(F.col("mismatched"), MISMATCH).when(F.col("mismatched").isNull(), MISMATCH / 2).when(F.col("weight") < TEMPLATE, -MISMATCH).otherwise(0.0)
+    against = against if titles else F.lit(0.0)
+    score = F.col("weight") + against + F.when(F.col("duplicated"), DUPLICATED).otherwise(0.0) + F.when(F.col("alone"), BARE).otherwise(0.0)
+    best = F.max_by(F.struct("weight", "mismatched", "duplicated", "alone", score.alias("score")), F.struct(score, "weight"))
+    wording = seen.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), best.alias("b")).select("doc_id", "kinds", "b.*")
+    if not (titles and hosts):
+        return wording.withColumn("residue", F.col("score") >= ENOUGH)
+
+    # whole responses in whose wording nothing is suspicious
+    counts = _threads(posts.filter(F.col("print").isNotNull()).select("source", F.col("print").alias("_print"), "_thread"), ["source", "_print"])
+    of_host = F.struct("_threads", "source")
+    everywhere = counts.groupBy("_print").agg(F.sum("_threads").alias("_all"), F.max_by(of_host, "_threads").alias("_h"))
+    own = everywhere.filter((F.col("_h._threads") >= REPEATED) & (F.col("_h._threads") >= ONE_HOST * F.col("_all"))).select("_print", F.col("_h.source").alias("source"))
+    plain = posts.filter((F.size("units") == 0) & (F.size("prose") >= LEAST_TERMS)).select("doc_id", "_thread", "_asks", "source", "prose", F.col("print").alias("_print"))
+    plain = placed(salted_join(plain, own, ["source", "_print"], "doc_id"))
+    plain = materialise(plain.select("doc_id", "source", "_print", (F.size(F.array_intersect("_title", "prose")) == 0).alias("mismatched")))  # read twice
+    strange = plain.groupBy("source", "_print").agg(F.avg(F.coalesce("mismatched", F.lit(False)).cast("double")).alias("_off")).filter(F.col("_off") >= OFF_TOPIC).drop("_off")
+    repeated = salted_join(plain, strange, ["source", "_print"], "doc_id").groupBy("doc_id").agg(F.max("mismatched").alias("mismatched"))
+    repeated = repeated.select(
+        "doc_id", F.array(F.lit("repeated")).alias("kinds"), F.lit(WEAK).alias("weight"), "mismatched", F.lit(True).alias("duplicated"), F.lit(True).alias("alone"),
+        (F.lit(WEAK + DUPLICATED) + F.when(F.col("mismatched"), MISMATCH).otherwise(0.0)).alias("score"),
+    )
+    return wording.unionByName(repeated).withColumn("residue", F.col("score") >= ENOUGH)
 
 
 def residue_posts(documents: DataFrame) -> DataFrame:

@@ -1,210 +1,354 @@
-"""What residue looks like: detectors for one unit (a line's sentence) of a text.
+"""How one unit (a line's sentence) of a text is judged: by its syntax and by its vocabulary, not by known sentences.
 
-All patterns are ours, written for families of residue, in the languages the posts come in. Texts are masked
-before (code, quotations, quoted lines), so that text about residue is mostly gone.
+Three things are looked at. *Syntax*: template delimiters, machine output, values printed into a slot. *Vocabulary*:
+which share of a unit's content words belongs to what sites say about themselves (things of a site, their states, what
+a visitor is asked to do) or to what forms and drafts say about themselves. *Information*: repeated words, keyboard
+rows, letters unlike all the corpus. Each gives a weight below the one that makes a post residue, template
+syntax apart; what the thread's title, the rest of the post and the host say decides (``residue``).
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
-NAME = r"[A-Za-z][\w.\- ]{0,40}"
-
-#: Template syntax that real prose does not hold outside code.
-PLACEHOLDERS = [
-    r"\{\{.{0,60}?\}\}",
-    r"\{%.{0,60}?%\}",
-    r"<%=?.{0,60}?%>",
-    r"[$#]\{[\w.\- |()']{1,60}\}",
-    r"\{(?:[A-Za-z_][\w.]{0,40}|\d{1,2})\}",
-    r"%\([\w.]{1,40}\)[sd]",
-    r"%%[\w. ]{2,40}%%",
-    r"(?<![\w%])%[A-Za-z_.]{3,40}%(?!\w)",
-    r"(?<!\w)__[A-Za-z][A-Za-z_.]*__(?!\w)",
-    r"\[\[[\w .\-]{1,60}\]\]",
-    r"«[\w .\-]{1,60}»",
-    r"@@[\w. ]{1,40}@@",
-    r"<<[\w .\-]{1,60}>>",
-    r"(?<!\w)\|[A-Z][A-Z_. ]{1,40}\|",
-    r"\[(?:insert|your|enter|add|put|fill in)\b[^\]\n]{0,60}\]",
-    r"<[\w .\-]{1,60} goes here>",
-    r"\[[\w .\-]{1,60} goes here\]",
-    r"\[(?:insert )?[\w .\-]{1,60} here\]",
-]
-
-#: A field name in brackets: residue only where nothing around it says that it is spoken of.
-SOFT_PLACEHOLDERS = [r"\[(?:first|last|full|user|company|product|order|site|member|customer)[ _]?\w*\]", r"<(?:first|last|full|user|company|product|order|site|member|customer|reply|post|ticket|model|tag)[ _]?\w*>"]
-
-#: Prompts of a form that nobody filled in.
-PROMPTS = [
-    r"^\(?please (?:fill|complete|describe|add|enter)[^.]{0,40}\)?\.?$",
-    r"\bdelete this (?:line|section|text)\b",
-    r"^_?no response_?$",
-    r"^[\[(<]?(?:!--)? ?(?:please )?describe (?:it|this|your \w+|the \w+)? ?here ?(?:--)?[\])>]?$",
-    r"^(?:write|type|enter|put|paste|describe|add) (?:your|the|a)\b.{0,40}\b(?:here|in this (?:section|field|box)|below)\b",
-    r"^your (?:content|text|title|answer|question|message) (?:goes|comes|belongs) here\b",
-    r"^add a short summary\b",
-    r"^<!--.{0,80}-->$",
-    r"^e\.g\. a short\b",
-    r"^a short list$",
-    r"^n/a\b.{0,30}\bdelete\b",
-]
-
-#: Values that a template printed though they were empty.
-LEAKS = [
-    r"\[object object\]",
-    r"^(?:undefined|null|nan|none|nil|n/a|invalid date|true|false)[.!,]?$",
-    r"\b(?:dear|hi|hello|hey|by|from|bonjour|hola|hallo|liebe[r]?|user|thanks|welcome|to) (?:undefined|null|nan|none|nil)\b",
-    r"^(?:undefined|null|nan|none) (?:left|has|wrote|posted|commented|answered|replied|liked|asked)\b",
-    r"\b\w+ ?: ?(?:undefined|null|nan|nil)\b(?! ?[;,)}])",
-    r"\binvalid date\b",
-    r"\byour \w+ (?:undefined|null|nan|none)\b",
-    r"\b(?:undefined|null|nan)\b.{0,30}\b(?:undefined|null|nan)\b",
-    r"\b(?:on|at|since) (?:undefined|null|nan)\b",
-]
-
-#: Filler text.
-FILLER = [
-    r"^([^\W\d_]+)(?:[ ,]+\1){2,}\W*$",
-    r"\blorem ipsum dolor\b",
-    r"\b(?:body text|heading one|caption here|sample copy|sample text|dummy text|placeholder text|filler text)\b",
-    r"\breplace it before you publish\b",
-    r"^this is (?:a|an|only|just)\b.{0,30}\b(?:placeholder|filler|dummy|sample|test post|blind text)\b",
-    r"\b(?:blindtext|platzhalter|mustertext|texte provisoire|faux[- ]texte|texto de (?:relleno|prueba|ejemplo)|texto provisional)\b",
-    r"\bwie die seite später aussieht\b",
-    r"^(?:(?:lorem|ipsum|dolor\w*|amet|sit|consectetur|adipiscing|elit|magni\w*|porta|integra|vita\w+|nunc\w*|tell\w+|velit\w*|duis\w*|sed\w*|fauc\w+|eget|quis|donec|mauris|vestibulum|aenean)\W+){3,}",
-    r"^(?:sample answer|coming soon|to be (?:added|written|done|announced)|tbd|tba|todo)\b(?: ?[-:.]|$)",
-    r"\bthe real text follows\b|\btext to be (?:supplied|added|written|provided)\b|\bfor layout purposes\b|\b(?:will be|is) added (?:to this page|here|later|soon)\b|\bthis (?:text|entry|copy) (?:is|will be) (?:replaced|only)\b",
-    r"\b(?:aquí irá|hier steht bald|ici viendra|ici se trouvera|próximamente|demnächst hier|hier folgt)\b|\bà remplacer par\b",
-    r"^(?:asd|qwe|zxc|hjk|sdf|dfg|fgh|jkl|wer|xcv)[a-z]*(?:\W+(?:asd|qwe|zxc|hjk|sdf|dfg|fgh|jkl|wer|xcv)[a-z]*)*\W*$",
-]
-
-#: Statuses and machine output.
-MACHINE = [
-    r"^(?:error |http |status:? ?|code:? ?|# ?)?[45]\d\d\b[ :.\-]*(?:$|bad|unauthori[sz]ed|payment|forbidden|not found|method|request|conflict|gone|too many|internal|not implemented|service|gateway|http|bandwidth|unknown|error|loop|insufficient|variant|site|web|origin|network|server|teapot|\(?un)",
-    r"^(?:bad gateway|forbidden|not found|gateway time-?out|internal server error|service unavailable|unauthori[sz]ed)[.!]?$",
-    r"^\{\s*\"(?:error|errors|message|status|code|detail|title|success|ok|fault|reason)\"\s*:",
-    r"<(?:html|head|body|title|center|h1|hr)\b[^>]*>.*(?:[45]\d\d|error|forbidden|not found|denied|unavailable|maintenance|gateway)",
-    r"^(?:php )?(?:warning|fatal(?: error)?|notice|parse error)\b ?:",
-    r"\bfailed to open stream\b",
-    r"\bcould not connect to (?:the )?(?:database|server|host)\b",
-    r"\berrno \d+",
-    r"\bin /\S+\.(?:inc|php|py|tpl|rb|js)\b on line \d+",
-    r"^fatal: ",
-    r"^(?:request|incident|reference|ref|trace|ray|event)(?: ?(?:no|id|number|code))?[.:#]? ?[0-9a-f\-]{5,}\.?$",
-    r"^(?:error|fault|status) ?(?:code|no|number)[.:]? ?[0-9a-f]{2,}\.?$",
-    r"\[[45]\d\d\]\W*$",
-    r"^reason: (?:bad|too|service|forbidden|not|internal|gateway|unknown|time)",
-    r"^(?:service unavailable|bad gateway|not found|forbidden|too many requests|internal server error)\b.{0,4}[\[(]?\d{3}",
-    r"\bsqlstate\b|\bunhandled exception\b|\buncaught \w*(?:error|exception)\b|\bmissing_translation\b|\b\w+exception at \w+|\bnullreference\b",
-    r"^token \w+ is (?:no longer|not) valid|^(?:référence|referencia|referenz|case|vorgang) ?:? [0-9a-f]{6,}\.?$",
-    r"^[a-z]{3,15}/\d+\.\d+(?:\.\d+)?$",
-]
-
-#: Notices of a site in place of content. Subjects and states are combined, not single sentences.
-_THING = r"(?:page|post|question|answer|thread|profile|content|item|article|site|link|url|document|entry|topic|discussion|comment|tag|user|archive|service|resource|record|account|section|view|file|member|forum|list|message|reply|server)s?"
-NOTICES = [
-    rf"\b(?:the|this|that|your) (?:requested )?{_THING}\b.{{0,40}}\b(?:no longer (?:available|exists?)|(?:was|is|has been|have been|been|were) (?:deleted|removed|moved|closed|locked|hidden|disabled|merged|withdrawn|taken down|private|suspended|blocked|restricted)|may have (?:moved|been)|cannot be (?:displayed|shown|found|loaded|opened)|could not be (?:displayed|shown|found|loaded|opened|reached)|does not exist|is (?:currently |temporarily )?(?:unavailable|not available|offline|out of reach|disabled|down|missing|empty|gone|private|read-only)|failed to load|has expired|(?:is )?being updated)",
-    rf"\b{_THING} you (?:are|were) looking for\b",
-    rf"\b(?:we|i) (?:are sorry|apologi[sz]e|could not|couldn't|cannot|can't)\b.{{0,40}}\b(?:find|load|show|display|complete|process|open|reach|loaded|shown)",
-    r"\b(?:server|host|gateway|upstream)\b.{0,30}\b(?:could not (?:complete|process|understand|find|handle)|gave no|did not (?:respond|answer)|no valid|encountered|is (?:busy|overloaded|down|too busy)|has refused|timed out)",
-    r"^(?:oops|whoops|uh[- ]oh|hoppla|ups|oups|sorry)\b[!.,:]",
-    r"^(?:oops|whoops)?[!., ]*(?:an? (?:unexpected |internal |unknown )?(?:problem|error|issue) (?:has )?occurred|something went wrong)\b",
-    r"^well, this is awkward\b",
-    r"\bsomething went wrong on (?:our|the) (?:side|end|server)",
-    r"^(?:access (?:to [\w ]{1,30})?(?:is |was )?(?:denied|forbidden|restricted|blocked)|permission denied|not authori[sz]ed)\b",
-    rf"^you (?:do not|don't|are not|have no) (?:have |allowed|permitted|authori[sz]ed)?.{{0,30}}\b(?:permission|permitted|access|right|rights|allowed|authori[sz]ed)\b",
-    r"^you (?:are not allowed|must (?:be logged|log|sign)|need to (?:log|sign) in|have been (?:signed|logged|blocked|banned)|have sent too many|have (?:reached|exceeded)|will be redirected|are being redirected|now hold|do not have)\b",
-    r"^(?:please )?(?:log|sign) in (?:to|or|first)\b",
-    r"^start again from the log ?in\b",
-    r"\b(?:your )?session (?:has )?(?:expired|timed out|ended)\b",
-    r"^(?:rate )?limit exceeded\b|^rate limit\b.{0,20}(?:exceeded|reached)|^slow down, please|^too many requests\b",
-    r"^limit: \d+ per (?:hour|minute|day|second)",
-    r"^retry after \d+ (?:second|minute)s?\b|^(?:please )?(?:wait|try again|reload|come back|check back|return) (?:a (?:little|while|moment|few)|in a|in \d|soon|later|once more|to try|shortly|and reload)",
-    r"^come back (?:soon|later)\b",
-    r"^(?:reload|refresh) (?:to|the page|this page)\b",
-    r"\bif (?:this|the (?:problem|error)) (?:keeps happening|persists|continues)\b",
-    r"\b(?:tell|contact|notify|inform) the (?:site|web ?site|server|page)?[ -]?(?:owner|admin\w*|webmaster|operator|team)\b",
-    r"\b(?:scheduled|planned|routine|ongoing) (?:work|maintenance|downtime|update|outage)\b|\b(?:under|for|in|during|down for) (?:\w+ )?maintenance\b|^maintenance\b",
-    r"\bwill be back (?:shortly|soon|online|in)\b|\bback (?:online )?(?:shortly|soon)\b|\bthank you for your patience\b",
-    r"\bread-only mode\b|\bthe archive is offline\b",
-    r"^(?:some features are missing|do not close this window|one moment(?: please| while)?|just a (?:second|moment)|please wait|loading)\b",
-    r"\b(?:verifying|checking|confirm(?:ing)?|prove|make sure|check)\b.{0,30}\b(?:you are (?:a )?human|not a (?:ro)?bot|security of your connection|your browser|your connection)\b",
-    r"^(?:try|use) the search(?: box)?\b|^browse all\b|^(?:go )?back to (?:the )?(?:home|start|front|main)\b|^go back to\b|^visit your profile\b|^skip to (?:main )?content\b",
-    r"^(?:home|start|questions|tags|users|search|contact|login|log in|register|help|about|imprint)(?: ?[|»>·/] ?(?:home|start page|start|questions|tags|users|search|contact|login|log in|register|help|about|imprint)){1,}$",
-    r"^(?:you now hold a new badge|learn how in our help)\b",
-    r"^this (?:question|post|thread|answer|topic) (?:was|has been|is) (?:closed|locked|deleted|removed|marked|put on hold|protected|hidden)\b",
-    r"\bhas been (?:deleted|removed) by (?:its|the|an?) (?:author|owner|moderator|admin\w*)\b",
-    r"^connection (?:refused|reset|timed out|lost)\b",
-    r"\b(?:is|are) temporarily (?:unavailable|disabled|out of reach|offline|down|closed|blocked)\b",
-    rf"^no such {_THING} (?:on|in|here|exists)\b",
-    rf"\bhit a snag\b|^(?:comments|{_THING}) cannot be (?:displayed|shown|loaded)",
-    rf"^(?:log|sign) in again\b|\b(?:for|to) (?:registered )?(?:members|subscribers|registered users|admins) only\b|^ask an admin\b",
-    r"^(?:your (?:address|ip|account|network|connection) (?:was|is|has been) (?:blocked|banned|limited|locked|suspended))|^too many (?:page views|requests|attempts|visits)\b|\bthis page reloads by itself\b",
-    r"\b(?:momentanément|temporairement|vorübergehend|temporalmente|derzeit|actuellement) (?:indisponible|nicht (?:verfügbar|erreichbar)|no disponible|fuera de servicio)\b|\bfehlen ihnen die rechte\b",
-    # other languages
-    r"\b(?:página no encontrada|page introuvable|seite (?:wurde )?nicht gefunden|page non trouvée)\b",
-    r"\b(?:se ha producido un error|une erreur (?:\w+ )?(?:est survenue|s'est produite)|ein (?:unerwarteter )?fehler ist aufgetreten|error inesperado|erreur inattendue|erreur interne)\b",
-    r"\b(?:inténtelo|intentelo|inténtalo) de nuevo\b|\bveuillez (?:réessayer|patienter|vous connecter)\b|\b(?:bitte )?versuchen sie es (?:später|erneut|in|noch)\b",
-    r"\b(?:acceso denegado|accès (?:refusé|interdit)|zugriff verweigert|kein zugriff|accès non autorisé)\b",
-    r"\b(?:en mantenimiento|en maintenance|wartungsarbeiten|wegen wartung|maintenance en cours|mantenimiento programado)\b",
-    r"\b(?:elle a peut-être été déplacée|el enlace puede estar roto|der link ist (?:veraltet|defekt)|wurde (?:vielleicht )?(?:verschoben|gelöscht))\b",
-    r"\bsie (?:haben keine berechtigung|müssen (?:sich|angemeldet))\b|\bno tiene(?:s)? permiso\b|\bvous n'avez pas (?:le droit|la permission|accès|l'autorisation)\b|\bsesión (?:ha )?(?:caducad|expirad)\w+\b|\bsession (?:a )?expirée?\b|\bsitzung (?:ist )?abgelaufen\b",
-]
-
-#: Notices that scripts (or cookies) are required.
-_JS = r"(?:java ?script|js|scripts?|script support|scripting|cookies)"
-SCRIPTS = [
-    r"<noscript\b[^>]*>.{3,}</noscript>",
-    rf"\b{_JS}\b.{{0,30}}\b(?:is|are|must|be|seems?|was|were)\b.{{0,20}}\b(?:disabled|required|off|blocked|not supported|not enabled|needed|allowed|active|enabled|turned off|switched off|missing|unavailable|turned on)\b",
-    rf"\b(?:enable|activate|allow|turn on|switch on|activating|enabling|unblock)\b.{{0,15}}\b{_JS}\b",
-    rf"\bturn {_JS} on\b",
-    rf"\b(?:requires?|needs?|depends? on|relies on|works? only with|not work without|without)\b.{{0,12}}\b{_JS}\b",
-    rf"^no {_JS}, no\b",
-    rf"^{_JS} (?:is |are )?(?:required|needed|disabled|off|blocked|missing)\b|\bturned off {_JS}\b|\b{_JS} (?:was|were) not detected\b|\bcheck that {_JS} is on\b|^switch it on\b|^turn it on and reload\b",
-    r"\b(?:ohne|sans|sin) (?:java ?script|scripts?|cookies)\b.{0,40}\b(?:nicht|pas|no)\b|\b(?:no admite|ne fonctionne pas sans|funktioniert nicht ohne|no funciona sin|unterstützt keine|ne prend pas en charge)\b.{0,20}\b(?:scripts?|java ?script|cookies)\b",
-    rf"\bblocks {_JS}\b|\bdoes not (?:support|run|allow) {_JS}\b",
-    r"\b(?:activar|activez|activer|habilit\w+|aktivieren sie|aktiviere|activa|autoriser|permitir)\b.{0,20}\b(?:java ?script|scripts?|cookies)\b|\b(?:java ?script|scripts?|cookies)\b.{0,30}\b(?:aktivier\w*|deaktiviert|erforderlich|desactivad\w+|activad\w+|désactivée?s?|activée?s?|nécessaires?|necesari\w+|requis\w*|benötigt|ausgeschaltet|eingeschaltet)\b",
-]
-
-#: Signs that a unit speaks about such text instead of being it, by how the sentence is built and not by single words:
-#: a notice may hold what, which, where, how, returns or shows.
+import numpy as np
+
+# Words that carry no content, by language.
+FUNCTION_WORDS = """
+a an the this that these those it its he she they them their we us our you your i me my and or but nor so if then than as of at by
+for from in into on onto to with without about above after before between during over under until while up down out off is are was
+were be been being am do does did has have had having will would shall should can could may might must cannot not no yes any some per seem seems yet itself yourself themselves id all both each
+every either neither other another such same own too very just only also there here when where which who whom what how why because
+der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren muss müssen musst wird werden wurde wurden hat
+haben ich du er sie es wir ihr ihnen ihre ihren mich mir uns euch mein dein sein auf in im an am zu zum zur von vom mit ohne für bei
+nach aus über unter als wie wenn dass daß so auch nur noch schon bald dieser diese dieses diesen diesem hier dort was wer da kann
+el la los las un una unos unas y o pero no es son era fue ser debe deben está están ha han he lo le les se su sus mi tu nos me te de del a al en
+con sin por para como que qué si más muy ya este esta esto estos estas ese esa eso aquí hay puede cuando donde
+le les une des du de et ou mais ne pas est sont doit devez était sera être a ont ai je tu il elle nous vous ils elles on ce cet cette ces son sa ses
+mon ma mes votre vos notre nos au aux en dans sur sous avec sans pour par que qui quoi si plus très ici là y peut dont
+"""
+
+# Stems (with *) and words of what sites say about themselves: the things of a site ...
+THINGS = """
+page* site* website* webpage* homepage server* service* host hosting gateway* upstream proxy database* browser* client* navigator
+account* login logon password* connection* network* request* url* link links content contents profile* forum* member* administrator* admin*
+webmaster* moderator* owner* http https html api status archive* token* user users visitor* traffic address security badge*
+incident* internal trace rate* mode video* image* photo* app apps application*
+seite* dienst* inhalt* konto anmeld* sitzung* verbindung* netzwerk* anfrage* webseite* zugriff* berechtigung* rechte intern*
+página* sitio* servidor* servicio* contenido* navegador* cuenta conexión solicitud* enlace* acceso permiso*
+serveur* navigateur* contenu* compte* connexion* requête* lien* accès
+"""
+
+# ... the states it reports (scripts and cookies among them, which it asks for) ...
+STATES = """
+error* fail* fault* exception* unavailable* unreachable offline denied denial forbidden block* disabl* deactivat* expir* invalid missing
+remov* delet* restrict* suspend* banned ban exceed* refus* maintenance outage* downtime timed overload* unauthor* unsupported require* unknown limit* moved gone
+permission* access* temporar* unexpected* loading occurred awkward captcha human robot* reloads redirect* signed logged session* lost
+trouble* snag* hiccup* glitch* mishap oops whoops hoppla oups apolog* unable difficult* outdated updated scheduled planned interrupted maintain* verify*
+javascript js script scripts scripting noscript cookie*
+fehler* wartung* gesperrt verweigert abgelaufen* deaktivier* aktivier* vorübergehend erforderlich benötigt störung* aufgetreten fehlen fehlt
+denegad* activar habilit* mantenimiento inesperado temporal* caducad* bloquea* expirad* necesari* necesita* sesión solicitad*
+erreur* refus* introuvable* indisponible* interdit* expiré* activer désactiv* momentané* temporair* inattendu* survenue
+"""
+
+# ... what is a state only where it is negated ...
+ABLE = """
+found shown show display* displayed loaded load open opened complete* process* available allowed permitted exist* valid supported support work* run
+running reach* reached understand correct* continue see view respond* active*
+gefunden geladen angezeigt verfügbar erreichbar geöffnet existiert funktioniert
+disponible* encontrad* existe existen funciona admite mostrar
+trouvé* trouvée fonctionne afficher
+"""
+
+# ... and ordinary words that go with them.
+MANNERS = """
+please sorry thank thanks patience try again retry later shortly soon slow little message wait moment* second seconds minute minutes hour* back return enable* activat* allow*
+turn* switch* sign log register* contact* visit* check* confirm* proceed click browse skip use find reload* refresh* look looking longer
+need needs something wrong happen* happening problem* issue* tell know known never busy many much full gave reply
+update* way home main menu search start close closed window feature* appear* appears nothing sent keep keeps side team down
+private protected hidden locked broken receive* until one reason code bad read stay stays empty make sure like instead several unusual
+detected protect suspicious timeout went followed technical region country secure connecting notif* broke experienc* uh oh go going author* post posts thread question* answer* comment* topic* discussion* vote* tag tags resource* document*
+article* item* reader option* help
+bitte versuchen versuch* später erneut laden warten nochmals werden öffnen sekunden minuten leider gerade derzeit momentan zurück startseite mehr
+favor intente inténtelo intentar nuevo segundos minutos vuelva más tarde ver producido iniciar volver inicio usar pueden cambiado
+veuillez réessayer patienter voir plus tard nouveau secondes minutes retour accueil cette produit* charger
+"""
+
+#: Turns of phrase that report a state, by their build.
+STATE_RE = re.compile(r"\btoo many\b|^\W*(?:checking|verifying|loading|redirecting|processing|connecting|updating)\b|\bwent wrong\b|\b(?:is|are|be|was|were) (?:\w+ )?down\b|\bdown for\b|\b(?:sign|log)(?:ged|ing)? (?:in|out)\b|^\W*(?:\w+ ){0,3}\w+(?:\.{3}|…)$")
+NEGATION_RE = re.compile(r"\b(?:not|no|cannot|can't|couldn't|doesn't|isn't|don't|unable|never|without|nicht|kein\w*|ohne|sin|ne|n'\w+|pas|sans)\b")
+#: A site's navigation: names and nothing else between separators.
+NAVIGATION_RE = re.compile(r"^[^\W\d_]+(?: [^\W\d_]+)?(?: ?[|»>·] ?[^\W\d_]+(?: [^\W\d_]+)?){2,}$")
+
+# What forms and drafts say about themselves.
+DRAFT = """
+placeholder* lorem ipsum dummy filler sample* template* caption* heading* headline* paragraph* blindtext* platzhalter* mustertext* beispieltext*
+relleno provisoire provisional provisorisch* tbd tba todo body copy boilerplate draft* subtitle section* field* summary
+describe* description fill filled insert* untitled text texto texte coming
+"""
+DRAFT_MANNERS = """
+text title write enter type put paste add added delete replace* remove line here content* answer question topic short list entry message
+please goes go come soon added full publish final real supplied supply follow* follows layout purpose* ignore editor below own e g example*
+optional required n response later page post name example first second third one two complete detail* details words word step steps
+ersetzen ersetze zeigt später aussieht steht bald richtige* text* hier folgt kommt einfügen eingeben beschreib* dies eigentliche* inhalt*
+irá respuesta definitiva aquí escrib* próximamente texto describ*
+remplacer vraie réponse suivra viendra écri* décri*
+"""
+
+# The stock of filler Latin, as stems.
+LATIN = """
+lorem ipsum dolor* sit amet consectetur* adipiscing elit* sed eiusmod tempor incididunt labor* magna* magn* aliqua* enim minim veniam quis
+nostrud exercitation ullamco nisi aliquip commodo consequat duis* irure reprehenderit volupt* velit* esse cillum fugiat nulla pariatur
+excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim est laborum porta* integra* integer vita* nunc* tell* fauc*
+eget donec mauris vestibulum aenean pellentesque
+"""
+
+#: Template syntax that prose does not hold outside code: a pair of delimiters around a name.
+TEMPLATE_RE = re.compile(
+    r"\{\{.{0,60}?\}\}|\{%.{0,60}?%\}|<%=?.{0,60}?%>|[$#]\{[\w.\- |()']{1,60}\}|\{(?:[A-Za-z_][\w.]{0,40}|\d{1,2})\}|%\([\w.]{1,40}\)[sd]"
+    r"|%%[\w. ]{2,40}%%|(?<![\w%])%[A-Za-z_.]{3,40}%(?!\w)|(?<!\w)__[A-Za-z][A-Za-z_.]*__(?!\w)|\[\[[\w .\-]{1,60}\]\]|«[\w .\-]{1,60}»"
+    r"|@@[\w. ]{1,40}@@|<<[\w .\-]{1,60}>>|(?<!\w)\|[A-Z][A-Z_. ]{1,40}\||[\[<](?i:insert|your|enter|add|put|fill in)\b[^\]>\n]{0,60}[\]>]"
+    r"|[\[<][\w .\-]{1,60} (?:goes )?here[\]>]"
+)
+#: A name in brackets: spoken of as often as left behind.
+BRACKETED_RE = re.compile(r"[\[<](?!(?:ERROR|WARN|WARNING|INFO|DEBUG|TRACE|FATAL|EDIT|SOLVED|CLOSED)\b)(?:[A-Z]{2,}(?:[ _][A-Z]+){0,3}|(?i:first|last|full|user|company|product|order|site|customer|reply|post|ticket|model|tag)[ _]?\w*)[\]>]")
+SALUTATION_RE = re.compile(r"^(?:dear|hi|hello|hey|bonjour|hola|hallo|liebe[r]?|cher|chère|estimad[oa]|sehr geehrte[r]?|thanks|regards|welcome)\b")
+MARKS_RE = re.compile(r"[{<\[%«@|_]")
+
+#: Values that were printed into a slot though they were empty: a salutation, a label or a subject beside them.
+_VOID = r"(?:undefined|null|nan|none|nil)"
+LEAK_RE = re.compile(
+    rf"\[object object\]|\binvalid date\b|^(?:{_VOID}|n/a|true|false)[.!,]?$|\b(?:dear|hi|hello|hey|by|from|bonjour|hola|hallo|liebe[r]?|thanks|welcome|to|on|at|since)(?: back| again)?,? {_VOID}\b"
+    rf"|^{_VOID} \w+(?:ed|t|s|e|as) (?:a|an|your|the|on|this)\b|\b\w+ ?: ?(?:undefined|null|nan|nil)\b(?! ?[;,)}}])|\byour \w+ {_VOID}\b|\b{_VOID}\b.{{0,30}}\b(?:undefined|null|nan)\b",
+    re.I,
+)
+
+#: Machine output: a message with its place, a state with its number, a product with its version.
+MACHINE_RE = re.compile(
+    r"\b(?:at|on|in) (?:line|row) \d+|\(line \d+\)|\berrno \d+|\bin /\S+\.\w{2,4}\b|\bsqlstate\b|\b(?:unhandled|uncaught)\b.{0,20}\b(?:error|exception|request)\b|^\W*(?:php )?(?:warning|fatal(?: error)?|notice|parse error)\b ?:"
+    r"|^\w+_\w+: [\w]+(?:\.\w+)+$|\w+(?:exception|error) at \w+",
+    re.I,
+)
+TAGGED_RE = re.compile(r"^\s*<(?:html|noscript|!doctype|body|!--)", re.I)
+_TAG_RE = re.compile(r"</?[a-zA-Z!][^>]*>|<!--|-->")
+#: A unit that is set apart as a form's prompt: in brackets, parentheses, underscores or a comment.
+APART_RE = re.compile(r"^(?:\[[^\]]+\]|\([^)]+\)|_[^_]+_|<!--.*-->|<[^>]+>)[.:]?$")
+
+#: Signs that a unit speaks about such text instead of being it, by how the sentence is built.
 _SAYS = r"(?:says?|said|tells?|told|claims?|claimed|complains?|complained|reports?|reported|shows?|showed|answers|answered)"
 _PUTS = r"(?:leaves?|left|prints?|printed|shows?|showed|displays?|displayed|renders?|rendered|says?|said|reads|inserts?|inserted|writes?|wrote|sends?|sent|contains?|keeps?|kept)"
-TALK = [
-    r"\?\W*$",  # a question
-    # the writer is the subject, or what it is about is the writer's
-    r"(?<![\w.])i(?:'m|'ve|'d|'ll|’m|’ve|’d|’ll)?(?![\w.'’])",
-    r"\bmy (?!(?:account|profile|dashboard|page|posts|questions|answers|settings)\b)\w+|^mine\b",
-    r"\b(?:tells?|told|gives?|gave|shows?|showed|asks?|asked|lets?) me\b|\bfor me\W*$",
-    # a question's opening without its mark; 'what you were looking for' opens no question
-    r"^(?:(?:and|but|so|hi|hello|also|ok),? )?(?:how|why|what|where|which|when|who)(?: (?!you\b|we\b|this\b|the\b)\w+)? (?:do|does|did|is|are|was|were|can|could|should|would|will|has|have|to)\b",
-    r"^(?:(?:does|has|did|can|could|is there) )?(?:any(?:one|body)\b(?: else| here)? (?:knows?|has|have|had|sees?|seen|gets?|got|tried|explain)|some(?:one|body)\b(?: else| here)? (?:knows?|explain))\b",
-    # what somebody or something says
-    rf"\b(?:it|he|she|they|browser|reader|client|editor|app|tool|console|log|screen|proxy|server|visitors?|users?|people|everyone|colleagues?) (?:just |only |now |always |then |still )?{_SAYS}\b",
-    # a quotation (masked) that something says or that is called a text; 'the page ⟦⟧ could not be found' is a notice
-    rf"\b(?:{_SAYS}|messages?|texts?|notices?|banners?|sentences?|lines?|words?|labels?|called|like)\b\W*⟦⟧|⟦⟧ means\b",
-    # a bare field name that something puts into a text
-    rf"^\w+(?: \w+){{0,4}} {_PUTS} (?:the |a |an |me |us |only )?[\[<][\w ]+[\]>](?! *[.!,]? *$)",
-]
-
-FAMILIES = {
-    "placeholder": PLACEHOLDERS,
-    "soft": SOFT_PLACEHOLDERS,
-    "prompt": PROMPTS,
-    "leak": LEAKS,
-    "filler": FILLER,
-    "machine": MACHINE,
-    "notice": NOTICES,
-    "scripts": SCRIPTS,
-}
-
-
-def joined(patterns: list[str]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
-
-
-COMPILED = {k: [re.compile(p, re.I) for p in v] for k, v in FAMILIES.items()}
-TALK_RE = re.compile(joined(TALK), re.I)
+TALK_RE = re.compile(
+    "|".join(
+        f"(?:{p})"
+        for p in (
+            r"\?\W*$",  # a question
+            # the writer is the subject, or what it is about is the writer's
+            r"(?<![\w.])i(?:'m|'ve|'d|'ll|’m|’ve|’d|’ll)?(?![\w.'’])",
+            r"\bmy (?!(?:account|profile|dashboard|page|posts|questions|answers|settings)\b)\w+|^mine\b",
+            r"\b(?:tells?|told|gives?|gave|shows?|showed|asks?|asked|lets?) me\b|\bfor me\W*$",
+            # a question's opening without its mark; 'what you were looking for' opens no question
+            r"^(?:(?:and|but|so|hi|hello|also|ok),? )?(?:how|why|what|where|which|when|who)(?: (?!you\b|we\b|this\b|the\b)\w+)? (?:do|does|did|is|are|was|were|can|could|should|would|will|has|have|to)\b",
+            r"^(?:(?:does|has|did|can|could|is there) )?(?:any(?:one|body)\b(?: else| here)? (?:knows?|has|have|had|sees?|seen|gets?|got|tried|explain)|some(?:one|body)\b(?: else| here)? (?:knows?|explain))\b",
+            # what somebody or something says
+            rf"\b(?:it|he|she|they|browser|reader|client|editor|app|tool|console|log|screen|proxy|server|visitors?|users?|people|everyone|colleagues?) (?:just |only |now |always |then |still )?{_SAYS}\b",
+            # a quotation (masked) that something says or that is called a text; 'the page ⟦⟧ could not be found' is a notice
+            rf"\b(?:{_SAYS}|messages?|texts?|notices?|banners?|sentences?|lines?|words?|labels?|called|like)\b\W*⟦⟧|⟦⟧ means\b",
+            # a bare field name that something puts into a text
+            rf"^\w+(?: \w+){{0,4}} {_PUTS} (?:the |a |an |me |us |only )?[\[<][\w ]+[\]>](?! *[.!,]? *$)",
+        )
+    ),
+    re.I,
+)
 CODE_RE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|`[^`\n]+`", re.S | re.I)
 QUOTE_RE = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”")
+URL_RE = re.compile(r"\b(?:https?|ftp)://\S+")
+WORD_RE = re.compile(r"[^\W\d_]+|\d+")
+_ID_RE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b", re.I)
+_SPLIT_RE = re.compile(r"(?<=[.!?;])\s+")
+_MASK_RE = re.compile(r"\d+")
+
+ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_NEIGHBOURS = {a + b for row in ROWS for i, a in enumerate(row) for b in row[max(i - 1, 0) : i + 2]}
+#: Above this weight template syntax alone makes residue; the others need more evidence.
+TEMPLATE, STRONG, WEAK = 2.0, 1.5, 1.25
+#: Kind of a unit that a site or form could say, without anything that says so: no evidence, and no content either.
+MANNER = "manner"
+#: Share of a unit's content words that must be of one vocabulary; beyond FULL_SHARE one core word is enough.
+FULL_SHARE, STRONG_SHARE, WEAK_SHARE = 0.8, 0.7, 0.55
+
+
+class Vocabulary:
+    """Words and stems with a weight."""
+
+    def __init__(self, core: str, manners: str = "", manner_weight: float = 0.8) -> None:
+        self.words: dict[str, float] = {}
+        stems: dict[str, float] = {}
+        for text, weight in ((manners, manner_weight), (core, 1.0)):
+            for w in text.split():
+                (stems if w.endswith("*") else self.words)[w.rstrip("*")] = weight
+        self.stems = sorted(stems.items(), key=lambda kv: -len(kv[0]))
+
+    def weight(self, word: str) -> float:
+        found = self.words.get(word)
+        return found if found is not None else next((w for s, w in self.stems if word.startswith(s)), 0.0)
+
+
+_EMPTY = frozenset(FUNCTION_WORDS.split())
+_SITE = Vocabulary(f"{THINGS} {STATES}", f"{ABLE} {MANNERS}")
+_VOCABULARIES = (_SITE, Vocabulary(DRAFT, DRAFT_MANNERS), Vocabulary(LATIN), Vocabulary(STATES), Vocabulary(ABLE))
+
+
+class Judge:
+    """Judges units, remembering words and units seen (a bounded memory: it is emptied when full)."""
+
+    def __init__(self, pairs: np.ndarray | None, memory: int = 100_000) -> None:
+        self.pairs, self.memory = pairs, memory
+        self.words: dict[str, tuple] = {}
+        self.units: dict[str, tuple] = {}
+
+    def word(self, w: str) -> tuple[bool, tuple[float, ...], int]:
+        """(carries content, weight in each vocabulary, term): the term is a hash, 0 for short or empty words."""
+        found = self.words.get(w)
+        if found is None:
+            if len(self.words) > self.memory:
+                self.words.clear()
+            if w.isdigit():
+                status = len(w) == 3 and w[0] in "45"
+                found = (status, (1.0, 0.0, 0.0, 1.0, 0.0) if status else (0.0,) * 5, 0)
+            else:
+                full = w not in _EMPTY and len(w) > 1
+                term = zlib.crc32(w.encode("utf-8", "replace")) - 2**31 if full and len(w) > 3 else 0
+                found = (full, tuple(v.weight(w) for v in _VOCABULARIES), term)
+            self.words[w] = found
+        return found
+
+    def unit(self, text: str) -> tuple[str, float, frozenset[int], int]:
+        """(kind, weight, terms, fingerprint) of a unit; kind is empty for ordinary content, and weight 0 but for residue."""
+        found = self.units.get(text)
+        if found is None:
+            if len(self.units) > self.memory:
+                self.units.clear()
+            found = self.units[text] = self._unit(text)
+        return found
+
+    def _unit(self, text: str) -> tuple[str, float, frozenset[int], int]:
+        lowered = text.lower()
+        marked = MARKS_RE.search(text) is not None
+        tagged = marked and TAGGED_RE.search(text) is not None
+        plain = _TAG_RE.sub(" ", lowered) if marked else lowered
+        if "://" in plain:
+            plain = URL_RE.sub(" ", plain)
+        tokens = WORD_RE.findall(_ID_RE.sub(" ", plain) if not plain.isalpha() else plain)
+        seen = [self.word(w) for w in tokens]
+        terms = frozenset(t for _, _, t in seen if t)
+        kind, weight = self._kind(text, lowered, tokens, seen, marked, tagged)
+        print_ = zlib.crc32(_MASK_RE.sub("#", _ID_RE.sub("#", TEMPLATE_RE.sub("□", text).lower())).encode("utf-8", "replace")) - 2**31 if weight else 0
+        return kind, weight, terms, print_
+
+    def _kind(self, text: str, lowered: str, tokens: list[str], seen: list[tuple], marked: bool, tagged: bool) -> tuple[str, float]:
+        if marked and TEMPLATE_RE.search(text):
+            return "template", TEMPLATE
+        full = [w for f, w, _ in seen if f]
+        n = len(full)
+        site, draft, latin, states, able = (sum(w[k] for w in full) for k in range(5))
+        core = [sum(w[k] == 1.0 for w in full) for k in range(3)]
+        if site and STATE_RE.search(lowered):
+            states += 1
+            core[0] += 1
+            site = min(float(n), site + 0.2)
+        if able and NEGATION_RE.search(lowered):
+            states += able
+            core[0] += able
+            site += 0.2 * able
+        share = [x / n if n else 0.0 for x in (site, draft, latin)]
+        service = states > 0 and share[0] >= WEAK_SHARE
+        drafted = core[1] > 0 and share[1] >= WEAK_SHARE
+        prompt = share[1] >= WEAK_SHARE and APART_RE.search(text) is not None
+        void = LEAK_RE.search(lowered) is not None
+        machine = MACHINE_RE.search(lowered) is not None
+        bracketed = marked and BRACKETED_RE.search(text) is not None
+        bar = share[0] >= STRONG_SHARE and NAVIGATION_RE.search(lowered) is not None
+        noise = self._noise(tokens, seen, lowered)
+        if not (service or drafted or prompt or void or machine or bracketed or bar or noise or (core[2] and share[2] >= WEAK_SHARE)):
+            return (MANNER if n and max(share[:2]) >= STRONG_SHARE else ""), 0.0
+        if not tagged and TALK_RE.search(text):
+            return "", 0.0
+        if void:
+            return "leak", STRONG
+        if noise:
+            return noise, STRONG
+        if core[2] and share[2] >= WEAK_SHARE:
+            return "latin", STRONG if n > 2 and share[2] >= STRONG_SHARE else WEAK
+        if prompt or drafted and n > 1 and (share[1] > FULL_SHARE - 1e-9 or core[1] > 1 and share[1] >= STRONG_SHARE):
+            return "draft", STRONG
+        if service and n > 1 and (share[0] > FULL_SHARE - 1e-9 or core[0] > 1 and share[0] >= STRONG_SHARE):
+            return "service", STRONG
+        if bar:
+            return "navigation", STRONG
+        if machine:
+            return "machine", STRONG if service or tagged else WEAK
+        if bracketed:
+            return "bracketed", STRONG if n - 1 <= 2 or SALUTATION_RE.search(lowered) else WEAK
+        return ("service" if service else "draft"), WEAK
+
+    def _noise(self, tokens: list[str], seen: list[tuple], lowered: str) -> str:
+        """Repeated words, keyboard rows, or letters unlike the corpus, in units of words that are no function words."""
+        words = [t for t in tokens if not t.isdigit()]
+        k = len(words)
+        if k < 3:
+            return ""
+        if len(set(words)) * 3 <= k:
+            return "repetition"
+        bare = [w for w, (f, _, _) in zip(words, (s for t, s in zip(tokens, seen) if not t.isdigit())) if f]
+        if len(bare) < k:
+            return ""
+        steps = [w[i : i + 2] for w in words for i in range(len(w) - 1)]
+        if steps and sum(s in _NEIGHBOURS for s in steps) >= 0.75 * len(steps):
+            return "keyboard"
+        if self.pairs is not None and k > 3 and all(sum(s[1]) == 0 for s in seen) and re.fullmatch(r"[^\W\d_]+(?:[ .,!?]+[^\W\d_]+)*[ .,!?]*", lowered) and unlikely(words, self.pairs):
+            return "gibberish"
+        return ""
+
+
+LETTERS = 28  # a..z, any other letter, anything else
+_TABLE = np.full(65536, 26, np.uint8)
+_TABLE[:128] = 27
+_TABLE[ord("a") : ord("z") + 1] = np.arange(26)
+_TABLE[128:192] = 27
+
+
+def letter_pairs(text: str) -> np.ndarray:
+    """Counts of adjacent symbols (LETTERS x LETTERS, flat) of a lower-cased text."""
+    codes = np.frombuffer(text.lower().encode("utf-16-le", "replace"), np.uint16)
+    if len(codes) < 2:
+        return np.zeros(LETTERS * LETTERS, np.int64)
+    s = _TABLE[codes].astype(np.int64)
+    return np.bincount(s[:-1] * LETTERS + s[1:], minlength=LETTERS * LETTERS)
+
+
+def unlikely(words: list[str], pairs: np.ndarray) -> bool:
+    """Are the letters further from the corpus's pairs than letters drawn at random from its single letters would be on half the way?
+
+    ``pairs``: (log-probability of the next symbol, of a symbol by itself), LETTERS x LETTERS each.
+    """
+    n = letter_pairs(" ".join(words)).reshape(LETTERS, LETTERS)
+    total = n.sum()
+    return total > 15 and float((n * (pairs[0] - pairs[1])).sum()) < 0.0
+
+
+def split_units(text: str) -> list[str]:
+    """Lines' sentences outside code, quotations and quoted lines; machine output and mark-up lines stay whole."""
+    text = CODE_RE.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n"))
+    units = []
+    for line in text.split("\n"):
+        line = line.strip()
+        if not line or line[0] == ">":
+            continue
+        if line[0] == "{" and line[-1] == "}" or line[0] == "<" and TAGGED_RE.search(line):
+            units.append(line)
+            continue
+        if '"' in line or "“" in line:
+            line = QUOTE_RE.sub(" ⟦⟧ ", line).strip()
+        units += [u for u in _SPLIT_RE.split(line) if u]
+    return units
