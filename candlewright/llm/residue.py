@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.functions.salting import salted_join
-from candlewright.llm.residue_rules import CODE_RE, LETTERS, MANNER, TEMPLATE, TEMPLATE_RE, WEAK, Judge, letter_pairs, split_units
+from candlewright.llm.residue_rules import CODE_RE, LETTERS, MANNER, STRONG, TEMPLATE, TEMPLATE_RE, WEAK, Judge, letter_pairs, split_units
 from candlewright.session import materialise
 
 #: A post is residue from this score on.
@@ -37,6 +38,8 @@ LEAST_UNIT_TERMS = 4
 REPEATED, ONE_HOST, LEAST_TERMS, OFF_TOPIC = 20, 0.9, 6, 0.95
 PRIOR = 20.0
 
+#: A form's label: a heading, or what ends in a colon.
+_LABEL_RE = re.compile(r"#{1,6} .*|\*\*.*\*\*|.*:")
 _DIGITS = re.compile(r"\d+")
 _UNIT = "struct<kind:string,weight:double,terms:array<int>,print:int,alone:boolean>"
 _POST = f"struct<units:array<{_UNIT}>,title:array<int>,prose:array<int>,print:bigint>"
@@ -71,7 +74,7 @@ def look(text: str | None, asks: bool, judge: Judge) -> tuple[list[dict], list[i
     """(suspicious units, title terms, prose terms, fingerprint) of one whole text.
 
     The title is the first line of a question, as far as it is content; all of it is where a body follows, template syntax apart. Prose is all other content; what a site or a form could
-    say without being suspicious is neither. alone: the post says little besides, and more than one weakly
+    say without being suspicious is neither. A form is suspicious if two of its labels or more are followed by nothing that was filled in. alone: the post says little besides, and more than one weakly
     suspicious unit stands for that. The fingerprint hashes all units, digits and fillings masked.
     """
     units = split_units(text) if text else []
@@ -87,6 +90,13 @@ def look(text: str | None, asks: bool, judge: Judge) -> tuple[list[dict], list[i
     if "{" in masked or "<" in masked or "[" in masked or "%" in masked:
         masked = TEMPLATE_RE.sub("□", masked)
     print_ = int.from_bytes(hashlib.blake2b(_DIGITS.sub("#", masked).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    labels = [i for i, u in enumerate(units) if _LABEL_RE.fullmatch(u)]
+    unfilled = [i for i in labels if i + 1 < len(units) and (judged[i + 1][0] == MANNER or judged[i + 1][0] == "draft")]
+    if len(unfilled) > 1:
+        terms = frozenset(t for i in unfilled for t in judged[i + 1][2])
+        judged.append(("form", STRONG, terms, zlib.crc32(repr([units[i] for i in unfilled]).encode("utf-8", "replace")) - 2**31))
+        for i in labels:
+            judged[i] = (MANNER, *judged[i][1:])
     found = []
     if any(weight for _, weight, _, _ in judged):
         said = sum(len(terms) for kind, weight, terms, _ in judged if weight or kind == MANNER)

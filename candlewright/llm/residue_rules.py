@@ -21,7 +21,7 @@ for from in into on onto to with without about above after before between during
 were be been being am do does did has have had having will would shall should can could may might must cannot not no yes any some per seem seems yet itself yourself themselves id all both each
 every either neither other another such same own too very just only also there here when where which who whom what how why because
 der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren muss müssen musst wird werden wurde wurden hat
-haben ich du er sie es wir ihr ihnen ihre ihren mich mir uns euch mein dein sein auf in im an am zu zum zur von vom mit ohne für bei
+haben ich du er sie es wir ihr ihnen ihre ihren mich mir uns euch mein dein sein auf in im um an am zu zum zur von vom mit ohne für bei
 nach aus über unter als wie wenn dass daß so auch nur noch schon bald dieser diese dieses diesen diesem hier dort was wer da kann
 el la los las un una unos unas y o pero no es son era fue ser debe deben está están ha han he lo le les se su sus mi tu nos me te de del a al en
 con sin por para como que qué si más muy ya este esta esto estos estas ese esa eso aquí hay puede cuando donde
@@ -46,7 +46,7 @@ error* fail* fault* exception* unavailable* unreachable offline denied denial fo
 remov* delet* restrict* suspend* banned ban exceed* refus* maintenance outage* downtime timed overload* unauthor* unsupported require* unknown limit* moved gone
 permission* access* temporar* unexpected* loading occurred awkward captcha human robot* reloads redirect* signed logged session* lost
 trouble* snag* hiccup* glitch* mishap oops whoops hoppla oups apolog* unable difficult* outdated updated scheduled planned interrupted maintain* verify*
-javascript js script scripts scripting noscript cookie*
+errno javascript js script scripts scripting noscript cookie*
 fehler* wartung* gesperrt verweigert abgelaufen* deaktivier* aktivier* vorübergehend erforderlich benötigt störung* aufgetreten fehlen fehlt
 denegad* activar habilit* mantenimiento inesperado temporal* caducad* bloquea* expirad* necesari* necesita* sesión solicitad*
 erreur* refus* introuvable* indisponible* interdit* expiré* activer désactiv* momentané* temporair* inattendu* survenue
@@ -67,16 +67,16 @@ please sorry thank thanks patience try again retry later shortly soon slow littl
 turn* switch* sign log register* contact* visit* check* confirm* proceed click browse skip use find reload* refresh* look looking longer
 need needs something wrong happen* happening problem* issue* tell know known never busy many much full gave reply
 update* way home main menu search start close closed window feature* appear* appears nothing sent keep keeps side team down
-private protected hidden locked broken receive* until one reason code bad read stay stays empty make sure like instead several unusual
+private protected hidden locked broken kindly setting* depend* connect* receive* until one reason code bad read stay stays empty make sure like instead several unusual
 detected protect suspicious timeout went followed technical region country secure connecting notif* broke experienc* uh oh go going author* post posts thread question* answer* comment* topic* discussion* vote* tag tags resource* document*
 article* item* reader option* help
-bitte versuchen versuch* später erneut laden warten nochmals werden öffnen sekunden minuten leider gerade derzeit momentan zurück startseite mehr
+bitte versuchen versuch* sehen später erneut laden warten nochmals werden öffnen sekunden minuten leider gerade derzeit momentan zurück startseite mehr
 favor intente inténtelo intentar nuevo segundos minutos vuelva más tarde ver producido iniciar volver inicio usar pueden cambiado
 veuillez réessayer patienter voir plus tard nouveau secondes minutes retour accueil cette produit* charger
 """
 
 #: Turns of phrase that report a state, by their build.
-STATE_RE = re.compile(r"\btoo many\b|^\W*(?:checking|verifying|loading|redirecting|processing|connecting|updating)\b|\bwent wrong\b|\b(?:is|are|be|was|were) (?:\w+ )?down\b|\bdown for\b|\b(?:sign|log)(?:ged|ing)? (?:in|out)\b|^\W*(?:\w+ ){0,3}\w+(?:\.{3}|…)$")
+STATE_RE = re.compile(r"\btoo many\b|\bretry (?:after|in) \d|^slow down\b|please slow down\b|\b(?:one moment|please wait|just a (?:moment|second))\b|^\W*(?:checking|verifying|loading|redirecting|processing|connecting|updating)\b|\bwent wrong\b|\b(?:is|are|be|was|were) (?:\w+ )?down\b|\bdown for\b|\b(?:sign|log)(?:ged|ing)? (?:in|out)\b|^\W*(?:\w+ ){0,3}\w+(?:\.{3}|…)$")
 NEGATION_RE = re.compile(r"\b(?:not|no|cannot|can't|couldn't|doesn't|isn't|don't|unable|never|without|nicht|kein\w*|ohne|sin|ne|n'\w+|pas|sans)\b")
 #: A site's navigation: names and nothing else between separators.
 NAVIGATION_RE = re.compile(r"^[^\W\d_]+(?: [^\W\d_]+)?(?: ?[|»>·] ?[^\W\d_]+(?: [^\W\d_]+)?){2,}$")
@@ -124,6 +124,8 @@ LEAK_RE = re.compile(
     re.I,
 )
 
+_VOIDS = frozenset("undefined null nan none nil object invalid n true false".split())
+
 #: Machine output: a message with its place, a state with its number, a product with its version.
 MACHINE_RE = re.compile(
     r"\b(?:at|on|in) (?:line|row) \d+|\(line \d+\)|\berrno \d+|\bin /\S+\.\w{2,4}\b|\bsqlstate\b|\b(?:unhandled|uncaught)\b.{0,20}\b(?:error|exception|request)\b|^\W*(?:php )?(?:warning|fatal(?: error)?|notice|parse error)\b ?:"
@@ -131,7 +133,9 @@ MACHINE_RE = re.compile(
     re.I,
 )
 TAGGED_RE = re.compile(r"^\s*<(?:html|noscript|!doctype|body|!--)", re.I)
-_TAG_RE = re.compile(r"</?[a-zA-Z!][^>]*>|<!--|-->")
+_TAG_RE = re.compile(r"</?[a-zA-Z][^>]*>|<!--|<!doctype[^>]*>|-->")
+_PATH_RE = re.compile(r"(?<!\S)/\S+\.\w+")
+_BLANK_RE = re.compile(r"[\s.…_\-]{3,}|…")
 #: A unit that is set apart as a form's prompt: in brackets, parentheses, underscores or a comment.
 APART_RE = re.compile(r"^(?:\[[^\]]+\]|\([^)]+\)|_[^_]+_|<!--.*-->|<[^>]+>)[.:]?$")
 
@@ -166,7 +170,9 @@ URL_RE = re.compile(r"\b(?:https?|ftp)://\S+")
 WORD_RE = re.compile(r"[^\W\d_]+|\d+")
 _ID_RE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b", re.I)
 _SPLIT_RE = re.compile(r"(?<=[.!?;])\s+")
-_MASK_RE = re.compile(r"\d+")
+_DIGIT_RE = re.compile(r"\d+")
+_PUNCTUATED_RE = re.compile(r"[:/(_\d]|SQL|sql|nhandled|ncaught")
+_WORDS_ONLY_RE = re.compile(r"[^\W\d_]+(?:[ .,!?]+[^\W\d_]+)*[ .,!?]*")
 
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 _NEIGHBOURS = {a + b for row in ROWS for i, a in enumerate(row) for b in row[max(i - 1, 0) : i + 2]}
@@ -208,18 +214,19 @@ class Judge:
         self.units: dict[str, tuple] = {}
 
     def word(self, w: str) -> tuple[bool, tuple[float, ...], int]:
-        """(carries content, weight in each vocabulary, term): the term is a hash, 0 for short or empty words."""
+        """(carries content, weight in each vocabulary or () if in none, term): the term is a hash, 0 for short or empty words."""
         found = self.words.get(w)
         if found is None:
             if len(self.words) > self.memory:
                 self.words.clear()
             if w.isdigit():
                 status = len(w) == 3 and w[0] in "45"
-                found = (status, (1.0, 0.0, 0.0, 1.0, 0.0) if status else (0.0,) * 5, 0)
+                found = (status, (1.0, 0.0, 0.0, 1.0, 0.0) if status else (), 0)
             else:
                 full = w not in _EMPTY and len(w) > 1
+                weights = tuple(v.weight(w) for v in _VOCABULARIES) if full else ()
                 term = zlib.crc32(w.encode("utf-8", "replace")) - 2**31 if full and len(w) > 3 else 0
-                found = (full, tuple(v.weight(w) for v in _VOCABULARIES), term)
+                found = (full, weights if any(weights) else (), term)
             self.words[w] = found
         return found
 
@@ -233,56 +240,64 @@ class Judge:
         return found
 
     def _unit(self, text: str) -> tuple[str, float, frozenset[int], int]:
-        lowered = text.lower()
+        plain = text.lower()
         marked = MARKS_RE.search(text) is not None
-        tagged = marked and TAGGED_RE.search(text) is not None
-        plain = _TAG_RE.sub(" ", lowered) if marked else lowered
-        if "://" in plain:
-            plain = URL_RE.sub(" ", plain)
-        tokens = WORD_RE.findall(_ID_RE.sub(" ", plain) if not plain.isalpha() else plain)
+        if marked:
+            plain = _TAG_RE.sub(" ", plain)
+        if "/" in plain:
+            plain = _PATH_RE.sub(" ", URL_RE.sub(" ", plain))
+        if _DIGIT_RE.search(plain):
+            plain = _ID_RE.sub(" ", plain)
+        tokens = WORD_RE.findall(plain)
         seen = [self.word(w) for w in tokens]
-        terms = frozenset(t for _, _, t in seen if t)
-        kind, weight = self._kind(text, lowered, tokens, seen, marked, tagged)
-        print_ = zlib.crc32(_MASK_RE.sub("#", _ID_RE.sub("#", TEMPLATE_RE.sub("□", text).lower())).encode("utf-8", "replace")) - 2**31 if weight else 0
-        return kind, weight, terms, print_
+        kind, weight = self._kind(text, tokens, seen, marked)
+        print_ = zlib.crc32(_DIGIT_RE.sub("#", _ID_RE.sub("#", TEMPLATE_RE.sub("□", text).lower())).encode("utf-8", "replace")) - 2**31 if weight else 0
+        return kind, weight, frozenset([s[2] for s in seen if s[2]]), print_
 
-    def _kind(self, text: str, lowered: str, tokens: list[str], seen: list[tuple], marked: bool, tagged: bool) -> tuple[str, float]:
+    def _kind(self, text: str, tokens: list[str], seen: list[tuple], marked: bool) -> tuple[str, float]:
         if marked and TEMPLATE_RE.search(text):
             return "template", TEMPLATE
-        full = [w for f, w, _ in seen if f]
-        n = len(full)
-        site, draft, latin, states, able = (sum(w[k] for w in full) for k in range(5))
-        core = [sum(w[k] == 1.0 for w in full) for k in range(3)]
-        if site and STATE_RE.search(lowered):
-            states += 1
-            core[0] += 1
-            site = min(float(n), site + 0.2)
-        if able and NEGATION_RE.search(lowered):
-            states += able
-            core[0] += able
-            site += 0.2 * able
+        n = site = draft = latin = states = able = 0
+        core = [0.0, 0.0, 0.0]
+        for full, w, _ in seen:
+            if full:
+                n += 1
+                if w:
+                    site, draft, latin, states, able = site + w[0], draft + w[1], latin + w[2], states + w[3], able + w[4]
+                    for k in range(3):
+                        core[k] += w[k] == 1.0
+        lowered = text.lower()
+        if not n and _BLANK_RE.fullmatch(text):
+            return MANNER, 0.0
+        if site:
+            if STATE_RE.search(lowered):
+                states, core[0], site = states + 1, core[0] + 1, min(float(n), site + 0.2)
+            if able and NEGATION_RE.search(lowered):
+                states, core[0], site = states + able, core[0] + able, site + 0.2 * able
         share = [x / n if n else 0.0 for x in (site, draft, latin)]
         service = states > 0 and share[0] >= WEAK_SHARE
         drafted = core[1] > 0 and share[1] >= WEAK_SHARE
+        latin_ = core[2] > 0 and share[2] >= WEAK_SHARE
         prompt = share[1] >= WEAK_SHARE and APART_RE.search(text) is not None
-        void = LEAK_RE.search(lowered) is not None
-        machine = MACHINE_RE.search(lowered) is not None
-        bracketed = marked and BRACKETED_RE.search(text) is not None
         bar = share[0] >= STRONG_SHARE and NAVIGATION_RE.search(lowered) is not None
-        noise = self._noise(tokens, seen, lowered)
-        if not (service or drafted or prompt or void or machine or bracketed or bar or noise or (core[2] and share[2] >= WEAK_SHARE)):
+        void = not _VOIDS.isdisjoint(tokens) and LEAK_RE.search(lowered) is not None
+        machine = _PUNCTUATED_RE.search(text) is not None and MACHINE_RE.search(lowered) is not None
+        bracketed = marked and BRACKETED_RE.search(text) is not None
+        noise = self._noise([t for t in tokens if not t.isdigit()], n, site + draft > 0, lowered)
+        if not (service or drafted or latin_ or prompt or bar or void or machine or bracketed or noise):
             return (MANNER if n and max(share[:2]) >= STRONG_SHARE else ""), 0.0
+        tagged = marked and TAGGED_RE.search(text) is not None
         if not tagged and TALK_RE.search(text):
             return "", 0.0
         if void:
             return "leak", STRONG
         if noise:
             return noise, STRONG
-        if core[2] and share[2] >= WEAK_SHARE:
+        if latin_:
             return "latin", STRONG if n > 2 and share[2] >= STRONG_SHARE else WEAK
         if prompt or drafted and n > 1 and (share[1] > FULL_SHARE - 1e-9 or core[1] > 1 and share[1] >= STRONG_SHARE):
             return "draft", STRONG
-        if service and n > 1 and (share[0] > FULL_SHARE - 1e-9 or core[0] > 1 and share[0] >= STRONG_SHARE):
+        if service and (n > 1 or states > 1) and (share[0] > FULL_SHARE - 1e-9 or core[0] > 1 and share[0] >= STRONG_SHARE):
             return "service", STRONG
         if bar:
             return "navigation", STRONG
@@ -292,21 +307,19 @@ class Judge:
             return "bracketed", STRONG if n - 1 <= 2 or SALUTATION_RE.search(lowered) else WEAK
         return ("service" if service else "draft"), WEAK
 
-    def _noise(self, tokens: list[str], seen: list[tuple], lowered: str) -> str:
-        """Repeated words, keyboard rows, or letters unlike the corpus, in units of words that are no function words."""
-        words = [t for t in tokens if not t.isdigit()]
+    def _noise(self, words: list[str], n: int, known: bool, lowered: str) -> str:
+        """Repeated words; and keyboard rows or letters unlike the corpus, in units without function words."""
         k = len(words)
         if k < 3:
             return ""
         if len(set(words)) * 3 <= k:
             return "repetition"
-        bare = [w for w, (f, _, _) in zip(words, (s for t, s in zip(tokens, seen) if not t.isdigit())) if f]
-        if len(bare) < k:
+        if n < k or not all(w not in _EMPTY and len(w) > 1 for w in words):
             return ""
         steps = [w[i : i + 2] for w in words for i in range(len(w) - 1)]
         if steps and sum(s in _NEIGHBOURS for s in steps) >= 0.75 * len(steps):
             return "keyboard"
-        if self.pairs is not None and k > 3 and all(sum(s[1]) == 0 for s in seen) and re.fullmatch(r"[^\W\d_]+(?:[ .,!?]+[^\W\d_]+)*[ .,!?]*", lowered) and unlikely(words, self.pairs):
+        if self.pairs is not None and k > 3 and not known and _WORDS_ONLY_RE.fullmatch(lowered) and unlikely(words, self.pairs):
             return "gibberish"
         return ""
 

@@ -107,7 +107,7 @@ def test_title_and_host_evidence_decide(spark):
     rows = [(0, "Server is unavailable after the update\n\nMine hums since Tuesday and the fans spin loudly.", "s", 0, "", 0), (1, "The server is unavailable.", "s", 0, "", 0), (2, "Tulip bulbs rot", "s", 2, "", 0), (3, "The server is unavailable.", "s", 2, "", 0)]
     assert [r[0] for r in residue.residue_posts(spark.createDataFrame(rows, SCHEMA)).collect()] == [3]
     # weakly suspicious: only with its host's other threads
-    weak = "Kindly note: your request was blocked by the network."
+    weak = "Note well: your request was blocked by the network."
     assert found(judged(spark, [weak] * 2), 2) == [False] * 2 and found(judged(spark, [weak] * 3), 3) == [True] * 3
 
 
