@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.functions.salting import salted_join
-from candlewright.llm.residue_rules import CODE_RE, LETTERS, MANNER, STRONG, TEMPLATE, TEMPLATE_RE, WEAK, Judge, letter_pairs, split_units
+from candlewright.llm.residue_rules import LETTERS, MANNER, MARKS_RE, STRONG, TEMPLATE, TEMPLATE_RE, WEAK, Judge, letter_pairs, split_units, without_code
 from candlewright.session import materialise
 
 #: A post is residue from this score on.
@@ -38,8 +38,6 @@ LEAST_UNIT_TERMS = 4
 REPEATED, ONE_HOST, LEAST_TERMS, OFF_TOPIC = 20, 0.9, 6, 0.95
 PRIOR = 20.0
 
-#: A form's label: a heading, or what ends in a colon.
-_LABEL_RE = re.compile(r"#{1,6} .*|\*\*.*\*\*|.*:")
 _DIGITS = re.compile(r"\d+")
 _UNIT = "struct<kind:string,weight:double,terms:array<int>,print:int,alone:boolean>"
 _POST = f"struct<units:array<{_UNIT}>,title:array<int>,prose:array<int>,print:bigint>"
@@ -55,10 +53,7 @@ def pair_model(documents: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(LETTERS * LETTERS)
         for pdf in batches:
-            for t in pdf["text"]:
-                if t:
-                    pairs = letter_pairs(CODE_RE.sub(" ", t))
-                    total += pairs * min(1.0, 1000.0 / max(int(pairs.sum()), 1))
+            total += letter_pairs([without_code(t) for t in pdf["text"] if t], 1000.0)
         yield pd.DataFrame({"pair": np.arange(len(total)), "n": total})
 
     rows = documents.select("text").mapInPandas(count, "pair int, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect()
@@ -74,7 +69,7 @@ def look(text: str | None, asks: bool, judge: Judge) -> tuple[list[dict], list[i
     """(suspicious units, title terms, prose terms, fingerprint) of one whole text.
 
     The title is the first line of a question, as far as it is content; all of it is where a body follows, template syntax apart. Prose is all other content; what a site or a form could
-    say without being suspicious is neither. A form is suspicious if two of its labels or more are followed by nothing that was filled in. alone: the post says little besides, and more than one weakly
+    say without being suspicious is neither. A form is suspicious if two of its labels or more are (headings, or what ends in a colon) are followed by nothing that was filled in. alone: the post says little besides, and more than one weakly
     suspicious unit stands for that. The fingerprint hashes all units, digits and fillings masked.
     """
     units = split_units(text) if text else []
@@ -87,10 +82,10 @@ def look(text: str | None, asks: bool, judge: Judge) -> tuple[list[dict], list[i
         judged[:heads] = [j if j[1] >= TEMPLATE else ("", 0.0, *j[2:]) for j in judged[:heads]]
     title = {t for kind, weight, terms, _ in judged[:heads] if not weight and kind != MANNER for t in terms}
     masked = "\n".join(units).lower()
-    if "{" in masked or "<" in masked or "[" in masked or "%" in masked:
+    if MARKS_RE.search(masked):
         masked = TEMPLATE_RE.sub("□", masked)
     print_ = int.from_bytes(hashlib.blake2b(_DIGITS.sub("#", masked).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-    labels = [i for i, u in enumerate(units) if _LABEL_RE.fullmatch(u)]
+    labels = [i for i, u in enumerate(units) if u[-1] == ":" or u[0] == "#" or u[:2] == u[-2:] == "**"]
     unfilled = [i for i in labels if i + 1 < len(units) and (judged[i + 1][0] == MANNER or judged[i + 1][0] == "draft")]
     if len(unfilled) > 1:
         terms = frozenset(t for i in unfilled for t in judged[i + 1][2])

@@ -331,13 +331,18 @@ _TABLE[ord("a") : ord("z") + 1] = np.arange(26)
 _TABLE[128:192] = 27
 
 
-def letter_pairs(text: str) -> np.ndarray:
-    """Counts of adjacent symbols (LETTERS x LETTERS, flat) of a lower-cased text."""
-    codes = np.frombuffer(text.lower().encode("utf-16-le", "replace"), np.uint16)
-    if len(codes) < 2:
-        return np.zeros(LETTERS * LETTERS, np.int64)
-    s = _TABLE[codes].astype(np.int64)
-    return np.bincount(s[:-1] * LETTERS + s[1:], minlength=LETTERS * LETTERS)
+def letter_pairs(texts: list[str], most: float = float("inf")) -> np.ndarray:
+    """Weighted counts of adjacent symbols (LETTERS x LETTERS, flat) of lower-cased texts; a text of more than ``most`` pairs weighs ``most``."""
+    codes = [np.frombuffer(t.lower().encode("utf-16-le", "replace"), np.uint16) for t in texts]
+    lengths = np.array([len(c) for c in codes])
+    if not lengths.sum():
+        return np.zeros(LETTERS * LETTERS)
+    s = _TABLE[np.concatenate(codes)].astype(np.int32)
+    pair = s[:-1] * LETTERS + s[1:]
+    weight = np.repeat(np.minimum(1.0, most / np.maximum(lengths - 1, 1)), lengths)
+    ends = np.cumsum(lengths)
+    weight[ends[lengths > 0] - 1] = 0.0  # no pair over the edge of two texts
+    return np.bincount(pair, weight[:-1], LETTERS * LETTERS)
 
 
 def unlikely(words: list[str], pairs: np.ndarray) -> bool:
@@ -345,14 +350,20 @@ def unlikely(words: list[str], pairs: np.ndarray) -> bool:
 
     ``pairs``: (log-probability of the next symbol, of a symbol by itself), LETTERS x LETTERS each.
     """
-    n = letter_pairs(" ".join(words)).reshape(LETTERS, LETTERS)
+    n = letter_pairs([" ".join(words)]).reshape(LETTERS, LETTERS)
     total = n.sum()
     return total > 15 and float((n * (pairs[0] - pairs[1])).sum()) < 0.0
 
 
+def without_code(text: str) -> str:
+    return CODE_RE.sub(" ", text) if "`" in text or "~~~" in text or "<" in text else text
+
+
 def split_units(text: str) -> list[str]:
     """Lines' sentences outside code, quotations and quoted lines; machine output and mark-up lines stay whole."""
-    text = CODE_RE.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n"))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = without_code(text)
     units = []
     for line in text.split("\n"):
         line = line.strip()
