@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from candlewright.llm import runs
 
@@ -40,8 +41,35 @@ def test_equals_a_loop(spark, seed):
     df = spark.createDataFrame(rows, SCHEMA)
     got = runs.collapse_episodes(df).select("first_row_id", "last_row_id", "n_events").collect()
     assert sorted(tuple(r) for r in got) == loop(rows)
-    coarse = runs.collapse_runs(df, ["symbol", "cell"], "emitted_at", "row_id", runs.EPISODE_TOLERANCES, bucket_seconds=10**7)
-    assert coarse.count() == len(got)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many pieces, so that runs cross their edges
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    pieces = runs.collapse_episodes(df).select("first_row_id", "last_row_id", "n_events").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(tuple(r) for r in pieces) == loop(rows)
+
+
+def test_hot_entity_and_unknown_times(spark):
+    """One entity, all times NULL, one run over all pieces but for a break in the middle."""
+    rows = [(i, "A", "q", None, 5 if i != 2000 else 50, 10, 0.5, "x", 0) for i in range(4000)]
+    got = runs.collapse_episodes(spark.createDataFrame(rows, SCHEMA)).select("first_row_id", "last_row_id", "n_events").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1999, 2000), (2000, 2000, 1), (2001, 3999, 1999)]
+
+
+def test_difference_of_row_numbers_identifies_runs(spark):
+    """An event that comes back later has the same canonical event; only the difference tells its runs apart."""
+    starts = [0, 1, 9, 0, 0, 9, 9, 0, 2, 4, 0, 2, 0]  # the drift 0, 2, 4 jumps back to 0
+    rows = [(i, "A", "q", T0 + dt.timedelta(hours=i), v, 10, 0.5, "x", 0) for i, v in enumerate(starts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    order, values = [F.col("emitted_at")], {"episode_start_pos": 2}
+    canon = runs.canonicalised(df, ["symbol"], order, values)
+    seen = [tuple(r) for r in canon.orderBy("row_id").select("_c0", "_variant").collect()]
+    assert seen == [(0, 0)] * 2 + [(9, 0)] + [(0, 0)] * 2 + [(9, 0)] * 2 + [(0, 0)] * 3 + [(0, 1)] * 3
+    found = runs.islands(canon, ["symbol"], ["_c0", "_variant"], order)
+    assert found.groupBy("_c0", "_variant", "_island").count().count() == 6
+    assert found.groupBy("_c0", "_variant").count().count() == 3
+    got = runs.collapse_episodes(df).select("first_row_id", "last_row_id", "n_events").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 2), (2, 2, 1), (3, 4, 2), (5, 6, 2), (7, 9, 3), (10, 12, 3)]
 
 
 def test_drift_time_and_edges(spark):
