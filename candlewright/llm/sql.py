@@ -8,11 +8,23 @@ WITH pool AS (
   WHERE b.atr_14 > 0 AND NOT isnan(b.atr_14)
     AND NOT EXISTS (SELECT 1 FROM anchored_events e WHERE e.symbol = b.symbol AND e.decision_pos = b.pos)),
 counts AS (SELECT bucket_id, count(*) AS pool FROM pool GROUP BY bucket_id),
-report AS (
-  SELECT t.request_id, t.bucket_id, t.symbol, t.target_share,
+wanted AS (
+  SELECT t.request_id, t.bucket_id, t.symbol, t.target_share, t.sample_size, t.min_rows AS least,
          greatest(t.min_rows, CAST(round(t.target_share * t.sample_size) AS BIGINT)) AS quota,
          coalesce(c.pool, 0) AS pool
-  FROM sample_targets t LEFT JOIN counts c USING (bucket_id))
+  FROM sample_targets t LEFT JOIN counts c USING (bucket_id)),
+sized AS (
+  SELECT *, greatest(sum(least(pool, quota)) OVER r - sample_size, 0) AS over_by, sum(least(pool, quota) - least(pool, least)) OVER r AS room
+  FROM wanted WINDOW r AS (PARTITION BY request_id)),
+cuts AS (
+  SELECT *, least(over_by, room) AS cut, least(over_by, room) * (least(pool, quota) - least(pool, least)) AS num FROM sized),
+parts AS (
+  SELECT *, CASE WHEN room > 0 THEN CAST(num AS BIGINT) // CAST(room AS BIGINT) ELSE 0 END AS whole,
+         CASE WHEN room > 0 THEN CAST(num AS BIGINT) % CAST(room AS BIGINT) ELSE 0 END AS rest FROM cuts),
+report AS (
+  SELECT *, least(pool, quota) - whole
+    - CASE WHEN row_number() OVER (PARTITION BY request_id ORDER BY rest DESC, bucket_id) <= cut - sum(whole) OVER (PARTITION BY request_id) THEN 1 ELSE 0 END AS drawn
+  FROM parts)
 """
 
 _RUNS = """
@@ -34,10 +46,17 @@ SQL = {
     "p2_found": _POOL + "SELECT request_id, bucket_id FROM report WHERE pool < quota",
     "p2_report": _POOL
     + """
-SELECT request_id, bucket_id, symbol, target_share, quota, pool, least(pool, quota) AS drawn,
-       round(least(pool, quota) / nullif(sum(least(pool, quota)) OVER (PARTITION BY request_id), 0), 6) AS reached_share,
-       pool < quota AS exhausted
+SELECT request_id, bucket_id, symbol, target_share, CAST(quota AS BIGINT) AS quota, pool, CAST(drawn AS BIGINT) AS drawn,
+       round(drawn / nullif(sum(drawn) OVER (PARTITION BY request_id), 0), 6) AS reached_share,
+       pool < quota AS exhausted, CAST(least(pool, quota) - drawn AS BIGINT) AS trimmed,
+       sum(least) OVER (PARTITION BY request_id) > sample_size AS oversized
 FROM report""",
+    "p2_sample": _POOL
+    + """
+, ranked AS (
+  SELECT bucket_id, pos, row_number() OVER (
+    PARTITION BY bucket_id ORDER BY CAST('0x' || substr(md5(concat_ws('|', 42, symbol, pos)), 1, 15) AS BIGINT), pos) AS place FROM pool)
+SELECT r.request_id, r.bucket_id, r.symbol, k.pos FROM ranked k JOIN report r USING (bucket_id) WHERE k.place <= r.drawn""",
     "p5_found": _RUNS + "SELECT first_row_id, last_row_id FROM runs WHERE n_events > 1",
     "p5_runs": _RUNS + "SELECT symbol, cell, first_row_id, last_row_id, n_events, seconds FROM runs",
 }

@@ -29,9 +29,10 @@ def test_pools_and_quotas(spark):
     drawn, report = draw(spark, bars, targets, [("A", 3, 1.0), ("A", 3, 1.0), ("B", 4, 1.0), (None, 1, 1.0)])
     r = report.toPandas().set_index("bucket_id")
     assert r.pool.to_dict() == {10: 49, 11: 50, 12: 0, 13: 1} and r.quota.to_dict() == {10: 21, 11: 60, 12: 1, 13: 0}
-    assert r.exhausted.to_dict() == {10: False, 11: True, 12: True, 13: False} and r.drawn.to_dict() == {10: 21, 11: 50, 12: 0, 13: 0}
+    assert r.exhausted.to_dict() == {10: False, 11: True, 12: True, 13: False} and r.drawn.to_dict() == {10: 2, 11: 50, 12: 0, 13: 0}
+    assert r.oversized.to_dict() == {10: True, 11: True, 12: True, 13: False} and r.trimmed.to_dict() == {10: 19, 11: 0, 12: 0, 13: 0}
     d = drawn.toPandas()
-    assert not d.duplicated(["bucket_id", "pos"]).any() and 3 not in set(d.pos) and d.groupby("bucket_id").size().to_dict() == {10: 21, 11: 50}
+    assert not d.duplicated(["bucket_id", "pos"]).any() and 3 not in set(d.pos) and d.groupby("bucket_id").size().to_dict() == {10: 2, 11: 50}
 
 
 def test_draws_are_spread_evenly_and_repeatable(spark):
@@ -43,16 +44,43 @@ def test_draws_are_spread_evenly_and_repeatable(spark):
     assert counts.min() > 200
 
 
+def test_trimmed_within_the_size(spark):
+    """A request keeps its size unless its minima exceed it; what is above the minima is cut in proportion."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for request in range(40):
+        k = int(rng.integers(1, 7))
+        share = rng.dirichlet(np.ones(k))
+        size = int(rng.integers(0, 60))
+        for i in range(k):
+            least = int(rng.integers(0, 15))
+            rows.append((request, request * 10 + i, "A", float(share[i]), size, least, max(least, round(share[i] * size)), int(rng.integers(0, 40))))
+    schema = "request_id bigint, bucket_id bigint, symbol string, target_share double, sample_size bigint, least bigint, quota bigint, pool bigint"
+    got = sampling.feasible(spark.createDataFrame(rows, schema)).toPandas()
+    assert len(got) == len(rows)
+    for _, r in got.groupby("request_id"):
+        gives, floor = r[["pool", "quota"]].min(axis=1), r[["pool", "least"]].min(axis=1)
+        size = r.sample_size.iloc[0]
+        assert r.drawn.sum() == min(gives.sum(), max(size, floor.sum()))
+        assert (r.drawn >= floor).all() and (r.drawn <= gives).all()
+        cut, above = gives - r.drawn, gives - floor
+        assert (np.abs(cut - cut.sum() * above / max(above.sum(), 1)) < 1).all()
+
+
 def test_reservoirs_merge_like_one(spark):
+    """Reservoirs of reservoirs, in any grouping, hold what one over all rows would hold: each bucket its own quota."""
     rng = np.random.default_rng(0)
-    pdf = pd.DataFrame({"bucket_id": rng.integers(0, 3, 500_000), "pos": np.arange(500_000), "priority": rng.integers(0, 10**9, 500_000)})
-    parts = [pdf[i::4] for i in range(4)]
-    out = pd.concat(list(sampling._reservoirs(iter(parts), 50)))
+    n = 500_000
+    pdf = pd.DataFrame({"bucket_id": rng.integers(0, 3, n), "pos": np.arange(n), "priority": rng.integers(0, 10**9, n), "n": 1})
+    pdf["quota"] = pdf["bucket_id"].map({0: 50, 1: 7, 2: 0})
+    levels = [pd.concat(list(sampling._reservoirs(iter([pdf[i::8]])))) for i in range(8)]
+    out = pd.concat(list(sampling._reservoirs(iter(levels))))
     counts = out[out.priority < 0].set_index("bucket_id").n.to_dict()
     assert counts == pdf.groupby("bucket_id").size().to_dict()
     kept = out[out.priority >= 0].sort_values(["bucket_id", "priority"])
-    want = pdf.sort_values(["bucket_id", "priority"]).groupby("bucket_id").head(50)
-    assert kept.pos.tolist() == want.pos.tolist()
+    want = pdf.sort_values(["bucket_id", "priority"])
+    want = want[want.groupby("bucket_id").cumcount() < want.quota]
+    assert kept.pos.tolist() == want.pos.tolist() and len(kept) == 57
 
 
 def test_empty_tables(spark):
