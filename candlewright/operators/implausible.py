@@ -2,9 +2,9 @@
 
 Normal behaviour of a series comes from robust principal components: consecutive days
 stacked to a (days x slots of the day) matrix per reading, split by alternating projections into
-a low-rank part (what the series normally shows at that time) and a sparse part
-(readings that do not fit). Sparse entries are then held against the bars on both sides, so that
-only what is gone again within a few bars is a spike. Ranges and constant runs are tested apart.
+a low-rank part (what the series normally shows at that time) and a sparse part, the readings that lie beyond the
+tail of the block's own residuals. A sparse entry is a spike if it is gone again within a few bars. Ranges and
+constant runs are tested apart; runs are joined over all blocks.
 """
 
 from __future__ import annotations
@@ -13,43 +13,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.salting import salted_join
+from candlewright.session import materialise
 
 #: Grid steps, in minutes, that a series may have; used where no step is given.
 STEPS = (1, 3, 5, 15, 30, 60, 120, 240, 360, 480, 720, 1440, 10080)
+DAY_MS = 86_400_000
+#: Kinds of constant runs: close, traded volume, no volume.
+RUNS = ("price", "volume", "silence")
 
 
 @dataclass(frozen=True)
 class SpikeRules:
-    """Thresholds, each in units of the series' own robust scale.
-
-    block_bars bounds what one task holds of a series; edge_bars is what a block sees of its
-    neighbours. rank, rounds: of the decomposition. sparse: residual beyond which an entry is sparse.
-    spike: distance from the bars on both sides. volume_sparse, volume_spike: the same for log
-    volume. near: bars looked at on each side. still: move, in scales, below which a bar has not
-    moved. least_run: shortest stuck stretch (bars after its first). false_alarm: expected number of
-    ordinary stretches of the needed length in a series.
+    """block_bars, block_days: a task holds that many grid steps of a series, and that many days, at least. edge_bars: what
+    a block sees of its neighbours. rounds: of the decomposition. false_spikes: expected number of ordinary readings
+    a block, and reading, beyond the sparse part's cut (at 100 TB, some 10^8 blocks, a few hundred). near: bars looked at on each side. still: move, in
+    scales of the series, below which a bar has not moved. least_run: shortest stuck stretch (bars after its first).
+    false_runs: expected number of ordinary stretches of the needed length in a series.
     """
 
     block_bars: int = 4096
+    block_days: int = 16
     edge_bars: int = 128
-    rank: int = 2
     rounds: int = 4
-    sparse: float = 22.0
-    spike: float = 30.0
-    volume_sparse: float = 3.9
-    volume_spike: float = 3.9
+    false_spikes: float = 1e-6
     near: int = 7
     still: float = 0.02
     least_run: int = 6
-    false_alarm: float = 1e-4
+    false_runs: float = 1e-4
 
 
 def series_scales(feed: DataFrame, key: str = "symbol") -> DataFrame:
-    """Per series: row count, scale of its moves inside a bar, shares of still and of silent bars, median log volume.
+    """Per series: number of bars, scale of its moves inside a bar, shares of still and of silent bars, median log volume.
 
     Sketch aggregates with partial merging; no series is ordered or gathered.
     """
@@ -57,7 +55,7 @@ def series_scales(feed: DataFrame, key: str = "symbol") -> DataFrame:
     move = F.when(ok, F.abs(F.ln(F.col("close") / F.col("open"))))
     traded = F.when((F.col("volume") > 0) & ~F.isnan("volume"), F.ln("volume"))
     return feed.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.approx_count_distinct("ts", 0.02).alias("_n"),  # bars, however often they were delivered
         F.percentile_approx(F.when(move > 0, move), 0.5, 1000).alias("_scale"),
         F.avg(F.when(move.isNotNull(), (move == 0).cast("double"))).alias("_still"),
         F.avg((F.col("volume") == 0).cast("double")).alias("_silent"),
@@ -87,30 +85,54 @@ def _known_median(m: np.ndarray, axis: int) -> np.ndarray:
     return np.where(n > 0, (pick((n - 1) // 2) + pick(n // 2)) / 2, 0.0)
 
 
-def low_rank_part(m: np.ndarray, cut: np.ndarray, rank: int, rounds: int) -> np.ndarray:
-    """Low-rank parts of a stack of matrices (c, days, slots) with gaps (NaN), by alternating projections.
+def tail_cut(residual: np.ndarray, expected: float) -> float:
+    """Size that ``expected`` of the residuals would exceed if all were ordinary: a Weibull tail through their own quartile and 95 % point.
 
-    It starts from the slots' and then the days' medians; under eight days it ends there, with days' medians
-    only, and the rank is at most an eighth of the days: a few days cannot tell normal from sparse. Each round takes entries whose residual exceeds ``cut`` (c, 1, 1) as sparse, fills them and the gaps
-    from the current low-rank part, and projects on the leading ``rank`` right singular vectors,
-    found by subspace iteration that starts from the last round's.
+    Zeros are left out. Up to a twentieth of the residuals may be anything without moving it. Infinite where fewer than 16 are known.
+    """
+    size = np.abs(residual[np.isfinite(residual)])
+    size = np.sort(size[size > 1e-12])
+    n = len(size)
+    if n < 16:
+        return np.inf
+    low, high = size[int(0.75 * (n - 1))], size[int(0.95 * (n - 1))]
+    shape = np.log(high / low) / np.log(np.log(0.05) / np.log(0.25))
+    return float(high * (np.log(n / expected) / -np.log(0.05)) ** shape)
+
+
+def decompose(m: np.ndarray, rounds: int, expected: float) -> tuple[np.ndarray, np.ndarray]:
+    """Low-rank parts of a stack of matrices (c, days, slots) with gaps (NaN), and the cuts (c) beyond which an entry is sparse.
+
+    Alternating projections: entries whose residual exceeds the tail of all residuals are left out of the fit and, like the gaps, filled from the
+    current low-rank part (one ordinary entry may be, at the end only ``expected``); that part is the days' medians plus those principal components that exceed the
+    greatest one left when each day is turned by a random number of slots. A single day, whose one component any turn keeps, has none.
     """
     known = np.isfinite(m)
     c, days, slots = m.shape
-    rank = min(rank, days // 8, slots)
     value = np.where(known, m, 0.0)
-    slot = _known_median(m, 1) if rank else np.zeros((c, 1, slots))
-    low = slot + _known_median(np.where(known, m - slot, np.nan), 2)
-    if not rank:
-        return np.broadcast_to(low, m.shape)
-    basis = np.cos(np.pi * np.outer(np.arange(slots) + 0.5, np.arange(rank)) / slots)[None].repeat(c, 0)
-    basis /= np.sqrt((basis**2).sum(1, keepdims=True))
+    level = _known_median(m, 2)
+    low = np.broadcast_to(level, m.shape)
+    cuts = lambda low, expected: np.array([tail_cut(r[k], expected) for r, k in zip(value - low, known)])
+    cut = cuts(low, 1.0)
+
+    def gram(x: np.ndarray) -> np.ndarray:
+        return x @ x.transpose(0, 2, 1) if slots > days else x.transpose(0, 2, 1) @ x
+
+    # each day turned by hours drawn at random keeps its spread and its smoothness, and what days have in common at one time is lost
+    about = np.where(known & (np.abs(value - low) <= cut[:, None, None]), value - low, 0.0)
+    turns = np.random.default_rng(0).integers(0, slots, (4, days, 1))
+    turned = [np.take_along_axis(about, np.broadcast_to((np.arange(slots) + t) % slots, m.shape), 2) for t in turns]
+    noise = np.max([np.linalg.eigvalsh(gram(x))[:, -1] for x in turned], axis=0)
     for _ in range(rounds):
-        dense = known & (np.abs(value - low) <= cut)
-        filled = np.where(dense, value, low)
-        basis, _ = np.linalg.qr(filled.transpose(0, 2, 1) @ (filled @ basis) + 1e-12 * basis)
-        low = (filled @ basis) @ basis.transpose(0, 2, 1)
-    return low
+        dense = known & (np.abs(value - low) <= cut[:, None, None])
+        filled = np.where(dense, value, low) - level
+        size, vectors = np.linalg.eigh(gram(filled))
+        kept = vectors * (size > 1.1 * noise[:, None])[:, None, :]
+        parts = kept @ (kept.transpose(0, 2, 1) @ filled) if slots > days else (filled @ kept) @ kept.transpose(0, 2, 1)
+        level = _known_median(np.where(known, m - parts, np.nan), 2)
+        low = level + parts
+        cut = cuts(low, 1.0)
+    return low, cuts(low, expected)
 
 
 def _side_medians(x: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,83 +151,139 @@ def _side_medians(x: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
     return med(views[:n]), med(views[near + 1 : near + 1 + n])
 
 
-def _long_runs(flag: np.ndarray, least: float) -> np.ndarray:
-    """True where ``flag`` holds within a run of at least ``least``."""
-    edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
+def _level(x: np.ndarray, near: int) -> np.ndarray:
+    """Median of the known values within ``near`` places of each (NaN where none)."""
+    pad = np.full(near, np.nan)
+    v = np.sort(np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, x, pad]), 2 * near + 1), axis=1)  # NaN last
+    n = np.isfinite(v).sum(1)
+    at = np.arange(len(v))
+    return np.where(n > 0, (v[at, np.maximum((n - 1) // 2, 0)] + v[at, np.minimum(n // 2, 2 * near)]) / 2, np.nan)
+
+
+def _runs(same: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Of flags 'as the one before' of known bars (the first has none): length of the run each is in, and the runs at head and tail."""
+    n = len(same)
+    if n < 2:
+        return np.zeros(n, np.int64), 0, 0
+    edge = np.diff(np.concatenate([[0], same[1:].astype(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    out = np.zeros(len(flag) + 1, np.int32)
-    keep = (end - start) >= least
-    np.add.at(out, start[keep], 1)
-    np.add.at(out, end[keep], -1)
-    return np.cumsum(out[:-1]) > 0
+    length = np.zeros(n, np.int64)
+    for a, b in zip(start, end):
+        length[1 + a : 1 + b] = b - a
+    head = int(end[0]) if len(start) and start[0] == 0 else 0
+    tail = int(n - 1 - start[-1]) if len(end) and end[-1] == n - 1 else 0
+    return length, head, tail
+
+
+_JUDGED = "ingest_seq bigint, symbol string, ts bigint, block bigint, impossible boolean, spike boolean, " + ", ".join(f"{k}_run bigint, {k}_at int" for k in RUNS)
+_JUDGED += ", " + ", ".join(f"{k}_n bigint, {k}_head bigint, {k}_tail bigint, {k}_first double, {k}_last double" for k in RUNS)
+#: Where in a block's runs a bar stands: its first known bar, in the run at its head, in the run at its tail, or none of these.
+FIRST, HEAD, TAIL = 4, 1, 2
 
 
 def _judge(pdf: pd.DataFrame, rules: SpikeRules) -> pd.DataFrame:
-    """Flags of one block of one series; see the module docstring."""
+    """Flagged deliveries of one block of one series and those whose constant run may go on in another, and one row on the block's runs."""
+    columns = [f.split(" ")[0] for f in _JUDGED.split(", ")]
+    if not pdf["_own"].any():  # copies of a neighbour's edge, and nothing here
+        return pd.DataFrame(columns=columns)
     order = np.lexsort((pdf["ingest_seq"].to_numpy(), pdf["ts"].to_numpy()))
     ts = pdf["ts"].to_numpy()[order]
     high, low, close, volume = (pdf[c].to_numpy(dtype=np.float64, na_value=np.nan)[order] for c in ("high", "low", "close", "volume"))
+    own = pdf["_own"].to_numpy()[order]
     one = pdf.iloc[0]
-    scale, step, n = float(one["_scale"]), int(one["_step"]), float(one["_n"])
+    scale, step = float(one["_scale"]), int(one["_step"])
     with np.errstate(all="ignore"):
         h, lo, c = (np.log(np.where(v > 0, v, np.nan)) for v in (high, low, close))
         v = np.log(np.where(volume > 0, volume, np.nan)) - float(one["_logvol"])
-        v[~np.isfinite(v)] = np.nan
         impossible = (high < low) | (close < low) | (close > high) | (high <= 0) | (low <= 0) | (close <= 0) | (volume < 0)
-        for x in (h, lo, c):
+        for x in (h, lo, c, v):
             x[~np.isfinite(x)] = np.nan
         first = np.concatenate([[True], ts[1:] != ts[:-1]])  # the first delivery stands for the bar
         bar = np.cumsum(first) - 1
         rep = np.flatnonzero(first)
         rc, rv = c[rep], v[rep]
-        before, after = _side_medians(rc, rules.near)
-        vbefore, vafter = _side_medians(rv, rules.near)
-        centre = np.where(np.isfinite(before), before, after)
+        level = _level(rc, rules.near)
 
         # profiles: rows are days (or as many bars as make 16 slots at least), columns slots
-        slots = int(min(max(86_400_000 // max(step, 1), 16), 512))
+        slots = max(DAY_MS // max(step, 1), 16)
         cell = ts[rep] // max(step, 1)
         cell = cell - cell[0] // slots * slots
-        row, col = cell // slots, cell % slots
-        _, row = np.unique(row, return_inverse=True)
+        _, row = np.unique(cell // slots, return_inverse=True)
+        col = cell % slots
         m = np.full((4, row.max() + 1, slots), np.nan)
-        for k, x in enumerate((rc - centre, h[rep] - centre, lo[rep] - centre, rv)):
+        for k, x in enumerate((rc - level, h[rep] - level, lo[rep] - level, rv)):
             m[k, row, col] = x
-        cut = np.array([rules.sparse * scale] * 3 + [rules.volume_sparse])[:, None, None]
-        normal = low_rank_part(m, cut, rules.rank, rules.rounds)[:, row, col][:, bar]
+        normal, cut = decompose(m, rules.rounds, rules.false_spikes)
+        normal = normal[:, row, col]
+        quiet = rv - normal[3]
+        normal = normal[:, bar]
 
-        centre, before, after, vbefore, vafter = (x[bar] for x in (centre, before, after, vbefore, vafter))
-        far = rules.spike * scale
+        # the sparse part decides; what lies off both sides by half as much is gone again
+        sides = [x[bar] for x in (*_side_medians(rc, rules.near), *_side_medians(quiet, rules.near))]
         spike = np.zeros(len(ts), bool)
         for k, x in enumerate((c, h, lo)):
-            sparse = np.abs(x - centre - normal[k]) > cut[k, 0, 0]
-            spike |= sparse & (np.abs(x - before) > far) & (np.abs(x - after) > far)
-        sparse = v - normal[3] > rules.volume_sparse
-        side = np.fmax(vbefore, vafter)
-        spike |= sparse & (v - np.where(np.isfinite(side), side, 0.0) > rules.volume_spike)
-
-        # stuck: practically unmoved from one bar to the next, on the first deliveries
-        tol = rules.still * scale
-        later = np.concatenate([[False], np.abs(np.diff(rc)) <= tol])
-        needed = lambda p: max(rules.least_run, np.log(max(n * (1 - p), 1.0) / rules.false_alarm) / -np.log(min(max(p, 1e-6), 0.9999)))
-        stuck_price = _long_runs(later, needed(float(one["_still"])))
+            sparse = np.abs(x - level[bar] - normal[k]) > cut[k]
+            off = (x - sides[0], x - sides[1])
+            spike |= sparse & (off[0] * off[1] > 0) & (np.minimum(np.abs(off[0]), np.abs(off[1])) > cut[k] / 2)
+        beside = np.fmax(sides[2], sides[3])
+        loud = v - normal[3]
+        spike |= (loud > cut[3]) & (loud - np.where(np.isfinite(beside), beside, 0.0) > cut[3] / 2)
+
+        # constant runs of the block's own bars, on the first deliveries; a later delivery is stuck only if it tells the same
+        mine = own[rep]
         raw = volume[rep]
-        same = np.concatenate([[False], raw[1:] == raw[:-1]])
-        stuck_volume = _long_runs(same & (raw > 0), rules.least_run) | _long_runs(same & (raw == 0), needed(float(one["_silent"])))
-        # a later delivery is stuck only if it tells the same
-        stuck = stuck_price[bar] & (np.abs(c - rc[bar]) <= tol) | stuck_volume[bar] & (volume == raw[bar])
-    own = pdf["_own"].to_numpy()[order]
-    keep = own & (impossible | spike | stuck)
-    return pd.DataFrame(
-        {
-            "ingest_seq": pdf["ingest_seq"].to_numpy()[order][keep],
-            "symbol": pdf["symbol"].to_numpy()[order][keep],
-            "ts": ts[keep],
-            "impossible": impossible[keep],
-            "spike": spike[keep],
-            "stuck": stuck[keep],
-        }
-    )
+        tol = rules.still * scale
+        known = {"price": mine & np.isfinite(rc), "volume": mine & np.isfinite(raw), "silence": mine & np.isfinite(raw)}
+        told = {"price": (rc, c, tol), "volume": (np.where(raw > 0, raw, np.nan), volume, 0.0), "silence": (np.where(raw == 0, raw, np.nan), volume, 0.0)}
+        out: dict[str, np.ndarray] = {}
+        edges: dict[str, list] = {}
+        for k in RUNS:
+            at = np.flatnonzero(known[k])
+            x, each, slack = told[k]
+            same = np.zeros(len(at), bool)
+            same[1:] = np.abs(np.diff(x[at])) <= slack  # NaN: no
+            length, head, tail = _runs(same)
+            place = np.zeros(len(at), np.int64)
+            if len(at):
+                place[0] |= FIRST
+                place[1 : 1 + head] |= HEAD
+                place[len(at) - tail :] |= TAIL
+            run_, at_ = np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
+            run_[at], at_[at] = length, place
+            as_told = np.abs(each - x[bar]) <= slack
+            out[f"{k}_run"], out[f"{k}_at"] = np.where(as_told, run_[bar], 0), np.where(as_told, at_[bar], 0)
+            ends = (float(x[at[0]]), float(x[at[-1]])) if len(at) else (np.nan, np.nan)
+            edges |= {f"{k}_n": [len(at)], f"{k}_head": [head], f"{k}_tail": [tail], f"{k}_first": [ends[0]], f"{k}_last": [ends[1]]}
+    keep = own & (impossible | spike | np.any([(out[f"{k}_run"] >= rules.least_run) | (out[f"{k}_at"] > 0) for k in RUNS], axis=0))
+    rows = pd.DataFrame({"ingest_seq": pdf["ingest_seq"].to_numpy()[order][keep], "ts": ts[keep], "impossible": impossible[keep], "spike": spike[keep], **{k: x[keep] for k, x in out.items()}})
+    rows = pd.concat([rows, pd.DataFrame(edges)], ignore_index=True) if len(rows) else pd.DataFrame(edges)
+    rows["symbol"], rows["block"] = one["symbol"], one["_block"]
+    return rows.reindex(columns=columns)
+
+
+def _whole_runs(blocks: DataFrame, kind: str) -> DataFrame:
+    """Per block: lengths of the constant runs at its head and tail, counted over all blocks they reach, and whether its first bar goes on.
+
+    ``blocks`` has one row a block. A block that is one run, and goes on from the one before, adds to it; any other starts anew.
+    """
+    col = lambda name: F.col(f"{kind}_{name}")
+    of = Window.partitionBy("symbol").orderBy("block")
+    tol = F.col("_tol") if kind == "price" else F.lit(0.0)
+    some = blocks.filter(col("n") > 0).select("symbol", "block", col("n").alias("n"), col("head").alias("head"), col("tail").alias("tail"), F.nanvl(col("first"), F.lit(None)).alias("first"), F.nanvl(col("last"), F.lit(None)).alias("last"), tol.alias("tol"))
+    linked = some.withColumn("goes_on", F.coalesce(F.abs(F.col("first") - F.lag("last").over(of)) <= F.col("tol"), F.lit(False)))
+    through = F.col("goes_on") & (F.col("head") == F.col("n") - 1)
+    chained = linked.withColumns({"_new": F.when(through, 0).otherwise(1), "_adds": F.when(through, F.col("n")).otherwise(F.col("tail"))})
+    chained = chained.withColumns({"_chain": F.sum("_new").over(of.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.when(F.lead("goes_on").over(of) & (F.lead("_new").over(of) == 1), F.lead("head").over(of) + 1).otherwise(0)})
+    chain = Window.partitionBy("symbol", "_chain")
+    whole = chained.withColumn("_total", F.sum(F.col("_adds") + F.col("_next")).over(chain))
+    head = F.when(~F.col("goes_on"), F.col("head")).when(F.col("_new") == 0, F.col("_total")).otherwise(F.lag("_total").over(of))
+    return whole.select("symbol", "block", F.col("goes_on").alias(f"{kind}_goes_on"), head.alias(f"{kind}_from"), F.col("_total").alias(f"{kind}_to"))
+
+
+def _needed(rules: SpikeRules, share: Column, n: Column) -> Column:
+    """Length that ordinary stretches of bars of this share reach ``false_runs`` times in a series of ``n`` bars."""
+    p = F.least(F.greatest(share, F.lit(1e-6)), F.lit(0.9999))
+    return F.greatest(F.lit(float(rules.least_run)), F.ln(F.greatest(n * (1 - share), F.lit(1.0)) / rules.false_runs) / -F.ln(p))
 
 
 def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: SpikeRules = SpikeRules()) -> DataFrame:
@@ -213,27 +291,24 @@ def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: Spi
 
     Returns (ingest_seq, symbol, ts, impossible, spike, stuck), one row a flagged delivery. Every
     delivery is judged by its own values; the first delivery of a bar stands for the bar where
-    others are compared with it, ties broken by ingest_seq. NULL and NaN readings are never flagged
-    and are left out of all scales; a row without ts is judged for impossible values only. A NULL symbol is
-    a series of its own. Exact copies of a row are judged alike, and each is returned. An empty
+    others are compared with it, ties broken by ingest_seq. NULL and NaN readings are never flagged,
+    are left out of all scales, and do not end a stuck stretch; a row without ts is judged for impossible values only. A NULL
+    symbol is a series of its own. Exact copies of a row are judged alike, and each is returned. An empty
     feed gives no rows; columns besides those named are ignored.
 
-    A series is cut into blocks of ``block_bars`` grid steps, each with ``edge_bars`` of its
-    neighbours, so that no task holds a whole series; scales are the whole series'.
+    A series is cut into blocks, each with ``edge_bars`` of its neighbours, so that no task holds a whole series; scales are the
+    whole series'. Constant runs are found in each block's own bars and joined through one row a block, so that a
+    stretch of any length is found whole wherever blocks meet and however long a gap is.
     """
     columns = ["ingest_seq", "symbol", "ts", "high", "low", "close", "volume"]
     scales = with_step(series_scales(feed), steps)
-    per_series = scales.select(
-        "symbol",
-        F.greatest(F.coalesce("_scale", F.lit(1e-6)), F.lit(1e-9)).alias("_scale"),
-        F.coalesce("_still", F.lit(0.0)).alias("_still"),
-        F.coalesce("_silent", F.lit(0.0)).alias("_silent"),
-        F.coalesce("_logvol", F.lit(0.0)).alias("_logvol"),
-        "_n",
-        "_step",
+    scale = F.greatest(F.coalesce("_scale", F.lit(1e-6)), F.lit(1e-9))
+    n, still, silent = F.col("_n"), F.coalesce("_still", F.lit(0.0)), F.coalesce("_silent", F.lit(0.0))
+    per_series = materialise(  # one row a series, so that the planner knows its size
+        scales.select("symbol", scale.alias("_scale"), F.coalesce("_logvol", F.lit(0.0)).alias("_logvol"), "_step", (scale * rules.still).alias("_tol"), _needed(rules, still, n).alias("_need_price"), _needed(rules, silent, n).alias("_need_silence"))
     )
-    rows = salted_join(feed.filter(F.col("ts").isNotNull()).select(*columns), per_series, "symbol", "ts")
-    span = F.col("_step") * rules.block_bars
+    rows = salted_join(feed.filter(F.col("ts").isNotNull()).select(*columns), per_series.select("symbol", "_scale", "_logvol", "_step"), "symbol", "ts")
+    span = F.col("_step") * F.greatest(F.lit(rules.block_bars), F.ceil(F.lit(rules.block_days * DAY_MS) / F.col("_step")))
     edge = F.col("_step") * rules.edge_bars
     block = F.floor(F.col("ts") / span).cast("bigint")
     inside = F.pmod(F.col("ts"), span)
@@ -244,9 +319,24 @@ def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: Spi
             F.when(inside >= span - edge, F.struct((block + 1).alias("b"), F.lit(False).alias("own"))),
         )
     )
-    placed = rows.withColumn("_place", F.explode(places)).select(*columns, *[c for c in per_series.columns if c != "symbol"], F.col("_place.b").alias("_block"), F.col("_place.own").alias("_own"))
-    out = "ingest_seq bigint, symbol string, ts bigint, impossible boolean, spike boolean, stuck boolean"
-    judged = placed.groupBy("symbol", "_block").applyInPandas(lambda pdf: _judge(pdf, rules), out)
+    placed = rows.withColumn("_place", F.explode(places)).select(*columns, "_scale", "_logvol", "_step", F.col("_place.b").alias("_block"), F.col("_place.own").alias("_own"))
+    judged = materialise(placed.groupBy("symbol", "_block").applyInPandas(lambda pdf: _judge(pdf, rules), _JUDGED))
+
+    # runs over all blocks: one row a block
+    blocks = salted_join(judged.filter("price_n IS NOT NULL"), per_series.select("symbol", "_tol"), "symbol", "block")
+    hits = judged.filter("price_n IS NULL").select("ingest_seq", "symbol", "ts", "block", "impossible", "spike", *[f"{k}_{x}" for k in RUNS for x in ("run", "at")])
+    hits = salted_join(hits, per_series.select("symbol", "_need_price", "_need_silence"), "symbol", "ts")
+    needed = {"price": F.col("_need_price"), "volume": F.lit(float(rules.least_run)), "silence": F.col("_need_silence")}
+    stuck = F.lit(False)
+    for k in RUNS:
+        hits = salted_join(hits, _whole_runs(blocks, k), ["symbol", "block"], "ts", salts=4, how="left")
+        at, need = F.col(f"{k}_at"), needed[k]
+        bit = lambda b: at.bitwiseAND(F.lit(b)) > 0  # noqa: E731, B023
+        here = F.col(f"{k}_run") >= need
+        head = (bit(HEAD) | bit(FIRST) & F.col(f"{k}_goes_on")) & (F.col(f"{k}_from") >= need)
+        tail = bit(TAIL) & (F.col(f"{k}_to") >= need)
+        stuck = stuck | here | F.coalesce(head, F.lit(False)) | F.coalesce(tail, F.lit(False))
+    found = hits.select("ingest_seq", "symbol", "ts", "impossible", "spike", stuck.alias("stuck")).filter("impossible OR spike OR stuck")
     no_time = feed.filter(F.col("ts").isNull()).select(
         "ingest_seq",
         "symbol",
@@ -255,7 +345,7 @@ def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: Spi
         F.lit(False).alias("spike"),
         F.lit(False).alias("stuck"),
     )
-    return judged.unionByName(no_time.filter("impossible"))
+    return found.unionByName(no_time.filter("impossible"))
 
 
 def impossible_reading():

@@ -73,17 +73,90 @@ def test_relative_to_the_series(spark):
     assert got.ingest_seq.tolist() == [10_600]
 
 
-def test_blocks_meet(spark):
-    """A stuck stretch over the edge of two blocks is found whole."""
-    pdf = series("A", 1200)
-    step = 3_600_000
-    edge = int((pdf.ts[0] // (step * 512) + 1) * 512 - pdf.ts[0] // step)
-    for i in range(edge - 5, edge + 6):
-        pdf.loc[i, ["open", "high", "low", "close"]] = pdf.close[edge - 6]
+def stuck_at(spark, pdf, rules):
     table = spark.createDataFrame([("A", 60)], "symbol string, bar_minutes int")
-    rules = imp.SpikeRules(block_bars=512, edge_bars=64)
     got = imp.flag_implausible(spark.createDataFrame(pdf[COLUMNS]), table, rules).toPandas()
-    assert sorted(got.ingest_seq) == list(range(edge - 5, edge + 6))
+    return sorted(got[got.stuck].ingest_seq)
+
+
+def test_blocks_meet(spark):
+    """Stretches over the edges of blocks are found whole: a short one, and one over several blocks with a gap and unknown closes."""
+    rules = imp.SpikeRules(block_bars=384, edge_bars=16)
+    pdf = series("A", 3000)
+    step = 3_600_000
+    edge = int((pdf.ts[0] // (step * 384) + 1) * 384 - pdf.ts[0] // step)
+    prices = ["open", "high", "low", "close"]
+    pdf.loc[edge - 5 : edge + 5, prices] = pdf.close[edge - 6]
+    assert stuck_at(spark, pdf, rules) == list(range(edge - 5, edge + 6))
+    pdf = series("A", 3000)
+    long = range(edge + 100, edge + 1100)
+    pdf.loc[long[0] : long[-1], prices] = pdf.close[long[0] - 1]
+    unknown = [edge + 300, edge + 384, edge + 768, edge + 769]
+    pdf.loc[unknown, "close"] = np.nan
+    gone = range(edge + 400, edge + 800)
+    got = stuck_at(spark, pdf.drop(index=[i for i in gone if i in pdf.index]), rules)
+    assert got == [i for i in long if i not in unknown and i not in gone]
+
+
+def test_quiet_series_over_an_edge(spark):
+    """Where most bars are unmoved a stretch needs hundreds: 700 are found, over an edge too, and 300 are ordinary."""
+    n = 20_000
+    pdf = series("A", n, seed=8)
+    rng = np.random.default_rng(9)
+    moved = rng.random(n) > 0.97
+    edge = int((pdf.ts[0] // (3_600_000 * 4096) + 1) * 4096 - pdf.ts[0] // 3_600_000)
+    for lo, k in ((edge - 350, 700), (edge + 2000, 700), (edge + 3500, 300)):
+        moved[lo : lo + k] = False
+        moved[[lo - 1, lo + k]] = True
+    start = np.maximum.accumulate(np.where(moved, np.arange(n), 0))
+    close = pdf.close.to_numpy()[start]
+    open_ = np.concatenate([[close[0]], close[:-1]])
+    pdf["close"], pdf["open"], pdf["high"], pdf["low"] = close, open_, np.maximum(open_, close), np.minimum(open_, close)
+    got = set(stuck_at(spark, pdf, imp.SpikeRules()))
+    assert got >= set(range(edge - 350, edge + 350)) | set(range(edge + 2000, edge + 2700)) and not got & set(range(edge + 3500, edge + 3800))
+
+
+def test_runs_join_over_blocks(spark):
+    """Against one pass over the whole series, for blocks of many sizes."""
+    rng = np.random.default_rng(3)
+    for block in (384, 400, 1000):
+        pdf = series("A", 2500, seed=block)
+        pdf.loc[rng.random(2500) < 0.9, "volume"] = 7.0
+        want, run = set(), []
+        for i, v in enumerate([*pdf.volume, -1.0]):
+            if v == 7.0:
+                run.append(i)
+            else:
+                want |= set(run[1:]) if len(run) > 6 else set()
+                run = []
+        assert stuck_at(spark, pdf, imp.SpikeRules(block_bars=block, edge_bars=16)) == sorted(want)
+
+
+def test_decomposition_decides(spark, monkeypatch):
+    """A volume that is ordinary at the busy hour is a spike at a quiet one: only the low-rank profile tells."""
+    pdf = series("A", 2400, seed=11)
+    hour = (pdf.ts // 3_600_000) % 24
+    rng = np.random.default_rng(12)
+    pdf["volume"] = np.exp(3 + 6 * np.cos(hour / 24 * 2 * np.pi) ** 2 + rng.normal(0, 0.2, len(pdf)))
+    quiet = [i for i in range(800, 1600) if hour[i] == 6][::8]
+    pdf.loc[quiet, "volume"] = np.exp(7.0)
+    assert set(flags(spark, pdf).ingest_seq) == set(quiet)
+    m = np.full((1, 40, 24), np.nan)
+    m[0] = np.log(pdf.volume.to_numpy()[:960].reshape(40, 24))
+    low, cut = imp.decompose(m, 4, 1e-6)
+    plain = imp.tail_cut((m - np.median(m, 2, keepdims=True)).ravel(), 1e-6)
+    at = np.argwhere(np.abs(m - low) > imp.tail_cut((m - low).ravel(), 1e-6))
+    assert len(at) == sum(q < 960 for q in quiet) and np.abs(m - np.median(m, 2, keepdims=True)).max() < plain
+
+
+def test_ordinary_noise_is_no_spike():
+    """Neither heavy tails nor days of their own spread make spikes, nor do few days or few bars."""
+    rng = np.random.default_rng(4)
+    for days in (1, 2, 5, 60):
+        m = rng.laplace(0, 1, (4, days, 24)) * rng.lognormal(0, 0.5, (4, days, 1))
+        low, cut = imp.decompose(m, 4, 1e-6)
+        assert (np.abs(m - low) < cut[:, None, None]).all()
+    assert np.isinf(imp.decompose(rng.normal(0, 1, (1, 1, 10)), 4, 1e-6)[1][0])
 
 
 def test_edges(spark):
@@ -102,5 +175,5 @@ def test_low_rank_part_keeps_spikes_out():
     m = normal[None] + rng.normal(0, 0.01, (1, 40, 24))
     m[0, 5, 5] += 8
     m[0, 7, 7] = np.nan
-    low = imp.low_rank_part(m, np.full((1, 1, 1), 0.5), 2, 6)
+    low, _ = imp.decompose(m, 6, 1e-6)
     assert abs(low[0, 5, 5] - normal[5, 5]) < 0.05 and abs(low[0, 7, 7] - normal[7, 7]) < 0.05
