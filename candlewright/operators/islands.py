@@ -86,6 +86,21 @@ def scan(rows: DataFrame, trigger: str, min_duration: int = 3, cooldown: int = 5
     return kept.select(*keys, F.lit(trigger).alias("trigger"), F.col("pos").alias("decision_pos"), F.col("timestamp").alias("decision_ts"), "zone_length")
 
 
+def scan_all(rows: DataFrame, min_duration: int = 3, cooldown: int = 5, keys: Sequence[str] = ("symbol", "quantile"), triggers: Sequence[str] = TRIGGERS) -> DataFrame:
+    """``scan`` of several triggers in one pass over the bars."""
+    long_before = F.col("prev_streak") >= min_duration
+    outside = holds((F.col("close") > F.col("ma_upper")) | (F.col("close") < F.col("ma_lower")))
+    tests = {
+        "zone_start": (F.col("streak") >= min_duration, F.col("streak")),
+        "dispersion_exit": (F.col("above") & long_before, F.col("prev_streak")),
+        "price_breakout": (outside & long_before, F.col("prev_streak")),
+    }
+    hit = [F.when(tests[t][0], F.struct(F.lit(t).alias("t"), tests[t][1].alias("z"))) for t in triggers]
+    raw = rows.select(*keys, "pos", "timestamp", F.explode(F.array_compact(F.array(*hit))).alias("_h")).select(*keys, F.col("_h.t").alias("trigger"), "pos", "timestamp", F.col("_h.z").alias("zone_length"))
+    kept = merge_close(raw, cooldown, [*keys, "trigger"]).filter("kept")
+    return kept.select(*keys, "trigger", F.col("pos").alias("decision_pos"), F.col("timestamp").alias("decision_ts"), "zone_length")
+
+
 def scan_stats(rows: DataFrame, trigger: str, min_duration: int = 3, cooldown: int = 5, keys: Sequence[str] = ("symbol", "quantile")) -> DataFrame:
     """(keys, trigger, raw_candidate_count, dedup_event_count); series without a candidate are absent."""
     merged = merge_close(candidates(rows, trigger, min_duration), cooldown, keys)

@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.numbering import number_rows
 from candlewright.functions.ranks import correlation
+from candlewright.session import materialise
 
 TARGET = "short_utility"
 
@@ -23,6 +25,16 @@ def assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows)
 
 
+def first_rounds(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first ``n`` rounds."""
+    java, context = model._java_obj, SparkContext._active_spark_context
+    ml = context._jvm.org.apache.spark.ml.regression
+    trees, weights = context._gateway.new_array(ml.DecisionTreeRegressionModel, n), context._gateway.new_array(context._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], list(java.treeWeights())[:n])):
+        trees[i], weights[i] = tree, weight
+    return model._copyValues(GBTRegressionModel(ml.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())))
+
+
 def train(train_rows: DataFrame, val_rows: DataFrame, features: Sequence[str], rounds: int = 300, patience: int = 50, depth: int = 5, step: float = 0.03, row_share: float = 0.8, column_share: float = 0.8, seed: int = 42) -> tuple[GBTRegressionModel, dict]:
     """(model, info): gradient-boosted trees on short_utility, cut at the round of least validation error.
 
@@ -30,20 +42,23 @@ def train(train_rows: DataFrame, val_rows: DataFrame, features: Sequence[str], r
     results are not those of a leaf-wise learner. info: best_iteration, n_features, importance
     (normalised, greatest first).
     """
-    fit, val = assemble(train_rows, features).cache(), assemble(val_rows, features).cache()
-    learner = GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=row_share, featureSubsetStrategy=str(column_share), seed=seed)
-    full = learner.fit(fit)
-    errors = full.evaluateEachIteration(val, "squared")
-    best, least = 0, math.inf
-    for i, e in enumerate(errors):
-        if e < least:
-            best, least = i, e
-        elif i - best >= patience:
+    fit, val = materialise(assemble(train_rows, features).select("features", TARGET)), materialise(assemble(val_rows, features).select("features", TARGET))
+    learner = GBTRegressor(featuresCol="features", labelCol=TARGET, maxDepth=depth, stepSize=step, subsamplingRate=row_share, featureSubsetStrategy=str(column_share), seed=seed)
+    grown = min(rounds, patience + 25)
+    while True:
+        # a shorter fit is a prefix of a longer one, so no more rounds are grown than patience asks for
+        full = learner.setMaxIter(grown).fit(fit)
+        best, least, stopped = 0, math.inf, False
+        for i, e in enumerate(full.evaluateEachIteration(val, "squared")):
+            if e < least:
+                best, least = i, e
+            elif i - best >= patience:
+                stopped = True
+                break
+        if stopped or grown == rounds:
             break
-    # a shorter fit is a prefix of a longer one
-    model = full if best + 1 == rounds else learner.setMaxIter(best + 1).fit(fit)
-    fit.unpersist()
-    val.unpersist()
+        grown = min(rounds, 2 * grown)
+    model = full if best + 1 == grown else first_rounds(full, best + 1)
     gains = sorted(zip(features, model.featureImportances.toArray().tolist()), key=lambda kv: (-kv[1], kv[0]))
     return model, {"best_iteration": best + 1, "n_features": len(features), "importance": dict(gains)}
 

@@ -13,7 +13,6 @@ from candlewright.operators import episodes as epi
 from candlewright.operators import evaluate as ev
 from candlewright.operators import indicators as ind
 from candlewright.operators import islands as isl
-from candlewright.operators import model
 from candlewright.operators import outcomes as out
 from candlewright.session import materialise, read_table
 from candlewright.sources import feed
@@ -124,30 +123,6 @@ class Pipeline:
         bars = salted_join(self.kept.select("symbol", "pos", "ma_dispersion_atr"), self.folds.select("symbol", "fold", "inner_val_start"), "symbol", "pos")
         return isl.freeze_thresholds(bars, F.col("inner_val_start"), self.s.quantiles, ("symbol", "fold"), self.s.digits)
 
-    def fold_events(self, triggers: tuple[str, ...] = isl.TRIGGERS) -> DataFrame:
-        """Events of every (trigger, quantile, fold) with labels and their role in the fold: one plan for the grid."""
-        keys = ("symbol", "fold", "quantile")
-        rows = materialise(isl.add_streaks(isl.with_thresholds(self.kept, self.fold_thresholds.drop("n_train"), ("symbol",)), keys))
-        events = None
-        for t in triggers:
-            one = isl.scan(rows, t, self.s.min_duration, self.s.cooldown, keys)
-            events = one if events is None else events.unionByName(one)
-        labelled = out.at_positions(events, self.labelled_bars, ["label_drop", "ma_dispersion_atr", *out.LABELS]).filter("label_drop IS NULL")
-        placed = labelled.join(self.folds.drop("n_bars"), ["symbol", "fold"])
-        return placed.withColumn("split", out.fold_split(F.col("decision_pos"), self.s.horizon, self.s.gap))
-
-    @cached_property
-    def fold_dataset(self) -> DataFrame:
-        """``fold_events`` with every feature known (zone_length stands for compression_duration), as the reference drops them before its gate."""
-        features = [f for f in ind.FEATURES if f != "compression_duration"]
-        rows = out.at_positions(self.fold_events(), self.featured, [f for f in features if f != "ma_dispersion_atr"])
-        return materialise(rows.withColumn("compression_duration", F.col("zone_length").cast("double")).filter(out.complete(rows, features)))
-
-    @cached_property
-    def fold_gate(self) -> DataFrame:
-        """Sample counts of every (trigger, quantile, series, fold) of ``fold_dataset`` and the gate 40/10/10."""
-        return model.gate(self.fold_dataset, ["trigger", "quantile", "symbol", "fold"], {"train": 40, "val": 10, "test": 10})
-
     @cached_property
     def control(self) -> DataFrame:
         """Matched control of the anchored test events at the first quantile."""

@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.functions.salting import salted_join
 from candlewright.operators import checks
 from candlewright.operators import episodes as epi
 from candlewright.operators import evaluate as ev
@@ -16,6 +15,7 @@ from candlewright.operators import indicators as ind
 from candlewright.operators import islands as isl
 from candlewright.operators import model
 from candlewright.operators import outcomes as out
+from candlewright.plans import walkforward as wf
 from candlewright.plans.pipeline import Pipeline
 from candlewright.session import materialise
 from candlewright.sources import feed, sinks
@@ -227,44 +227,88 @@ def wf_2_thresholds(p: Pipeline) -> DataFrame:
     return rounded(p.fold_thresholds.withColumn("fold", F.col("fold").cast("bigint")), ["threshold"], 6)
 
 
+def _scanned(p: Pipeline) -> DataFrame:
+    return wf.fold_events(p, wf.scan_arm(p.s.min_duration, p.s.cooldown))
+
+
+def _as_bigint(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("fold", F.col("fold").cast("bigint"))
+
+
 @query
 def wf_4_7_grid(p: Pipeline) -> DataFrame:
-    """Sample counts of every (trigger, quantile, series, fold) and the gate they pass or not."""
+    """Events of every (trigger, quantile, series, fold) in each split, before features are asked for."""
     count = lambda s: F.count_if(F.col("split") == s)
-    rows = p.fold_events().groupBy("trigger", "quantile", "symbol", F.col("fold").cast("bigint").alias("fold")).agg(count("train").alias("n_train"), count("val").alias("n_val"), count("test").alias("n_test"))
-    return rows.withColumn("passes_gate", (F.col("n_train") >= 40) & (F.col("n_val") >= 10) & (F.col("n_test") >= 10))
+    return _as_bigint(_scanned(p).groupBy("trigger", "quantile", "symbol", "fold").agg(count("train").alias("n_train"), count("val").alias("n_val"), count("test").alias("n_test")))
 
 
 @query
-def wf_5_grid(p: Pipeline) -> DataFrame:
-    """``wf_4_7_grid`` over events with all features known."""
-    return p.fold_gate.withColumn("fold", F.col("fold").cast("bigint"))
+def wf_5_gate(p: Pipeline) -> DataFrame:
+    """Events with all features known per cell (trigger, quantile, fold; all series), and the gate they pass or not."""
+    return _as_bigint(wf.passing(wf.fold_dataset(p, _scanned(p))))
 
 
-def _pool(p: Pipeline, events: DataFrame) -> DataFrame:
-    test = materialise(events.filter("split = 'test'").select("trigger", "quantile", "symbol", "fold", "decision_pos", *out.LABELS, (-F.col("ma_dispersion_atr")).alias("score")))
-    bars = salted_join(p.labelled_bars, p.folds.select("symbol", "fold", "test_lo", "test_hi"), "symbol", "pos").withColumn("symbol", F.concat_ws("#", "symbol", "fold"))
-    fold = F.concat_ws("#", "symbol", F.col("fold").cast("string"))
-    distinct = test.select(fold.alias("symbol"), "decision_pos").distinct()
-    control = ev.matched_control(bars, distinct, p.s.horizon, F.col("test_lo") + p.s.gap, F.col("test_hi"), ["gross_return"], draws=p.s.draws, seed=p.s.seed, digits=p.s.digits)
-    drawn = test.select("trigger", "quantile", fold.alias("fold"), "decision_pos").join(control.select(F.col("symbol").alias("fold"), F.col("event_pos").alias("decision_pos"), F.col("gross_return").alias("g")), ["fold", "decision_pos"])
-    means = drawn.groupBy("trigger", "quantile", "fold").agg(F.avg("g").alias("control_gross"), F.count("g").alias("control_n"))
-    pooled = ev.pool_folds(test.withColumn("fold", fold), "score", means, ["trigger", "quantile"])
+@query
+def wf_8_pool(p: Pipeline) -> DataFrame:
+    """Pooled out-of-sample results of the baseline score per (trigger, quantile), over the folds whose cells pass the gate."""
+    dataset = materialise(wf.fold_dataset(p, _scanned(p)))
+    passed = wf.passing(dataset).filter("passes_gate").select(*wf.CELL)
+    test = materialise(dataset.filter("split = 'test'").join(passed, list(wf.CELL), "left_semi").withColumn("score", -F.col("ma_dispersion_atr")))
+    pooled = wf.pool_cells(p, test, "score")
     returns = ["gross_top_10pct", "gross_top_20pct", "gross_all", "control_mean_gross_return", "weighted_mean_spearman", "pooled_spearman"]
     return rounded(rounded(pooled, returns, 6), ["edge_all_vs_control_bp", "edge_top10_vs_control_bp"], 3)
 
 
+def _walked(p: Pipeline) -> tuple[DataFrame, list, DataFrame | None, list[dict]]:
+    """Both arms (scan of zone starts, anchored episodes) at the first quantile: dataset, cells, predictions of the passing ones, their infos."""
+    rows = wf.fold_bars(p).filter(F.col("quantile") == p.s.quantiles[0])
+    arms = [wf.scan_arm(p.s.min_duration, p.s.cooldown, ["zone_start"]), wf.anchored_arm(p.s.min_duration, p.s.exit_confirm)]
+    parts = [wf.fold_dataset(p, wf.fold_events(p, a, rows)) for a in arms]
+    dataset = materialise(parts[0].unionByName(parts[1]))
+    cells = [r.asDict() for r in wf.passing(dataset).orderBy(*wf.CELL).collect()]  # one row a cell
+    return (dataset, cells, *wf.run_cells(dataset, cells, p.s.seed))
+
+
 @query
-def wf_8_pool(p: Pipeline) -> DataFrame:
-    """Pooled out-of-sample results of the baseline score per (trigger, quantile); a series' fold is one fold."""
-    return _pool(p, p.fold_events())
+def wf_6_9_folds(p: Pipeline) -> DataFrame:
+    """A model per fold and arm: counts, gate, best round and rank correlation of its predictions with what followed."""
+    _, cells, test, infos = _walked(p)
+    schema = "trigger string, quantile double, fold bigint, n_train bigint, n_val bigint, n_test bigint, passes_gate boolean, best_iteration bigint"
+    best = {(i["trigger"], i["quantile"], i["fold"]): i["best_iteration"] for i in infos}
+    names = schema.replace(",", "").split(" ")[::2][:-1]
+    rows = p.spark.createDataFrame([tuple(c[n] for n in names) + (best.get((c["trigger"], c["quantile"], c["fold"])),) for c in cells], schema)
+    if test is None:
+        return rows.withColumns({"n": F.lit(None).cast("bigint"), "spearman": F.lit(None).cast("double")})
+    rho = ev.correlation(test, list(wf.CELL), "prediction", "short_utility").select(*wf.CELL, "n", "spearman")
+    return rows.join(_as_bigint(rho), list(wf.CELL), "left")
 
 
 @query
-def wf_8_gated_pool(p: Pipeline) -> DataFrame:
-    """``wf_8_pool`` over events with all features known, without the cells that fail the gate."""
-    passed = p.fold_gate.filter("passes_gate").select("trigger", "quantile", "symbol", "fold")
-    return _pool(p, p.fold_dataset.join(passed, ["trigger", "quantile", "symbol", "fold"], "left_semi"))
+def wf_8_9_model_pool(p: Pipeline) -> DataFrame:
+    """``wf_8_pool`` of the models' predictions, for both arms; no rows where no fold passes the gate."""
+    dataset, _, test, _ = _walked(p)
+    if test is None:
+        test = dataset.filter("false").withColumn("prediction", F.lit(None).cast("double"))
+    return wf.pool_cells(p, materialise(test), "prediction")
+
+
+@query
+def ml_7_arms(p: Pipeline) -> DataFrame:
+    """Both arms of the plain split, trained, evaluated and set against their control, with the flag for few samples."""
+    anchored = p.split(p.labelled(p.anchored)).filter(F.col("quantile") == p.s.quantiles[0]).withColumn("zone_length", F.col("compression_duration_at_decision"))
+    arms = {"zone_start": _dataset(p), "anchored": _with_features(p, anchored)}
+    _, val_end = out.boundaries(F.col("n_bars"), p.s.train, p.s.val)
+    rows = []
+    for name, dataset in arms.items():
+        r = wf.evaluate_arm(dataset, p.labelled_bars, p.s.horizon, val_end + p.s.gap, F.col("n_bars"), p.s.seed)
+        one = (name, *[r["counts"][s] for s in wf.GATE], r["low_sample"])
+        if r["skipped"]:
+            rows.append((*one, None, None, None, None))
+            continue
+        rho = r["correlations"].first()
+        gross = r["predictions"].agg(F.avg("gross_return").alias("g")).first()["g"]
+        rows.append((*one, r["best_iteration"], rho["spearman"] if rho else None, gross, r["control"].agg(F.avg("gross_return").alias("g")).first()["g"]))
+    return p.spark.createDataFrame(rows, "arm string, n_train bigint, n_val bigint, n_test bigint, low_sample boolean, best_iteration bigint, spearman double, gross_return double, control_gross_return double")
 
 
 @query
@@ -392,14 +436,18 @@ def agg_12_edges(p: Pipeline) -> DataFrame:
     return rounded(rounded(edges, ["event_gross", "event_net", "control_gross", "control_net"], 6), ["edge_gross_bp", "edge_net_bp"], 3)
 
 
-def _dataset(p: Pipeline) -> DataFrame:
-    """The pooled event dataset of the first quantile with all features."""
+def _with_features(p: Pipeline, events: DataFrame) -> DataFrame:
+    """Events with all features known; zone_length stands for compression_duration."""
     features = [f for f in ind.FEATURES if f != "compression_duration"]
-    events = p.split(p.labelled(p.events("zone_start").filter(F.col("quantile") == p.s.quantiles[0])))
     rows = out.at_positions(events, p.featured, features).withColumn("compression_duration", F.col("zone_length").cast("double"))
     return materialise(rows.filter(out.complete(rows, features)))
 
 
+def _dataset(p: Pipeline) -> DataFrame:
+    """The pooled event dataset of the first quantile with all features."""
+    return _with_features(p, p.split(p.labelled(p.events("zone_start").filter(F.col("quantile") == p.s.quantiles[0]))))
+
+
 def _trained(p: Pipeline) -> tuple:
     """Dataset, model and its info, with the published settings (300 rounds, patience 50, depth 5)."""
     rows = _dataset(p)

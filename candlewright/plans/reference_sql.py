@@ -331,10 +331,21 @@ stepped AS (
   FROM firsts f LEFT JOIN symbols s USING (symbol))
 """
 
+FOLD_DATA = (
+    FEAT
+    + GRID[len(IND) :]
+    + f""",
+dataset AS (SELECT g.* FROM grid g JOIN feat f ON f.symbol = g.symbol AND f.pos = g.decision_pos WHERE g.split <> 'dropped' AND {_COMPLETE}),
+gated AS (
+  SELECT *, n_train >= 40 AND n_val >= 10 AND n_test >= 10 AS passes_gate
+  FROM (SELECT trigger, quantile, fold, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test FROM dataset GROUP BY ALL))"""
+)
 FOLD_CONTROL = (
-    GRID
+    FOLD_DATA
     + """,
-test AS (SELECT trigger, quantile, concat_ws('#', symbol, fold) AS symbol, symbol AS base, fold, decision_pos, short_utility, gross_return, -ma_dispersion_atr AS score FROM grid WHERE split = 'test')"""
+test AS (
+  SELECT d.trigger, d.quantile, concat_ws('#', d.symbol, d.fold) AS symbol, d.symbol AS base, d.fold, d.decision_pos, d.short_utility, d.gross_return, -d.ma_dispersion_atr AS score
+  FROM dataset d JOIN gated g ON g.trigger = d.trigger AND g.quantile = d.quantile AND g.fold = d.fold AND g.passes_gate WHERE d.split = 'test')"""
     + control(
         "SELECT DISTINCT t.symbol, t.decision_pos, w.timestamp, w.atr_14 FROM test t JOIN wide w ON w.symbol = t.base AND w.pos = t.decision_pos",
         f"SELECT concat_ws('#', w.symbol, f.fold) AS symbol, w.pos, w.timestamp, w.atr_14 FROM wide w JOIN fold_rows f USING (symbol) WHERE w.pos >= f.train_edge + {S.gap} AND w.pos < least(f.test_hi, w.n_bars - {S.horizon} - 1) AND w.atr_14 > 0",
@@ -398,19 +409,20 @@ SELECT end_ts, symbol, core_start, core_len FROM acc WHERE number IN (SELECT (i
     "wf_1_folds": BARS + FOLDS + " SELECT symbol, fold, train_edge AS train_end, train_edge AS test_lo, test_hi, inner_val_start FROM fold_rows",
     "wf_2_thresholds": GRID + " SELECT symbol, fold, quantile, CAST(round(CAST(threshold AS DECIMAL(38,9)), 6) AS DOUBLE) AS threshold, n_train FROM thr",
     "wf_4_7_grid": GRID
-    + f", counted_grid AS (SELECT trigger, quantile, symbol, fold, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test FROM grid GROUP BY ALL) SELECT *, n_train >= {GATE[0]} AND n_val >= {GATE[1]} AND n_test >= {GATE[2]} AS passes_gate FROM counted_grid",
+    + " SELECT trigger, quantile, symbol, fold, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test FROM grid GROUP BY ALL",
+    "wf_5_gate": FOLD_DATA + " SELECT trigger, quantile, fold, n_train, n_val, n_test, passes_gate FROM gated",
     "wf_8_pool": FOLD_CONTROL
     + f""",
-fold_rank AS ({_ranks('trigger, quantile, symbol', 'test')}),
+fold_rank AS ({_ranks('trigger, quantile, fold', 'test')}),
 all_rank AS ({_ranks('trigger, quantile', 'test')}),
-rho AS (SELECT trigger, quantile, symbol, count(*) AS n, CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM fold_rank GROUP BY ALL),
+rho AS (SELECT trigger, quantile, fold, count(*) AS n, CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM fold_rank GROUP BY ALL),
 weighted AS (SELECT trigger, quantile, count(*) AS n_folds_used, CAST(sum(n) AS BIGINT) AS n_oos_events, sum(rho * n) / sum(n) FILTER (rho IS NOT NULL) AS weighted_mean_spearman FROM rho GROUP BY ALL),
 pooled AS (SELECT trigger, quantile, corr(ra, rb) AS pooled_spearman FROM all_rank GROUP BY ALL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY trigger, quantile, symbol ORDER BY score DESC, base, decision_pos) AS place, count(*) OVER (PARTITION BY trigger, quantile, symbol) AS size FROM test WHERE score IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY trigger, quantile, fold ORDER BY score DESC, base, decision_pos) AS place, count(*) OVER (PARTITION BY trigger, quantile, fold) AS size FROM test WHERE score IS NOT NULL),
 groups AS (
   SELECT trigger, quantile, avg(gross_return) FILTER (place <= greatest(1, ceil(size * 0.1::DOUBLE))) AS gross_top_10pct, avg(gross_return) FILTER (place <= greatest(1, ceil(size * 0.2::DOUBLE))) AS gross_top_20pct, avg(gross_return) AS gross_all
   FROM placed GROUP BY ALL),
-fold_control AS (SELECT t.trigger, t.quantile, t.symbol, avg(c.g) AS control_gross, count(c.g) AS control_n FROM test t JOIN control c ON c.symbol = t.symbol AND c.event_pos = t.decision_pos GROUP BY ALL),
+fold_control AS (SELECT t.trigger, t.quantile, t.fold, avg(c.g) AS control_gross, count(c.g) AS control_n FROM test t JOIN control c ON c.symbol = t.symbol AND c.event_pos = t.decision_pos GROUP BY ALL),
 controls AS (SELECT trigger, quantile, count(*) AS n_folds_with_control, sum(control_gross * control_n) / sum(control_n) AS control_mean FROM fold_control WHERE control_gross IS NOT NULL GROUP BY ALL)
 SELECT trigger, quantile, n_folds_used, n_oos_events, CAST(round(CAST(weighted_mean_spearman AS DECIMAL(38,9)), 6) AS DOUBLE) AS weighted_mean_spearman, CAST(round(CAST(pooled_spearman AS DECIMAL(38,9)), 6) AS DOUBLE) AS pooled_spearman, {r(['gross_top_10pct', 'gross_top_20pct', 'gross_all'], 6)},
   n_folds_with_control, CAST(round(CAST(control_mean AS DECIMAL(38,9)), 6) AS DOUBLE) AS control_mean_gross_return, CAST(round(CAST((gross_all - control_mean) * 1e4 AS DECIMAL(38,9)), 3) AS DOUBLE) AS edge_all_vs_control_bp, CAST(round(CAST((gross_top_10pct - control_mean) * 1e4 AS DECIMAL(38,9)), 3) AS DOUBLE) AS edge_top10_vs_control_bp

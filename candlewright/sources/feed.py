@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ def read_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Bars of one CSV file (or folder of them) with a header.
 
     Columns are found by name; others are ignored. A missing column raises ValueError, text in a
-    number column fails the scan. ``ingest_seq`` is the order within the files.
+    number column fails the scan. ``ingest_seq`` orders rows by file name and, within a file, as they stand in it.
     """
     header = spark.read.option("header", True).csv(path)
     missing = [c for c in BAR_COLUMNS if c not in header.columns]
@@ -25,7 +27,12 @@ def read_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     # every value is read as text and cast under ANSI rules, which raise on bad text
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in CSV_SCHEMA]
-    return header.select(F.lit(symbol).alias("symbol"), *typed, F.monotonically_increasing_id().alias("ingest_seq"))
+    # splits are read in any order: a row's place is its file's, its split's first byte, and its number within the task, which a split's bytes bound
+    plain = lambda path: re.sub(r"^(\w+):/+", r"\1:/", path)  # noqa: E731  a scheme may be followed by one slash or three
+    files = F.array(*[F.lit(plain(f)) for f in sorted(header.inputFiles())])
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    place = F.shiftleft(F.array_position(files, F.regexp_replace(F.col("_metadata.file_path"), r"^(\w+):/+", "$1:/")), 43) + F.col("_metadata.file_block_start") + number
+    return header.select(F.lit(symbol).alias("symbol"), *typed, place.alias("ingest_seq"))
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:

@@ -16,14 +16,28 @@ from pyspark.sql import functions as F
 OUTCOME_WORDS = ("utility", "mfe", "mae", "gross", "net")
 
 
-def write_table(rows: DataFrame, path: str, partition_by: Sequence[str] = ("symbol",)) -> None:
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+#: A result that the driver writes holds aggregates; more rows than these are no result.
+MOST_ROWS = 100_000
+
+
+def _few(rows: DataFrame) -> list:
+    """The rows of a small result; ValueError for more than ``MOST_ROWS``."""
+    found = rows.limit(MOST_ROWS + 1).collect()
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows: write a table instead")
+    return found
+
+
+def write_table(rows: DataFrame, path: str, partition_by: Sequence[str] = ("symbol",), files: int = 8) -> None:
+    """A partitioned table, at most ``files`` files a partition value: rows of a value meet in so many tasks, however hot it is."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in partition_by]), F.lit(files))
+    rows.repartition(*partition_by, salt).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_json(value: Any, path: str | Path) -> None:
     """A small result (a dict, or a DataFrame of aggregates) as one JSON file."""
     if isinstance(value, DataFrame):
-        value = [r.asDict(recursive=True) for r in value.collect()]
+        value = [r.asDict(recursive=True) for r in _few(value)]
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(value, indent=2, default=str))
 
@@ -36,7 +50,7 @@ def markdown_table(rows: DataFrame, digits: int = 4) -> str:
     """A result of aggregates as a Markdown table, in the order of ``rows``."""
     show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows.collect()])
+    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in _few(rows)])
 
 
 def write_report(body: str, path: str | Path, marker: str = "<!-- notes below this line are kept -->") -> None:
@@ -84,6 +98,7 @@ def manifest(inputs: dict[str, DataFrame], outputs: dict[str, DataFrame], settin
     }
 
 
+# The formats of titles.
 def review_titles() -> tuple[Column, Column]:
     """(decision title, outcome title) of a review row; the first holds nothing that lies after the decision.
 

@@ -27,12 +27,28 @@ def test_csv(spark, tmp_path):
         feed.read_csv(spark, write(tmp_path / "c.csv", "ts,open,high,low,close,volume\n1,1,1,1,oops,1\n"), "S").collect()
 
 
+def test_csv_order_over_files(spark, tmp_path):
+    """The first delivery of a bar is the one in the file of the first name, however large the files are and however they are split."""
+    head = "ts,open,high,low,close,volume\n"
+    line = lambda i, v: f"{1_704_067_200_000 + i * 900_000},1,2,0.5,1.5,{v}\n"
+    write(tmp_path / "1.csv", head + line(0, 100))
+    write(tmp_path / "2.csv", head + "".join(line(i, i) for i in range(2000)))
+    write(tmp_path / "3.csv", head + "".join(line(i, 7) for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    df = feed.read_csv(spark, str(tmp_path), "S")
+    got = feed.bars_of_feed(df).orderBy("pos").toPandas()
+    order = df.orderBy("ingest_seq").toPandas()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.volume.tolist() == [100.0, *range(1, 2000), *[7.0] * 1000]
+    assert order.volume.tolist() == [100.0, *range(2000), *[7.0] * 3000] and order.ingest_seq.is_unique
+
+
 def test_boundary_and_duplicates(spark, make_walk):
     pdf = make_walk(200)
     double = pd.concat([pdf, pdf.iloc[:5].assign(close=1.0, low=0.5, ingest_seq=1000)]).sample(frac=1, random_state=1)
     got = feed.bars_of_feed(spark.createDataFrame(double)).orderBy("pos").toPandas()
     assert len(got) == 200 and got.close.tolist() == pdf.close.tolist()
-    cut = feed.bars_of_feed(spark.createDataFrame(pdf), "2024-01-02T00:00:00+00:00")
+    cut = feed.bars_of_feed(spark.createDataFrame(pdf), "2024-02-02T00:00:00+00:00")
     assert cut.count() == 96
 
 
