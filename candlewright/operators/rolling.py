@@ -7,13 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Amounts are summed exactly on this grid: a running sum of doubles would not come back to zero.
-EXACT = "decimal(38,12)"
+#: Amounts are summed as whole multiples of a power of two, one for each 32 binary orders of magnitude: a running sum
+#: of doubles would not come back to zero.
+WHOLE = "decimal(38,0)"
+SPAN, DIGITS = 32, 54
 
 
-def exact(x: Column) -> Column:
-    """The reading on the exact grid; NULL, NaN, infinities and what exceeds 1e20 count as missing."""
-    return F.when(F.abs(x) < F.lit(1e20), x).try_cast(EXACT)
+def known(x: Column) -> Column:
+    """The reading; NaN and infinities count as missing, like NULL."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
+def magnitude(x: Column) -> Column:
+    """Which span of 32 binary orders of magnitude a reading belongs to (0 for 0 and for missing ones)."""
+    return F.coalesce(F.when(x != 0, F.floor(F.log2(F.abs(known(x))) / SPAN)), F.lit(0)).cast("int")
+
+
+def whole(x: Column, span: Column) -> Column:
+    """The reading as a multiple of its span's unit, 2 ** (32 span - 54): any finite double, in two steps lest the factor overflow."""
+    up = F.lit(DIGITS) - span * SPAN
+    half = F.floor(up / 2)
+    return (known(x) * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), up - half)).cast(WHOLE)
+
+
+def scaled_back(total: Column, span: Column) -> Column:
+    down = span * SPAN - DIGITS
+    half = F.floor(down / 2)
+    return total.cast("double") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), down - half)
 
 
 def latest_load(bars: DataFrame, values: Sequence[str], key: str = "symbol", pos: str = "pos", loaded: str = "loaded_at") -> DataFrame:
@@ -30,15 +50,17 @@ def latest_load(bars: DataFrame, values: Sequence[str], key: str = "symbol", pos
     return one_load.groupBy(key, pos).agg(*[F.max_by(c, "_age").alias(c) for c in values])
 
 
-def daily_amounts(rows: DataFrame, key: str, ts: str, sums: dict[str, str], active: Column) -> DataFrame:
-    """Per key and UTC day: count of rows, of active rows, and sum and count of each column of ``sums``.
+def daily_amounts(rows: DataFrame, key: str, ts: str, columns: Sequence[str], active: Column) -> DataFrame:
+    """Per key, UTC day, and magnitudes of its readings (``_m_<column>``): rows ``n``, active rows, and sum and count of each column.
 
-    Partial sums are taken before the exchange. Rows without a time are left out.
+    A day whose readings are of one magnitude each is one row. Partial sums are taken before the exchange. Rows without a time are left out.
     """
+    spans = {f"_m_{c}": magnitude(F.col(c)) for c in columns}
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(active, F.lit(False))).alias("n_active")]
-    for name, column in sums.items():
-        aggs += [F.sum(exact(F.col(column))).cast(EXACT).alias(f"sum_{name}"), F.count(exact(F.col(column))).alias(f"cnt_{name}")]
-    return rows.filter(F.col(ts).isNotNull()).groupBy(F.col(key), F.to_date(ts).alias("day")).agg(*aggs)
+    for c in columns:
+        aggs += [F.sum(whole(F.col(c), F.col(f"_m_{c}"))).cast(WHOLE).alias(f"sum_{c}"), F.count(known(F.col(c))).alias(f"cnt_{c}")]
+    placed = rows.filter(F.col(ts).isNotNull()).withColumn("day", F.to_date(ts)).withColumns(spans)
+    return placed.groupBy(key, "day", *spans).agg(*aggs)
 
 
 def trailing_windows(daily: DataFrame, key: str, names: Sequence[str], windows: Sequence[int]) -> DataFrame:
@@ -46,70 +68,51 @@ def trailing_windows(daily: DataFrame, key: str, names: Sequence[str], windows:
 
     Each daily amount enters as ``+x`` on its day and as ``-x`` window days later; the running
     sum of these deltas is the trailing total. A total holds until the next delta, so the
-    days between two deltas are filled from it and no calendar is joined. All sums are
-    decimals or integers: a window without activity totals exactly zero.
+    days between two deltas are filled from it and no calendar is joined. All sums are of
+    whole numbers, one running sum for each magnitude that occurs: a window without activity totals exactly zero, and a huge
+    reading leaves no trace once it has left.
 
     Columns: key, day, window_days, n, n_active, total_<name>, avg_<name> (NULL without a
     reading), first_active, last_active (days, NULL for a key that never was active). Keys may be NULL
     (one group); an empty input gives no rows. The one ordered group is a key's days, which the
-    calendar bounds, not the number of its rows.
+    calendar bounds, not the number of its rows; one exchange, on key and window.
     """
-    measures = ["n", "n_active", *[f"{p}_{c}" for c in names for p in ("sum", "cnt")]]
     of_key = Window.partitionBy(key)
     active_day = F.when(F.col("n_active") > 0, F.col("day"))
-    edged = daily.withColumns(
-        {
-            "_last": F.max("day").over(of_key),
-            "first_active": F.min(active_day).over(of_key),
-            "last_active": F.max(active_day).over(of_key),
-        }
-    )
-    enters = F.struct(F.col("day").alias("day"), *[F.col(m).alias(m) for m in measures])
+    edged = daily.withColumns({"_last": F.max("day").over(of_key), "first_active": F.min(active_day).over(of_key), "last_active": F.max(active_day).over(of_key)})
     edges = ["_last", "first_active", "last_active"]
-    deltas = edged.select(
-        key,
-        *edges,
-        F.explode(F.array(*[F.lit(w) for w in windows])).alias("window_days"),
-        enters.alias("_in"),
-    ).select(
-        key,
-        *edges,
-        "window_days",
-        F.explode(
-            F.array(
-                F.col("_in"),
-                F.struct(
-                    F.date_add("_in.day", F.col("window_days")).alias("day"),
-                    *[(-F.col(f"_in.{m}")).cast(EXACT if m.startswith("sum_") else "bigint").alias(m) for m in measures],
-                ),
-            )
-        ).alias("_d"),
-    )
-    deltas = deltas.select(key, *edges, "window_days", "_d.*").filter(F.col("day") <= F.col("_last"))
-    one = deltas.groupBy(key, "window_days", "day").agg(*[F.first(e).alias(e) for e in edges], *[F.sum(m).alias(m) for m in measures])
-    run = Window.partitionBy(key, "window_days").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    step = Window.partitionBy(key, "window_days").orderBy("day")
+    none = F.lit(0).cast("bigint")
+    part = lambda name, span, x, k, n, act: F.struct(F.lit(name).alias("name"), span.alias("span"), x.cast(WHOLE).alias("x"), k.alias("k"), n.alias("n"), act.alias("n_active"))
+    parts = [part("", F.lit(0), F.lit(0), none, F.col("n"), F.col("n_active"))]
+    parts += [part(c, F.col(f"_m_{c}"), F.coalesce(F.col(f"sum_{c}"), F.lit(0).cast(WHOLE)), F.col(f"cnt_{c}"), none, none) for c in names]
+    long = edged.select(key, *edges, "day", F.explode(F.array(*parts)).alias("p")).select(key, *edges, "day", "p.*").filter("name = '' OR k > 0")
+    measures = ["x", "k", "n", "n_active"]
+    group = [key, "window_days", "name", "span"]
+    sign = F.explode(F.array(F.lit(1), F.lit(-1))).alias("_sign")
+    deltas = long.select("*", F.explode(F.array(*[F.lit(w) for w in windows])).alias("window_days")).select("*", sign)
+    deltas = deltas.withColumn("day", F.when(F.col("_sign") > 0, F.col("day")).otherwise(F.date_add("day", F.col("window_days")))).filter(F.col("day") <= F.col("_last"))
+    signed = [F.sum(F.when(F.col("_sign") > 0, F.col(m)).otherwise(-F.col(m))).cast(WHOLE if m == "x" else "bigint").alias(m) for m in measures]
+    one = deltas.repartition(key, "window_days").groupBy(*group, "day").agg(*[F.first(e).alias(e) for e in edges], *signed)
+    step = Window.partitionBy(*group).orderBy("day")
+    run = step.rowsBetween(Window.unboundedPreceding, 0)
     totals = one.select(
-        key,
-        "window_days",
+        *group,
         *edges,
         "day",
         F.coalesce(F.date_sub(F.lead("day").over(step), 1), F.col("_last")).alias("_until"),
-        *[F.sum(m).over(run).cast(EXACT if m.startswith("sum_") else "bigint").alias(m) for m in measures],
-    )
-    days = totals.select(
-        key,
-        "window_days",
-        "first_active",
-        "last_active",
-        *measures,
-        F.explode(F.sequence("day", "_until", F.expr("interval 1 day"))).alias("day"),
+        *[F.sum(m).over(run).cast(WHOLE if m == "x" else "bigint").alias(m) for m in measures],
     )
+    days = totals.select(*group, "first_active", "last_active", *measures, F.explode(F.sequence("day", "_until", F.expr("interval 1 day"))).alias("day"))
+    mine = lambda c, x: F.when(F.col("name") == c, x)
+    aggs = [F.first("first_active").alias("first_active"), F.first("last_active").alias("last_active"), F.sum("n").alias("n"), F.sum("n_active").alias("n_active")]
+    for c in names:
+        aggs += [F.sort_array(F.collect_list(mine(c, F.struct("span", scaled_back(F.col("x"), F.col("span")).alias("x"))))).alias(f"_{c}"), F.coalesce(F.sum(mine(c, F.col("k"))), F.lit(0)).alias(f"cnt_{c}")]
+    whole_days = days.groupBy(key, "window_days", "day").agg(*aggs)
     out = [key, "day", "window_days", "n", "n_active"]
     for c in names:
-        total = F.coalesce(F.col(f"sum_{c}"), F.lit(0).cast(EXACT)).cast("double")
+        total = F.aggregate(F.transform(f"_{c}", lambda p: p["x"]), F.lit(0.0), lambda a, x: a + x)
         out += [total.alias(f"total_{c}"), F.try_divide(total, F.col(f"cnt_{c}").cast("double")).alias(f"avg_{c}")]
-    return days.select(*out, "first_active", "last_active")
+    return whole_days.select(*out, "first_active", "last_active")
 
 
 def rolling_bar_totals(bars: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
@@ -119,13 +122,7 @@ def rolling_bar_totals(bars: DataFrame, windows: Sequence[int] = (7, 30)) -> Dat
     whatever their names.
     """
     bar = latest_load(bars, ["timestamp", "volume", "close", "atr_14"])
-    daily = daily_amounts(
-        bar,
-        "symbol",
-        "timestamp",
-        {"volume": "volume", "close": "close", "atr_14": "atr_14"},
-        F.col("volume") > 0,
-    )
+    daily = daily_amounts(bar, "symbol", "timestamp", ["volume", "close", "atr_14"], F.col("volume") > 0)
     return trailing_windows(daily, "symbol", ["volume", "close", "atr_14"], windows)
 
 

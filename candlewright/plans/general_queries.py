@@ -48,9 +48,7 @@ bar AS (
   FROM one GROUP BY ALL),
 daily AS (
   SELECT symbol, CAST(ts AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS n, count(*) FILTER (volume > 0) AS n_active,
-         sum(CAST(volume AS DECIMAL(38,12))) AS v, count(volume) AS nv,
-         sum(CAST(close AS DECIMAL(38,12))) AS c, count(close) AS nc,
-         sum(CAST(atr_14 AS DECIMAL(38,12))) AS a, count(atr_14) AS na
+         fsum(volume) AS v, count(volume) AS nv, fsum(close) AS c, count(close) AS nc, fsum(atr_14) AS a, count(atr_14) AS na
   FROM bar WHERE ts IS NOT NULL GROUP BY ALL),
 span AS (
   SELECT symbol, min(day) AS d0, max(day) AS d1, min(day) FILTER (n_active > 0) AS a0, max(day) FILTER (n_active > 0) AS a1
@@ -60,8 +58,7 @@ grid AS (SELECT symbol, day, a0, a1, w FROM days, (VALUES (7), (30)) AS t(w)),
 rolled AS (
   SELECT g.symbol, g.day, g.w AS window_days, any_value(g.a0) AS a0, any_value(g.a1) AS a1,
          coalesce(sum(d.n), 0) AS n, coalesce(sum(d.n_active), 0) AS n_active,
-         coalesce(CAST(sum(d.v) AS DOUBLE), 0) AS v, sum(d.nv) AS nv, CAST(sum(d.c) AS DOUBLE) AS c, sum(d.nc) AS nc,
-         CAST(sum(d.a) AS DOUBLE) AS a, sum(d.na) AS na
+         coalesce(fsum(d.v), 0) AS v, sum(d.nv) AS nv, fsum(d.c) AS c, sum(d.nc) AS nc, fsum(d.a) AS a, sum(d.na) AS na
   FROM grid g LEFT JOIN daily d ON d.symbol = g.symbol AND d.day <= g.day AND d.day > g.day - g.w
   GROUP BY ALL)
 """

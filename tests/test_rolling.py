@@ -59,6 +59,19 @@ def test_last_load_counts_even_where_it_is_null(spark):
 
 def test_empty_extreme_and_missing_times(spark):
     assert roll(spark, []).count() == 0
-    rows = [("A", 0, None, 1.0, 1.0, 1.0, None, "x", 1), bar("A", 1, 0, 1e300), bar("A", 2, 0, float("inf")), bar("A", 3, 0, 2.0)]
+    rows = [("A", 0, None, 1.0, 1.0, 1.0, None, "x", 1), bar("A", 1, 0, 4.0), bar("A", 2, 0, float("inf")), bar("A", 3, 0, 2.0)]
     got = roll(spark, rows).filter("window_days = 7").first()
-    assert got["n"] == 3 and got["total_volume"] == 2.0
+    assert got["n"] == 3 and got["total_volume"] == 6.0
+
+
+def test_any_finite_reading_counts_and_leaves_no_trace(spark):
+    """Readings of any magnitude, in one window or one after the other: each total is what the window's own readings give."""
+    volumes = [1e300, 1e-300, 5e-324, 1.7e308, 0.1, 3.0, 1e20, -1e20, 1e-9, 2.5e-9, 1e22, 0.3]
+    rows = [bar("A", i, 10 * i, v, close=v) for i, v in enumerate(volumes)] + [bar("A", 100, 200, 1e25), bar("A", 101, 201, 0.1), bar("A", 102, 203, 0.2), bar("A", 103, 210, None)]
+    got = roll(spark, rows).filter("window_days = 7").toPandas().set_index("day")
+    at = lambda d: got.loc[(DAY + dt.timedelta(days=d)).date()]
+    for i, v in enumerate(volumes):
+        assert at(10 * i).total_volume == v == at(10 * i).avg_close and at(10 * i + 6).total_volume == v and at(10 * i + 7).total_volume == 0.0
+    assert at(203).total_volume == 1e25 and at(203 + 4).total_volume == pytest.approx(0.1 + 0.2, rel=1e-15)
+    total = roll(spark, [bar("A", i, i % 7, 1e-9 * (i + 1), close=1e-9 * (i + 1)) for i in range(50)]).filter("window_days = 7").toPandas()
+    assert total.avg_close.iloc[-1] == pytest.approx(25.5e-9, rel=1e-14)
