@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.salting import salted_join
 from candlewright.llm.tokens import VOCABULARY, token_counter
 from candlewright.session import materialise
 
@@ -27,13 +28,13 @@ def mix(
     weight: Column | None = None,
     vocabulary: str = VOCABULARY,
     seed: int = 42,
-    buckets: int = 4096,
+    cuts: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
     """``(mixed, report)`` for a mix as large as the whole table.
 
     mixed: (doc_id, source, tokens, uses), documents used at least once. report, one row a target
     source: source, target_share, max_repeats, documents, tokens, budget, epochs, reached, share (of all reached
-    tokens), exhausted.
+    tokens), share_of_size (of the intended size, what the budget asks for), exhausted.
 
     A source's budget is target_share times the tokens of all documents, those without a source
     included. It is used up in complete epochs (every document once) as often as they fit and max_repeats allows;
@@ -44,13 +45,20 @@ def mix(
     target, or NULL, are left out of the mix. Repeated rows count each.
 
     Texts are tokenized once into the checkpoint folder. Tokens are summed per source and key
-    bucket; only the one bucket where a budget ends is ordered, so no source is sorted as a whole.
+    bucket; only the one bucket where a budget ends is ordered, so no source is sorted as a whole. Buckets are a source's
+    own: ``cuts`` sketched quantiles of its keys, and as many equal steps between two of them, so that they are alike
+    whatever the weights' scale.
     """
     weight = post_quality() if weight is None else weight
     tokens = token_counter(documents.sparkSession, vocabulary)
     key = sampling_key(F.col("doc_id"), F.greatest(weight, F.lit(1e-9)), seed)
     sized = materialise(documents.select("doc_id", "source", tokens(F.col("text")).alias("tokens"), key.alias("_key")))
-    sized = sized.withColumn("_bucket", F.floor(F.lit(float(buckets)) * (1 - F.exp(-F.col("_key")))).cast("int"))
+    points = sized.groupBy("source").agg(F.percentile_approx("_key", [i / cuts for i in range(cuts + 1)], 10_000).alias("_points"))
+    sized = salted_join(sized, points, "source", "doc_id")
+    coarse = F.greatest(F.size(F.filter("_points", lambda q: q <= F.col("_key"))) - 1, F.lit(0))
+    low, high = F.get("_points", coarse), F.coalesce(F.get("_points", coarse + 1), F.get("_points", F.lit(cuts)))
+    step = F.coalesce(F.floor(F.try_divide(F.col("_key") - low, high - low) * cuts), F.lit(0))
+    sized = sized.withColumn("_bucket", (coarse * cuts + F.greatest(F.lit(0), F.least(step, F.lit(cuts - 1)))).cast("int")).drop("_points")
     sums = sized.groupBy("source", "_bucket").agg(F.sum("tokens").alias("_t"), F.count(F.lit(1)).alias("_d"))
     size = sums.agg(F.sum("_t")).first()[0] or 0  # one number
     per_source = sums.groupBy("source").agg(F.sum("_t").alias("tokens"), F.sum("_d").alias("documents"))
@@ -82,4 +90,4 @@ def mix(
     reached = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("reached"))
     report = plan.join(reached, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
     share = F.try_divide(F.col("reached").cast("double"), F.sum("reached").over(Window.partitionBy(F.lit(1))))  # one row a target source
-    return mixed, report.select("source", "target_share", "max_repeats", "documents", "tokens", "budget", "epochs", "reached", share.alias("share"), "exhausted")
+    return mixed, report.select("source", "target_share", "max_repeats", "documents", "tokens", "budget", "epochs", "reached", share.alias("share"), F.try_divide(F.col("reached").cast("double"), F.lit(float(size))).alias("share_of_size"), "exhausted")

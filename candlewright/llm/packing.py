@@ -12,6 +12,10 @@ from candlewright.llm.tokens import VOCABULARY, token_counter
 from candlewright.session import materialise
 
 
+#: Rows a plan may have. It has as many as patterns are committed, which the capacity bounds: some 7,000 at 2,048 tokens and 10^9 texts.
+MOST_SLOTS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Slot:
     """Pieces of ``length`` with ranks [start, end) go, ``each`` a container, to containers from ``container`` on."""
@@ -159,6 +163,8 @@ def pack(documents: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULAR
     for r in counts.groupBy("tokens").agg(F.sum("_n").alias("n")).collect():  # at most ``capacity`` rows
         histogram[r["tokens"]] = r["n"]
     slots, _ = plan_containers(histogram, capacity)
+    if len(slots) > MOST_SLOTS:
+        raise ValueError(f"a plan of {len(slots)} slots is too large to broadcast")
     schema = "_length bigint, _start bigint, _end bigint, _base bigint, _each bigint"
     plan = spark.createDataFrame([(s.length, s.start, s.end, s.container, s.each) for s in slots], schema)
 

@@ -29,6 +29,11 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.bar_percentiles(read_table(spark, sf_dir, "bars"))
 
 
+def p3_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ``p3_percentiles`` what SQL can say: the readings of each group, and that every rank, counted exactly, lies within its bound."""
+    return p3_percentiles(spark, sf_dir).select("overall", "symbol", "column", "quantile", "n", "within_bound")
+
+
 def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_episodes(read_table(spark, sf_dir, "episodes")).select("symbol", "cell", "first_row_id", "last_row_id", "n_events", F.round("seconds", 3).alias("seconds"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "p2_report": p2_report,
     "p2_sample": p2_sample,
     "p3_percentiles": p3_percentiles,
+    "p3_certified": p3_certified,
     "p5_found": p5_found,
     "p5_runs": p5_runs,
     "p6_found": p6_found,

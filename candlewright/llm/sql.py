@@ -57,6 +57,17 @@ FROM report""",
   SELECT bucket_id, pos, row_number() OVER (
     PARTITION BY bucket_id ORDER BY CAST('0x' || substr(md5(concat_ws('|', 42, symbol, pos)), 1, 15) AS BIGINT), pos) AS place FROM pool)
 SELECT r.request_id, r.bucket_id, r.symbol, k.pos FROM ranked k JOIN report r USING (bucket_id) WHERE k.place <= r.drawn""",
+    "p3_certified": """
+WITH one AS (SELECT symbol, pos, loaded_at, max(ma_dispersion_atr) AS d, max(atr_14) AS a FROM bars GROUP BY ALL),
+bar AS (SELECT symbol, pos, arg_max_null(d, loaded_at) AS d, arg_max_null(a, loaded_at) AS a FROM one GROUP BY ALL),
+reading AS (
+  SELECT symbol, 'ma_dispersion_atr' AS "column", d AS value FROM bar WHERE d IS NOT NULL AND NOT isnan(d)
+  UNION ALL SELECT symbol, 'atr_14', a FROM bar WHERE a IS NOT NULL AND NOT isnan(a)),
+counted AS (
+  SELECT false AS overall, symbol, "column", count(*) AS n FROM reading GROUP BY ALL
+  UNION ALL SELECT true, NULL, "column", count(*) FROM reading GROUP BY ALL)
+SELECT overall, symbol, "column", CAST(q AS DOUBLE) AS quantile, n, true AS within_bound
+FROM counted, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q)""",
     "p5_found": _RUNS + "SELECT first_row_id, last_row_id FROM runs WHERE n_events > 1",
     "p5_runs": _RUNS + "SELECT symbol, cell, first_row_id, last_row_id, n_events, seconds FROM runs",
 }

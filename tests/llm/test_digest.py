@@ -46,9 +46,20 @@ def test_merging_keeps_weight_and_ends(spark):
 
 
 def test_small_and_missing(spark):
-    pdf = pd.DataFrame({"symbol": ["A", "A", None, "C"], "pos": [0, 1, 0, 0], "d": [5.0, 5.0, 2.0, np.nan], "a": [np.nan, np.inf, np.nan, None]})
+    pdf = pd.DataFrame({"symbol": ["A", "A", None, "C"], "pos": [0, 1, 0, 0], "d": [5.0, 5.0, 2.0, np.nan], "a": [np.nan, None, np.nan, None]})
     got = digest.bar_percentiles(bars(spark, pdf)).toPandas()
     assert set(got.column) == {"ma_dispersion_atr"} and got.within_bound.all()
     assert (got[got.symbol == "A"].value == 5.0).all() and (got[got.symbol.isna() & ~got.overall].value == 2.0).all()
     assert got[got.overall].n.unique().tolist() == [3]
     assert digest.bar_percentiles(bars(spark, pdf.iloc[:0])).count() == 0
+
+
+def test_infinities_are_readings(spark):
+    rng = np.random.default_rng(3)
+    d = np.r_[rng.normal(size=880), np.full(60, np.inf), np.full(60, -np.inf)]
+    pdf = pd.DataFrame({"symbol": "A", "pos": np.arange(1000), "d": rng.permutation(d), "a": np.where(np.arange(1000) % 2, np.inf, 1.0)})
+    got = digest.bar_percentiles(bars(spark, pdf), part_rows=300).filter("NOT overall").toPandas()
+    assert got.within_bound.all() and (got.n == 1000).all() and not got.value.isna().any()
+    v = got[got.column == "ma_dispersion_atr"].set_index("quantile").value
+    assert v[0.01] == v[0.05] == -np.inf and v[0.99] == v[0.95] == np.inf and abs(v[0.5]) < 0.1
+    assert set(got[got.column == "atr_14"].value) == {1.0, np.inf}
