@@ -18,6 +18,10 @@ from candlewright.session import materialise, read_table
 from candlewright.sources import feed
 
 
+#: What scans, episodes and triggers read of a bar.
+EVENT_INPUTS = ["symbol", "pos", "n_bars", "ts", "timestamp", "close", "high", "low", "ma_dispersion_atr", "prev_dispersion", "ma_upper", "ma_lower", "cluster_center", "slope_down", "prior_local_low"]
+
+
 @dataclass(frozen=True)
 class Settings:
     """Series here are a few hundred bars long: horizon and gap are shorter than the published 24 and 164."""
@@ -49,6 +53,8 @@ class Pipeline:
     spark: SparkSession
     sf_dir: str
     s: Settings = field(default_factory=Settings)
+    #: are features asked for? Then ``kept`` has them, and nothing is computed twice.
+    features: bool = False
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -59,11 +65,13 @@ class Pipeline:
 
     @cached_property
     def wide(self) -> DataFrame:
-        return ind.wide_bars(self.bars, self.s.horizon, self.s.local_low_window, features=False, digits=self.s.digits)
+        return ind.wide_bars(self.bars, self.s.horizon, self.s.local_low_window, features=self.features, digits=self.s.digits)
 
-    @cached_property
+    @property
     def featured(self) -> DataFrame:
-        return ind.wide_bars(self.bars, self.s.horizon, self.s.local_low_window, features=True, digits=self.s.digits)
+        if not self.features:
+            raise ValueError("this pipeline was made without features")
+        return self.kept
 
     @cached_property
     def kept(self) -> DataFrame:
@@ -75,15 +83,17 @@ class Pipeline:
         return isl.freeze_thresholds(self.kept, train_end, quantiles, digits=self.s.digits)
 
     def streaks_of(self, bars: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
-        return isl.add_streaks(isl.with_thresholds(bars, self.thresholds(quantiles).drop("n_train")))
+        # one row a series and quantile, written so that the planner knows its size
+        return isl.add_streaks(isl.with_thresholds(bars, materialise(self.thresholds(quantiles)).drop("n_train")))
 
     @cached_property
     def streaks(self) -> DataFrame:
-        return materialise(self.streaks_of(self.kept, self.s.quantiles))
+        """Bars with streaks once for each quantile, with the columns that event sources read."""
+        return materialise(self.streaks_of(self.kept.select(*EVENT_INPUTS), self.s.quantiles))
 
     @cached_property
     def platform_rows(self) -> DataFrame:
-        return materialise(self.streaks_of(self.kept, (self.s.platform_quantile,)))
+        return materialise(self.streaks_of(self.kept.select(*EVENT_INPUTS, "atr_14", "sma_20"), (self.s.platform_quantile,)))
 
     def events(self, trigger: str) -> DataFrame:
         return isl.scan(self.streaks, trigger, self.s.min_duration, self.s.cooldown)
@@ -121,7 +131,7 @@ class Pipeline:
     def fold_thresholds(self) -> DataFrame:
         """Thresholds frozen on each fold's inner training bars, per series and fold."""
         bars = salted_join(self.kept.select("symbol", "pos", "ma_dispersion_atr"), self.folds.select("symbol", "fold", "inner_val_start"), "symbol", "pos")
-        return isl.freeze_thresholds(bars, F.col("inner_val_start"), self.s.quantiles, ("symbol", "fold"), self.s.digits)
+        return materialise(isl.freeze_thresholds(bars, F.col("inner_val_start"), self.s.quantiles, ("symbol", "fold"), self.s.digits))
 
     @cached_property
     def control(self) -> DataFrame:

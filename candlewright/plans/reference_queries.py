@@ -28,6 +28,12 @@ def query(f: Callable[[Pipeline], DataFrame]) -> Callable[[Pipeline], DataFrame]
     return f
 
 
+def feature_query(f: Callable[[Pipeline], DataFrame]) -> Callable[[Pipeline], DataFrame]:
+    """A query whose bars carry the features."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Pipeline(spark, sf_dir, features=True))
+    return f
+
+
 def rounded(df: DataFrame, columns: list[str], digits: int) -> DataFrame:
     """Rounded by way of nine decimals, so that noise in the last place does not break ties either way."""
     return df.withColumns({c: F.round(F.round(c, 9), digits) for c in columns})
@@ -80,9 +86,9 @@ def clu_cluster(p: Pipeline) -> DataFrame:
     return rounded(rounded(p.wide.select("symbol", "pos", *columns, "ma_dispersion_atr"), columns, 4), ["ma_dispersion_atr"], 6)
 
 
-@query
+@feature_query
 def feat_27(p: Pipeline) -> DataFrame:
-    rows = p.streaks_of(p.featured, p.s.quantiles[:1]).withColumn("compression_duration", F.col("streak").cast("double"))
+    rows = p.streaks_of(p.kept, p.s.quantiles[:1]).withColumn("compression_duration", F.col("streak").cast("double"))
     return rounded(rows.select("symbol", "pos", *ind.FEATURES), ind.FEATURES, 5)
 
 
@@ -201,7 +207,7 @@ def spl_2_published_counts(p: Pipeline) -> DataFrame:
     return p.split(p.labelled(p.events("zone_start"))).groupBy("symbol", "quantile", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
+@feature_query
 def spl_3_dataset(p: Pipeline) -> DataFrame:
     features = [f for f in ind.FEATURES if f != "compression_duration"]
     rows = out.at_positions(p.split(p.labelled(p.events("zone_start"))), p.featured, features)
@@ -210,7 +216,7 @@ def spl_3_dataset(p: Pipeline) -> DataFrame:
     return rounded(rows.select("symbol", "quantile", "decision_pos", "split", "compression_duration", *columns), columns, 5)
 
 
-@query
+@feature_query
 def flt_3_dropped(p: Pipeline) -> DataFrame:
     features = [f for f in ind.FEATURES if f != "compression_duration"]
     rows = out.at_positions(p.labelled(p.events("zone_start")), p.featured, features)
@@ -242,13 +248,13 @@ def wf_4_7_grid(p: Pipeline) -> DataFrame:
     return _as_bigint(_scanned(p).groupBy("trigger", "quantile", "symbol", "fold").agg(count("train").alias("n_train"), count("val").alias("n_val"), count("test").alias("n_test")))
 
 
-@query
+@feature_query
 def wf_5_gate(p: Pipeline) -> DataFrame:
     """Events with all features known per cell (trigger, quantile, fold; all series), and the gate they pass or not."""
     return _as_bigint(wf.passing(wf.fold_dataset(p, _scanned(p))))
 
 
-@query
+@feature_query
 def wf_8_pool(p: Pipeline) -> DataFrame:
     """Pooled out-of-sample results of the baseline score per (trigger, quantile), over the folds whose cells pass the gate."""
     dataset = materialise(wf.fold_dataset(p, _scanned(p)))
@@ -269,7 +275,7 @@ def _walked(p: Pipeline) -> tuple[DataFrame, list, DataFrame | None, list[dict]]
     return (dataset, cells, *wf.run_cells(dataset, cells, p.s.seed))
 
 
-@query
+@feature_query
 def wf_6_9_folds(p: Pipeline) -> DataFrame:
     """A model per fold and arm: counts, gate, best round and rank correlation of its predictions with what followed."""
     _, cells, test, infos = _walked(p)
@@ -283,7 +289,7 @@ def wf_6_9_folds(p: Pipeline) -> DataFrame:
     return rows.join(_as_bigint(rho), list(wf.CELL), "left")
 
 
-@query
+@feature_query
 def wf_8_9_model_pool(p: Pipeline) -> DataFrame:
     """``wf_8_pool`` of the models' predictions, for both arms; no rows where no fold passes the gate."""
     dataset, _, test, _ = _walked(p)
@@ -292,7 +298,7 @@ def wf_8_9_model_pool(p: Pipeline) -> DataFrame:
     return wf.pool_cells(p, materialise(test), "prediction")
 
 
-@query
+@feature_query
 def ml_7_arms(p: Pipeline) -> DataFrame:
     """Both arms of the plain split, trained, evaluated and set against their control, with the flag for few samples."""
     anchored = p.split(p.labelled(p.anchored)).filter(F.col("quantile") == p.s.quantiles[0]).withColumn("zone_length", F.col("compression_duration_at_decision"))
@@ -455,20 +461,20 @@ def _trained(p: Pipeline) -> tuple:
     return rows, fitted, info
 
 
-@query
+@feature_query
 def ml_1_3_scores(p: Pipeline) -> DataFrame:
     """Predictions for every event outside training, from trees boosted on the training events."""
     rows, fitted, _ = _trained(p)
     return model.predict(fitted, rows.filter("split <> 'train'"), ind.FEATURES).select("symbol", "decision_pos", "split", "prediction", "short_utility")
 
 
-@query
+@feature_query
 def ml_5_importance(p: Pipeline) -> DataFrame:
     _, fitted, info = _trained(p)
     return p.spark.createDataFrame(list(info["importance"].items()), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(10)
 
 
-@query
+@feature_query
 def ml_6_evaluation(p: Pipeline) -> DataFrame:
     rows, fitted, _ = _trained(p)
     scored = model.predict(fitted, rows.filter("split <> 'train'"), ind.FEATURES)
@@ -476,7 +482,7 @@ def ml_6_evaluation(p: Pipeline) -> DataFrame:
     return ev.with_p_values(corr)
 
 
-@query
+@feature_query
 def smp_2_permutation(p: Pipeline) -> DataFrame:
     rows, fitted, _ = _trained(p)
     return model.permutation_importance(fitted, rows.filter("split <> 'train'"), ind.FEATURES, ["symbol", "decision_pos"], seed=p.s.seed)

@@ -15,15 +15,13 @@ from candlewright.operators import indicators as ind
 from candlewright.operators import islands as isl
 from candlewright.operators import model
 from candlewright.operators import outcomes as out
-from candlewright.plans.pipeline import Pipeline
+from candlewright.plans.pipeline import EVENT_INPUTS, Pipeline
 from candlewright.session import materialise
 
 #: A series' fold at one threshold.
 KEYS = ("symbol", "fold", "quantile")
 #: A cell trains one model on the events of all series.
 CELL = ("trigger", "quantile", "fold")
-#: What event sources read of a bar.
-INPUTS = ["symbol", "pos", "n_bars", "timestamp", "close", "high", "ma_dispersion_atr", "prev_dispersion", "ma_upper", "ma_lower", "cluster_center", "slope_down", "prior_local_low"]
 #: Least events of a cell in train, val and test.
 GATE = {"train": 40, "val": 10, "test": 10}
 #: Below these an evaluation is flagged as one of few samples.
@@ -51,7 +49,7 @@ def anchored_arm(min_duration: int, exit_confirm: int) -> EventBuilder:
 def fold_bars(p: Pipeline) -> DataFrame:
     """Bars before each fold's end, once for each fold and threshold, with streaks: only the columns that event sources read."""
     thresholds = p.fold_thresholds.drop("n_train").join(p.folds.select("symbol", "fold", "test_hi"), ["symbol", "fold"])
-    rows = isl.with_thresholds(p.kept.select(*INPUTS), thresholds, ("symbol",)).filter(F.col("pos") < F.col("test_hi")).drop("test_hi")
+    rows = isl.with_thresholds(p.kept.select(*EVENT_INPUTS), thresholds, ("symbol",)).filter(F.col("pos") < F.col("test_hi")).drop("test_hi")
     return isl.add_streaks(rows, KEYS)
 
 

@@ -15,7 +15,7 @@ from candlewright.sources import feed
 
 @pytest.fixture(scope="module")
 def p(spark, make_walk):
-    p = Pipeline(spark, "")
+    p = Pipeline(spark, "", features=True)
     klines = spark.createDataFrame(make_walk(8000, symbol="A")).unionByName(spark.createDataFrame(make_walk(600, seed=8, symbol="B")))
     p.__dict__["bars"] = materialise(feed.bars_of_feed(klines))
     p.__dict__["rows"] = materialise(wf.fold_bars(p))
