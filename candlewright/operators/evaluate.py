@@ -216,6 +216,31 @@ def review_sets(rows: DataFrame, keys: Sequence[str], score: str, tie: Sequence[
     return ends.unionByName(mid.drop("_h", "_r")).drop("place_n")
 
 
+def widened_pool(rows: DataFrame, keys: Sequence[str], need: int) -> DataFrame:
+    """Rows to choose review sets from, per group, with ``pool``: the test rows, with those of val where they are under ``need``, and with those of train where that is still too few."""
+    n = {s: F.count_if(F.col("split") == s).alias(f"_n_{s}") for s in ("test", "val")}
+    sizes = rows.groupBy(*keys).agg(*n.values())
+    pool = F.when(F.col("_n_test") >= need, "test").when(F.col("_n_test") + F.col("_n_val") >= need, "val+test").otherwise("train+val+test")
+    named = salted_join(rows.withColumn("_spread", F.xxhash64("decision_pos")), sizes.select(*keys, pool.alias("pool")), keys, "_spread", salts=8).drop("_spread")
+    return named.filter(F.array_contains(F.split("pool", r"\+"), F.col("split")))
+
+
+#: A group of fewer rows is flagged; a control pool of fewer bars is an error.
+FEW, LEAST_POOL = 10, 100
+
+
+def with_few_flag(stats: DataFrame, count: str = "sample_count") -> DataFrame:
+    """Group statistics with ``few``: are they of under ``FEW`` rows?"""
+    return stats.withColumn("few", F.col(count) < FEW)
+
+
+def pool_sizes(bars: DataFrame, horizon: int, lo: Column, hi: Column) -> DataFrame:
+    """(symbol, pool, enough): bars that ``matched_control`` may draw from, and whether they reach ``LEAST_POOL``."""
+    inside = bars.filter((F.col("pos") >= lo) & (F.col("pos") < F.least(hi, F.col("n_bars") - horizon - 1)) & (F.col("atr_14") > 0))
+    sizes = bars.select("symbol").distinct().join(inside.groupBy("symbol").agg(F.count(F.lit(1)).alias("pool")), "symbol", "left")
+    return sizes.select("symbol", F.coalesce("pool", F.lit(0)).alias("pool"), (F.coalesce("pool", F.lit(0)) >= LEAST_POOL).alias("enough"))
+
+
 def cost_sweep(rows: DataFrame, keys: Sequence[str], costs: Sequence[float]) -> DataFrame:
     """Mean net return and share of positive ones at each cost."""
     spread = rows.withColumn("cost", F.explode(F.array(*[F.lit(float(c)) for c in costs])))

@@ -18,6 +18,9 @@ from candlewright.functions.ranks import correlation
 from candlewright.session import materialise
 
 TARGET = "short_utility"
+# Least events in each split for a run to go on, and for two arms to be compared.
+LEAST_RUN = {"train": 50, "val": 20, "test": 20}
+LEAST_COMPARED = {"train": 100, "val": 20, "test": 20}
 
 
 def assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -63,6 +66,22 @@ def train(train_rows: DataFrame, val_rows: DataFrame, features: Sequence[str], r
     return model, {"best_iteration": best + 1, "n_features": len(features), "importance": dict(gains)}
 
 
+def save_model(model: GBTRegressionModel, path: str) -> None:
+    """The model as files in a folder that all executors share; what stood there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> GBTRegressionModel:
+    return GBTRegressionModel.load(path)
+
+
+def require(counts: dict[str, int], least: dict[str, int]) -> None:
+    """Raises ValueError, naming the splits, where one has fewer rows than it needs."""
+    short = {s: counts.get(s, 0) for s, n in least.items() if counts.get(s, 0) < n}
+    if short:
+        raise ValueError("too few events: " + ", ".join(f"{s} {k} of {least[s]}" for s, k in short.items()))
+
+
 def predict(model: GBTRegressionModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return model.transform(assemble(rows, features)).drop("features")
 

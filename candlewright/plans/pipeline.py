@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,23 @@ class Settings:
     digits: int = 8
 
 
+def read_settings(path: str | Path) -> Settings:
+    """Settings from a JSON file, or a YAML file where PyYAML is installed: names as in ``Settings``, lists for tuples. ValueError for an unknown name."""
+    text = Path(path).read_text()
+    if str(path).endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("PyYAML is not installed: write the settings as JSON") from e
+        given = yaml.safe_load(text) or {}
+    else:
+        given = json.loads(text)
+    unknown = sorted(set(given) - {f.name for f in fields(Settings)})
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
 @dataclass
 class Pipeline:
     spark: SparkSession
@@ -133,6 +152,13 @@ class Pipeline:
         bars = salted_join(self.kept.select("symbol", "pos", "ma_dispersion_atr"), self.folds.select("symbol", "fold", "inner_val_start"), "symbol", "pos")
         return materialise(isl.freeze_thresholds(bars, F.col("inner_val_start"), self.s.quantiles, ("symbol", "fold"), self.s.digits))
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Temporary views of the chain's frames, for SQL: bars, streaks, episodes, anchored, scored, labelled_bars, zone events. Returns their names."""
+        frames = {"bars": self.kept, "streaks": self.streaks, "episodes": self.episodes, "anchored": self.anchored, "scored": self.scored, "labelled_bars": self.labelled_bars, "zone_events": self.events("zone_start")}
+        for name, frame in frames.items():
+            frame.createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in frames]
+
     @cached_property
     def control(self) -> DataFrame:
         """Matched control of the anchored test events at the first quantile."""

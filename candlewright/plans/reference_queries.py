@@ -409,6 +409,25 @@ def sort_3_published_sets(p: Pipeline) -> DataFrame:
     return rows.select("quantile", "review_set", "place", "symbol", "decision_pos")
 
 
+@query
+def sort_4_pool(p: Pipeline) -> DataFrame:
+    """Review pools per quantile and series, widened from test to val and train until they hold 30 rows."""
+    return ev.widened_pool(p.scored, ["quantile", "symbol"], 30).groupBy("quantile", "symbol", "pool").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def flt_5_flags(p: Pipeline) -> DataFrame:
+    """Groups of under ten rows among the trigger types, flagged."""
+    return ev.with_few_flag(p.scored.groupBy("quantile", "split", "trigger_type").agg(F.count(F.lit(1)).alias("sample_count")))
+
+
+@query
+def flt_5_pools(p: Pipeline) -> DataFrame:
+    """Control pools per series, and whether they are large enough."""
+    _, val_end = out.boundaries(F.col("n_bars"), p.s.train, p.s.val)
+    return ev.pool_sizes(p.kept, p.s.horizon, val_end + p.s.gap, F.col("n_bars"))
+
+
 @query
 def sort_7_context(p: Pipeline) -> DataFrame:
     rows = ev.context_bars(p.scored.filter("split = 'test' AND quantile = 0.3"), p.bars, 119, p.s.horizon)
@@ -491,6 +510,9 @@ def smp_2_permutation(p: Pipeline) -> DataFrame:
 @query
 def prj_10_titles(p: Pipeline) -> DataFrame:
     rows = ev.review_sets(p.scored.filter("split = 'test'"), ["quantile"], "score", ["symbol", "decision_pos"], seed=p.s.seed)
+    # digits beyond those shown are cut alike in every engine
+    for c, digits in {"score": 3, "short_utility": 3, "mfe_short": 2, "mae_short": 2, "gross_return": 5, "net_return": 5}.items():
+        rows = rounded(rows, [c], digits)
     named = rows.withColumns({"event_id": F.col("decision_pos"), "prediction": F.col("score"), "episode_age": F.col("episode_age_at_decision")})
     decision, outcome = sinks.review_titles()
     return named.select("quantile", "symbol", decision.alias("decision_title"), outcome.alias("outcome_title"))

@@ -331,6 +331,20 @@ stepped AS (
   FROM firsts f LEFT JOIN symbols s USING (symbol))
 """
 
+
+def _d(x: str, digits: int) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,9)), {digits}) AS DOUBLE)"
+
+
+def _sets(k: int) -> str:
+    """Review sets of ``k`` rows each."""
+    return f""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY quantile ORDER BY score DESC, symbol, decision_pos) AS place, count(*) OVER (PARTITION BY quantile) AS n FROM scored WHERE split = 'test' AND score IS NOT NULL),
+named AS (SELECT *, CASE WHEN place <= least({k}, n) THEN 'top' WHEN place > n - least({k}, greatest(0, n - {k})) THEN 'bottom' ELSE 'middle' END AS review_set FROM placed),
+middles AS (SELECT *, row_number() OVER (PARTITION BY quantile ORDER BY md5(concat_ws('|', symbol, decision_pos, {S.seed})), symbol, decision_pos) AS rn FROM named WHERE review_set = 'middle'),
+reviewed AS (SELECT * FROM named WHERE review_set <> 'middle' UNION ALL SELECT * EXCLUDE (rn) FROM middles WHERE rn <= {k})"""
+
+
 FOLD_DATA = (
     FEAT
     + GRID[len(IND) :]
@@ -450,12 +464,26 @@ long AS (UNPIVOT arms ON episode_age_at_decision, compression_duration_at_decisi
   CAST(round(CAST(avg(e.episode_end_pos - e.episode_start_pos + 1) AS DECIMAL(38,9)), 6) AS DOUBLE) AS mean_duration, max(e.episode_end_pos - e.episode_start_pos + 1) AS max_duration
 FROM epi e LEFT JOIN anchored a ON a.symbol = e.symbol AND a.quantile = e.quantile AND a.episode_start_pos = e.episode_start_pos GROUP BY e.quantile""",
     "sort_1_top_groups": SCORED + TOPPED + " " + _stats("quantile, split, grp", "topped"),
-    "sort_3_review_sets": SCORED
+    "sort_3_review_sets": SCORED + _sets(10) + " SELECT quantile, review_set, place, symbol, decision_pos FROM reviewed",
+    "sort_3_published_sets": SCORED + _sets(50) + " SELECT quantile, review_set, place, symbol, decision_pos FROM reviewed",
+    "prj_10_titles": SCORED
+    + _sets(50)
     + f""",
-placed AS (SELECT *, row_number() OVER (PARTITION BY quantile ORDER BY score DESC, symbol, decision_pos) AS place, count(*) OVER (PARTITION BY quantile) AS n FROM scored WHERE split = 'test' AND score IS NOT NULL),
-named AS (SELECT *, CASE WHEN place <= least(10, n) THEN 'top' WHEN place > n - least(10, greatest(0, n - 10)) THEN 'bottom' ELSE 'middle' END AS review_set FROM placed),
-middles AS (SELECT *, row_number() OVER (PARTITION BY quantile ORDER BY md5(concat_ws('|', symbol, decision_pos, {S.seed})), symbol, decision_pos) AS rn FROM named WHERE review_set = 'middle')
-SELECT quantile, review_set, place, symbol, decision_pos FROM named WHERE review_set <> 'middle' UNION ALL SELECT quantile, review_set, place, symbol, decision_pos FROM middles WHERE rn <= 10""",
+shown AS (
+  SELECT *, concat_ws(' ', concat(review_set, ' #', place), concat('id=', decision_pos), printf('pred=%.3f', {_d('score', 3)}), strftime(timestamp, '%Y-%m-%d %H:%M'), concat('(', split, ')'),
+      CASE WHEN trigger_type <> '' THEN concat('trig=', trigger_type) END, CASE WHEN episode_age_at_decision IS NOT NULL THEN concat('ep_age=', episode_age_at_decision) END) AS decision_title
+  FROM reviewed JOIN (SELECT symbol AS ws, pos AS wp, timestamp FROM wide) ON ws = symbol AND wp = decision_pos)
+SELECT quantile, symbol, decision_title, concat(decision_title, printf(' | utility=%.3f mfe=%.2f mae=%.2f gross=%+.1fbp net=%+.1fbp', {_d('short_utility', 3)}, {_d('mfe_short', 2)}, {_d('mae_short', 2)}, {_d('gross_return', 5)} * 1e4, {_d('net_return', 5)} * 1e4)) AS outcome_title
+FROM shown""",
+    "sort_4_pool": SCORED
+    + """,
+sizes AS (SELECT quantile, symbol, count(*) FILTER (split = 'test') AS t, count(*) FILTER (split = 'val') AS v FROM scored GROUP BY ALL),
+pools AS (SELECT quantile, symbol, CASE WHEN t >= 30 THEN 'test' WHEN t + v >= 30 THEN 'val+test' ELSE 'train+val+test' END AS pool FROM sizes)
+SELECT s.quantile, s.symbol, p.pool, count(*) AS n FROM scored s JOIN pools p ON p.quantile = s.quantile AND p.symbol = s.symbol
+WHERE s.split = 'test' OR s.split = 'val' AND p.pool <> 'test' OR s.split = 'train' AND p.pool = 'train+val+test' GROUP BY ALL""",
+    "flt_5_flags": SCORED + " SELECT quantile, split, trigger_type, count(*) AS sample_count, count(*) < 10 AS few FROM scored GROUP BY ALL",
+    "flt_5_pools": IND
+    + f" SELECT symbol, count(*) FILTER (pos >= val_end + {S.gap} AND pos < least(n_bars, n_bars - {S.horizon} - 1) AND atr_14 > 0) AS pool, count(*) FILTER (pos >= val_end + {S.gap} AND pos < least(n_bars, n_bars - {S.horizon} - 1) AND atr_14 > 0) >= 100 AS enough FROM wide GROUP BY symbol",
     "sort_7_context": SCORED
     + f" SELECT s.symbol, s.decision_pos, b.pos - s.decision_pos AS \"offset\", b.ts, b.close FROM scored s JOIN bars b ON b.symbol = s.symbol AND b.pos BETWEEN s.decision_pos - 119 AND s.decision_pos + {S.horizon} WHERE s.split = 'test' AND s.quantile = 0.3",
     "win_percent_rank": SCORED

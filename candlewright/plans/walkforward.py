@@ -24,8 +24,6 @@ KEYS = ("symbol", "fold", "quantile")
 CELL = ("trigger", "quantile", "fold")
 #: Least events of a cell in train, val and test.
 GATE = {"train": 40, "val": 10, "test": 10}
-#: Below these an evaluation is flagged as one of few samples.
-LOW_SAMPLE = {"train": 100, "val": 20, "test": 20}
 FEATURES = [f for f in ind.FEATURES if f != "compression_duration"]
 
 #: From bars with streaks per ``KEYS`` to events: KEYS, trigger (the arm's name), decision_pos, decision_ts, zone_length.
@@ -105,11 +103,11 @@ def pool_cells(p: Pipeline, test: DataFrame, score: str) -> DataFrame:
 def evaluate_arm(dataset: DataFrame, bars: DataFrame, horizon: int, lo, hi, seed: int = 42, least: dict[str, int] | None = None, **settings: int) -> dict:
     """Train an arm's model, evaluate it on its test events, and set it against their matched control (ML-7).
 
-    Returns counts, low_sample (below ``LOW_SAMPLE``), best_iteration, and the frames: predictions, correlations, groups, control. None
+    Returns counts, low_sample (below ``model.LEAST_COMPARED``), best_iteration, and the frames: predictions, correlations, groups, control. None
     of the frames where the counts do not reach ``least`` (default ``GATE``).
     """
     counts = {r["split"]: r["n"] for r in dataset.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a split
-    result: dict = {"counts": {s: counts.get(s, 0) for s in GATE}, "low_sample": any(counts.get(s, 0) < n for s, n in LOW_SAMPLE.items())}
+    result: dict = {"counts": {s: counts.get(s, 0) for s in GATE}, "low_sample": any(counts.get(s, 0) < n for s, n in model.LEAST_COMPARED.items())}
     if any(counts.get(s, 0) < n for s, n in (GATE if least is None else least).items()):
         return result | {"skipped": True}
     fitted, info = model.train(dataset.filter("split = 'train'"), dataset.filter("split = 'val'"), ind.FEATURES, seed=seed, **settings)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,21 +34,21 @@ def stream_mean(bars: DataFrame, span: int = 20) -> DataFrame:
     """Exponential mean of close per symbol over a stream of bars, kept in state: (symbol, ts, close, mean, seen).
 
     Bars of a micro-batch are taken in order of ts; a bar at or before the last one seen is dropped as
-    late. ``mean`` is NULL until ``span`` bars were seen.
+    late, and of two with the same ts the first stands. ``mean`` is NULL until ``span`` bars were seen.
     """
     alpha = 2.0 / (span + 1)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, seen, last = state.get if state.exists else (0.0, 0, -(2**62))
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for ts, close in zip(rows["ts"], rows["close"]):
-            if ts <= last or close != close:
-                continue
-            value = close if seen == 0 else (1 - alpha) * value + alpha * close
-            seen, last = seen + 1, int(ts)
-            out.append((key[0], int(ts), close, value if seen >= span else None, seen))
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable").drop_duplicates("ts")
+        rows = rows[(rows["ts"] > last) & rows["close"].notna()]
+        # the state stands for all bars before
+        whole = pd.concat([pd.Series([value] if seen else [], dtype="float64"), rows["close"].astype("float64")], ignore_index=True)
+        means = whole.ewm(alpha=alpha, adjust=False).mean().to_numpy()[1 if seen else 0 :]
+        count = seen + np.arange(1, len(rows) + 1)
+        if len(rows):
+            value, seen, last = means[-1], count[-1], rows["ts"].iloc[-1]
         state.update((float(value), int(seen), int(last)))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "mean", "seen"]).astype({"mean": "float64"})
+        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "close": rows["close"].to_numpy(), "mean": np.where(count >= span, means, np.nan), "seen": count})
 
     return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts bigint, close double, mean double, seen bigint", "value double, seen bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
