@@ -100,8 +100,8 @@ def look(text: str | None, asks: bool, judge: Judge) -> tuple[list[dict], list[i
         for kind, weight, terms, unit_print in judged:
             if weight:
                 alone = said >= other and (weight > WEAK or kind == "machine" or several)
-                found.append({"kind": kind, "weight": weight, "terms": sorted(terms), "print": unit_print, "alone": alone})
-    return found, sorted(title), sorted(prose), print_
+                found.append({"kind": kind, "weight": weight, "terms": list(terms), "print": unit_print, "alone": alone})
+    return found, list(title), list(prose), print_
 
 
 def _threads(rows: DataFrame, keys: list[str]) -> DataFrame:

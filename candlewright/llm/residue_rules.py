@@ -132,6 +132,7 @@ MACHINE_RE = re.compile(
     r"|^\w+_\w+: [\w]+(?:\.\w+)+$|\w+(?:exception|error) at \w+",
     re.I,
 )
+_MACHINE_WORDS = frozenset("line row errno sqlstate unhandled uncaught warning fatal notice error exception".split())
 TAGGED_RE = re.compile(r"^\s*<(?:html|noscript|!doctype|body|!--)", re.I)
 _TAG_RE = re.compile(r"</?[a-zA-Z][^>]*>|<!--|<!doctype[^>]*>|-->")
 _PATH_RE = re.compile(r"(?<!\S)/\S+\.\w+")
@@ -171,7 +172,6 @@ WORD_RE = re.compile(r"[^\W\d_]+|\d+")
 _ID_RE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b", re.I)
 _SPLIT_RE = re.compile(r"(?<=[.!?;])\s+")
 _DIGIT_RE = re.compile(r"\d+")
-_PUNCTUATED_RE = re.compile(r"[:/(_\d]|SQL|sql|nhandled|ncaught")
 _WORDS_ONLY_RE = re.compile(r"[^\W\d_]+(?:[ .,!?]+[^\W\d_]+)*[ .,!?]*")
 
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -242,7 +242,7 @@ class Judge:
     def _unit(self, text: str) -> tuple[str, float, frozenset[int], int]:
         plain = text.lower()
         marked = MARKS_RE.search(text) is not None
-        if marked:
+        if "<" in plain or "-->" in plain:
             plain = _TAG_RE.sub(" ", plain)
         if "/" in plain:
             plain = _PATH_RE.sub(" ", URL_RE.sub(" ", plain))
@@ -281,9 +281,9 @@ class Judge:
         prompt = share[1] >= WEAK_SHARE and APART_RE.search(text) is not None
         bar = share[0] >= STRONG_SHARE and NAVIGATION_RE.search(lowered) is not None
         void = not _VOIDS.isdisjoint(tokens) and LEAK_RE.search(lowered) is not None
-        machine = _PUNCTUATED_RE.search(text) is not None and MACHINE_RE.search(lowered) is not None
+        machine = (not _MACHINE_WORDS.isdisjoint(tokens) or "_" in text or " /" in text or "xception" in text) and MACHINE_RE.search(lowered) is not None
         bracketed = marked and BRACKETED_RE.search(text) is not None
-        noise = self._noise([t for t in tokens if not t.isdigit()], n, site + draft > 0, lowered)
+        noise = self._noise(tokens, n, site + draft > 0, lowered) if len(tokens) > 2 else ""
         if not (service or drafted or latin_ or prompt or bar or void or machine or bracketed or noise):
             return (MANNER if n and max(share[:2]) >= STRONG_SHARE else ""), 0.0
         tagged = marked and TAGGED_RE.search(text) is not None
@@ -310,6 +310,11 @@ class Judge:
     def _noise(self, words: list[str], n: int, known: bool, lowered: str) -> str:
         """Repeated words; and keyboard rows or letters unlike the corpus, in units without function words."""
         k = len(words)
+        different = len(set(words))
+        if different * 3 > k and n < k:  # ordinary words, function words among them
+            return ""
+        words = [w for w in words if not w.isdigit()]
+        k = len(words)
         if k < 3:
             return ""
         if len(set(words)) * 3 <= k:
