@@ -30,7 +30,7 @@ class Rows:
 
 @pytest.fixture
 def p(monkeypatch):
-    monkeypatch.setattr(rq, "Pipeline", lambda spark, sf_dir: SimpleNamespace(s=SimpleNamespace(seed=42), scored=Rows(), spark=None))
+    monkeypatch.setattr(rq, "Pipeline", lambda spark, sf_dir, features=False: SimpleNamespace(s=SimpleNamespace(seed=42), scored=Rows(), spark=None))
     monkeypatch.setattr(rq, "_dataset", lambda p: Rows())
     return monkeypatch
 

@@ -37,7 +37,7 @@ def test_features_and_gate(p):
 
 
 def test_pool_of_passing_folds_only(p, spark, monkeypatch):
-    monkeypatch.setattr(rq, "Pipeline", lambda *_: p)
+    monkeypatch.setattr(rq, "Pipeline", lambda *_, **__: p)
     gate = rq.QUERIES["wf_5_gate"](spark, "").toPandas()
     pooled = rq.QUERIES["wf_8_pool"](spark, "").toPandas().set_index(["trigger", "quantile"])
     passed = gate[gate.passes_gate].groupby(["trigger", "quantile"])
