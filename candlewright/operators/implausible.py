@@ -168,8 +168,7 @@ def _runs(same: np.ndarray) -> tuple[np.ndarray, int, int]:
     edge = np.diff(np.concatenate([[0], same[1:].astype(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     length = np.zeros(n, np.int64)
-    for a, b in zip(start, end):
-        length[1 + a : 1 + b] = b - a
+    length[1:][same[1:]] = np.repeat(end - start, end - start)
     head = int(end[0]) if len(start) and start[0] == 0 else 0
     tail = int(n - 1 - start[-1]) if len(end) and end[-1] == n - 1 else 0
     return length, head, tail
@@ -255,10 +254,21 @@ def _judge(pdf: pd.DataFrame, rules: SpikeRules) -> pd.DataFrame:
             ends = (float(x[at[0]]), float(x[at[-1]])) if len(at) else (np.nan, np.nan)
             edges |= {f"{k}_n": [len(at)], f"{k}_head": [head], f"{k}_tail": [tail], f"{k}_first": [ends[0]], f"{k}_last": [ends[1]]}
     keep = own & (impossible | spike | np.any([(out[f"{k}_run"] >= rules.least_run) | (out[f"{k}_at"] > 0) for k in RUNS], axis=0))
-    rows = pd.DataFrame({"ingest_seq": pdf["ingest_seq"].to_numpy()[order][keep], "ts": ts[keep], "impossible": impossible[keep], "spike": spike[keep], **{k: x[keep] for k, x in out.items()}})
-    rows = pd.concat([rows, pd.DataFrame(edges)], ignore_index=True) if len(rows) else pd.DataFrame(edges)
-    rows["symbol"], rows["block"] = one["symbol"], one["_block"]
-    return rows.reindex(columns=columns)
+    # one frame: the kept deliveries, then the row on the block's runs; whole numbers stay whole beside missing ones
+    k = int(keep.sum())
+    last = np.arange(k + 1) == k
+
+    def of_rows(x: np.ndarray, kind: type) -> pd.api.extensions.ExtensionArray:
+        return kind(np.append(x[keep], np.zeros(1, x.dtype)), last)
+
+    def of_block(x: float, kind: type | None) -> pd.api.extensions.ExtensionArray | np.ndarray:
+        return np.where(last, x, np.nan) if kind is None else kind(np.where(last, x, 0).astype(np.int64), ~last)
+
+    whole, flag = pd.arrays.IntegerArray, pd.arrays.BooleanArray
+    found = {"ingest_seq": of_rows(pdf["ingest_seq"].to_numpy(np.int64)[order], whole), "symbol": one["symbol"], "ts": of_rows(ts.astype(np.int64), whole), "block": one["_block"]}
+    found |= {"impossible": of_rows(impossible, flag), "spike": of_rows(spike, flag)} | {n: of_rows(x.astype(np.int64), whole) for n, x in out.items()}
+    found |= {n: of_block(x[0], None if n.endswith(("first", "last")) else whole) for n, x in edges.items()}
+    return pd.DataFrame(found, columns=columns)
 
 
 def _whole_runs(blocks: DataFrame, kind: str) -> DataFrame:
@@ -291,7 +301,7 @@ def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: Spi
 
     Returns (ingest_seq, symbol, ts, impossible, spike, stuck), one row a flagged delivery. Every
     delivery is judged by its own values; the first delivery of a bar stands for the bar where
-    others are compared with it, ties broken by ingest_seq. NULL and NaN readings are never flagged,
+    others are compared with it, ties broken by ingest_seq (a NULL one first). NULL and NaN readings are never flagged,
     are left out of all scales, and do not end a stuck stretch; a row without ts is judged for impossible values only. A NULL
     symbol is a series of its own. Exact copies of a row are judged alike, and each is returned. An empty
     feed gives no rows; columns besides those named are ignored.
@@ -307,7 +317,9 @@ def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: Spi
     per_series = materialise(  # one row a series, so that the planner knows its size
         scales.select("symbol", scale.alias("_scale"), F.coalesce("_logvol", F.lit(0.0)).alias("_logvol"), "_step", (scale * rules.still).alias("_tol"), _needed(rules, still, n).alias("_need_price"), _needed(rules, silent, n).alias("_need_silence"))
     )
-    rows = salted_join(feed.filter(F.col("ts").isNotNull()).select(*columns), per_series.select("symbol", "_scale", "_logvol", "_step"), "symbol", "ts")
+    unnamed = F.lit(-(2**63)).cast("bigint")  # stands for a NULL id, so that ids stay whole numbers in Python
+    timed = feed.filter(F.col("ts").isNotNull()).select(F.coalesce("ingest_seq", unnamed).alias("ingest_seq"), *columns[1:])
+    rows = salted_join(timed, per_series.select("symbol", "_scale", "_logvol", "_step"), "symbol", "ts")
     span = F.col("_step") * F.greatest(F.lit(rules.block_bars), F.ceil(F.lit(rules.block_days * DAY_MS) / F.col("_step")))
     edge = F.col("_step") * rules.edge_bars
     block = F.floor(F.col("ts") / span).cast("bigint")
@@ -336,7 +348,7 @@ def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: Spi
         head = (bit(HEAD) | bit(FIRST) & F.col(f"{k}_goes_on")) & (F.col(f"{k}_from") >= need)
         tail = bit(TAIL) & (F.col(f"{k}_to") >= need)
         stuck = stuck | here | F.coalesce(head, F.lit(False)) | F.coalesce(tail, F.lit(False))
-    found = hits.select("ingest_seq", "symbol", "ts", "impossible", "spike", stuck.alias("stuck")).filter("impossible OR spike OR stuck")
+    found = hits.select(F.nullif("ingest_seq", unnamed).alias("ingest_seq"), "symbol", "ts", "impossible", "spike", stuck.alias("stuck")).filter("impossible OR spike OR stuck")
     no_time = feed.filter(F.col("ts").isNull()).select(
         "ingest_seq",
         "symbol",

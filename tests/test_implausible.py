@@ -165,6 +165,11 @@ def test_edges(spark):
     rows = [(1, None, 0, 1.0, 0.5, 1.0, 1.0, 1.0), (2, "X", None, 1.0, 1.0, 1.0, -1.0, 1.0), (3, "X", 5, None, None, None, None, None), (4, "X", None, 1.0, 1.0, 1.0, 1.0, 1.0), (5, "Y", 5, 1.0, 1.0, 1.0, float("nan"), 1.0)]
     got = imp.flag_implausible(spark.createDataFrame(rows, empty.schema)).toPandas()
     assert sorted(got.ingest_seq) == [1, 2] and got.impossible.all()
+    huge = 2**62 + 1  # beyond what a double holds
+    got = imp.flag_implausible(spark.createDataFrame([(huge, "X", 0, 1.0, 0.5, 1.0, 1.0, 1.0), (huge + 1, "X", 60_000, 1.0, 2.0, 1.0, 1.0, 1.0)], empty.schema)).toPandas()
+    assert got.ingest_seq.tolist() == [huge]
+    got = imp.flag_implausible(spark.createDataFrame([(None, "X", 0, 1.0, 0.5, 1.0, 1.0, 1.0), (huge, "X", 60_000, 1.0, 0.5, 1.0, 1.0, 1.0)], empty.schema)).collect()
+    assert {g["ingest_seq"] for g in got} == {None, huge}
     twice = [(1, "X", 0, 1.0, 0.5, 1.0, 1.0, 1.0)] * 2
     assert imp.flag_implausible(spark.createDataFrame(twice, empty.schema)).count() == 2
 
