@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewright.functions.salting import salted_join
+from candlewright.functions.salting import sized_join
 from candlewright.session import materialise
 
 #: Grid steps, in minutes, that a series may have; used where no step is given.
@@ -314,12 +314,13 @@ def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: Spi
     scales = with_step(series_scales(feed), steps)
     scale = F.greatest(F.coalesce("_scale", F.lit(1e-6)), F.lit(1e-9))
     n, still, silent = F.col("_n"), F.coalesce("_still", F.lit(0.0)), F.coalesce("_silent", F.lit(0.0))
-    per_series = materialise(  # one row a series, so that the planner knows its size
+    per_series = materialise(  # one row a series
         scales.select("symbol", scale.alias("_scale"), F.coalesce("_logvol", F.lit(0.0)).alias("_logvol"), "_step", (scale * rules.still).alias("_tol"), _needed(rules, still, n).alias("_need_price"), _needed(rules, silent, n).alias("_need_silence"))
     )
+    n_series = per_series.count()
     unnamed = F.lit(-(2**63)).cast("bigint")  # stands for a NULL id, so that ids stay whole numbers in Python
     timed = feed.filter(F.col("ts").isNotNull()).select(F.coalesce("ingest_seq", unnamed).alias("ingest_seq"), *columns[1:])
-    rows = salted_join(timed, per_series.select("symbol", "_scale", "_logvol", "_step"), "symbol", "ts")
+    rows = sized_join(timed, per_series.select("symbol", "_scale", "_logvol", "_step"), "symbol", "ts", n_series)
     span = F.col("_step") * F.greatest(F.lit(rules.block_bars), F.ceil(F.lit(rules.block_days * DAY_MS) / F.col("_step")))
     edge = F.col("_step") * rules.edge_bars
     block = F.floor(F.col("ts") / span).cast("bigint")
@@ -335,13 +336,15 @@ def flag_implausible(feed: DataFrame, steps: DataFrame | None = None, rules: Spi
     judged = materialise(placed.groupBy("symbol", "_block").applyInPandas(lambda pdf: _judge(pdf, rules), _JUDGED))
 
     # runs over all blocks: one row a block
-    blocks = salted_join(judged.filter("price_n IS NOT NULL"), per_series.select("symbol", "_tol"), "symbol", "block")
+    blocks = judged.filter("price_n IS NOT NULL")
+    n_blocks = blocks.count()
+    blocks = sized_join(blocks, per_series.select("symbol", "_tol"), "symbol", "block", n_series)
     hits = judged.filter("price_n IS NULL").select("ingest_seq", "symbol", "ts", "block", "impossible", "spike", *[f"{k}_{x}" for k in RUNS for x in ("run", "at")])
-    hits = salted_join(hits, per_series.select("symbol", "_need_price", "_need_silence"), "symbol", "ts")
+    hits = sized_join(hits, per_series.select("symbol", "_need_price", "_need_silence"), "symbol", "ts", n_series)
     needed = {"price": F.col("_need_price"), "volume": F.lit(float(rules.least_run)), "silence": F.col("_need_silence")}
     stuck = F.lit(False)
     for k in RUNS:
-        hits = salted_join(hits, _whole_runs(blocks, k), ["symbol", "block"], "ts", salts=4, how="left")
+        hits = sized_join(hits, _whole_runs(blocks, k), ["symbol", "block"], "ts", n_blocks, salts=4, how="left")
         at, need = F.col(f"{k}_at"), needed[k]
         bit = lambda b: at.bitwiseAND(F.lit(b)) > 0  # noqa: E731, B023
         here = F.col(f"{k}_run") >= need

@@ -149,6 +149,20 @@ def test_decomposition_decides(spark, monkeypatch):
     assert len(at) == sum(q < 960 for q in quiet) and np.abs(m - np.median(m, 2, keepdims=True)).max() < plain
 
 
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    """Beyond the counted bound the joins with per-series and per-block tables shuffle, salted, and give the same."""
+    from candlewright.functions import salting
+
+    pdf = pd.concat([series("A"), series("B", seed=5, start=50_000)])
+    pdf.loc[pdf.ingest_seq.between(100, 140), "volume"] = 7.0
+    pdf.loc[pdf.ingest_seq == 50_300, "high"] *= 3
+    few = flags(spark, pdf, [("A", 60), ("B", 60)])
+    monkeypatch.setattr(salting, "MOST_BROADCAST", 0)
+    many = flags(spark, pdf, [("A", 60), ("B", 60)])
+    key = ["ingest_seq", "impossible", "spike", "stuck"]
+    assert few[key].sort_values("ingest_seq").values.tolist() == many[key].sort_values("ingest_seq").values.tolist() and len(few) == 41
+
+
 def test_ordinary_noise_is_no_spike():
     """Neither heavy tails nor days of their own spread make spikes, nor do few days or few bars."""
     rng = np.random.default_rng(4)
