@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 
 from pyspark import SparkContext
@@ -100,24 +99,36 @@ def gate(counts: DataFrame, keys: Sequence[str], least: dict[str, int]) -> DataF
     return sizes.withColumn("passes_gate", ok)
 
 
+def shuffled(number: Column, n: int, key: Column) -> Column:
+    """Where ``number`` (0 to n - 1) goes in a pseudo-random permutation of these numbers; another ``key``, another permutation.
+
+    A Feistel network of four rounds permutes a square of at least n numbers, and is applied until the result lies below n: each row
+    finds its place by itself. The number of steps leaves a row outside with a probability under 1e-18.
+    """
+    side = math.isqrt(max(n - 1, 0)) + 1
+    outside = 1 - n / side**2
+    steps = max(1, math.ceil(math.log(1e-18) / math.log(outside))) if outside > 0 else 1
+
+    def once(x: Column) -> Column:
+        halves = F.struct(F.floor(x / side).cast("bigint").alias("l"), (x % side).cast("bigint").alias("r"))
+        turn = lambda s, i: F.struct(s["r"].alias("l"), F.pmod(s["l"] + F.pmod(F.xxhash64(key, i, s["r"]), F.lit(side)), F.lit(side)).cast("bigint").alias("r"))
+        return F.aggregate(F.array(*[F.lit(i) for i in range(4)]), halves, turn, lambda s: s["l"] * side + s["r"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), number.cast("bigint"), lambda x, i: F.when((i > 1) & (x < n), x).otherwise(once(x)))
+
+
 def permutation_importance(model: GBTRegressionModel, rows: DataFrame, features: Sequence[str], order: Sequence[str], repeats: int = 5, seed: int = 42) -> DataFrame:
     """(feature, mean_drop, baseline): mean fall of the rank correlation when one feature's values are permuted.
 
-    Rows are numbered once; each permutation is i -> (a i + b) mod n with a coprime to n, so that permuted
+    Rows are numbered once, and ``shuffled`` numbers say whose value each row gets, so that permuted
     values come by an equi-join on row numbers. All features and repeats are scored in one transform.
     """
     numbered, n = number_rows(assemble(rows, features).select(*order, TARGET, vector_to_array("features").alias("_v")), order)
     if n < 3:
         raise ValueError(f"too few rows ({n})")
-    rng = random.Random(seed)
-    plans = []
-    for j in range(len(features)):
-        for r in range(repeats):
-            a = rng.randrange(1, n)
-            while math.gcd(a, n) != 1:
-                a = rng.randrange(1, n)
-            plans.append(F.struct(F.lit(j).alias("j"), F.lit(r).alias("r"), F.lit(a).cast("bigint").alias("a"), F.lit(rng.randrange(n)).cast("bigint").alias("b")))
-    spread = numbered.withColumn("_p", F.explode(F.array(*plans))).withColumn("_from", F.pmod(F.col("_p.a") * F.col("_number") + F.col("_p.b"), F.lit(n)))
+    plans = [F.struct(F.lit(j).alias("j"), F.lit(r).alias("r")) for j in range(len(features)) for r in range(repeats)]
+    spread = numbered.withColumn("_p", F.explode(F.array(*plans)))
+    spread = spread.withColumn("_from", shuffled(F.col("_number"), n, F.xxhash64(F.lit(seed), "_p.j", "_p.r")))
     values = numbered.select(F.col("_number").alias("_from"), F.col("_v").alias("_w"))
     swapped = spread.join(values, "_from").withColumn("_v", F.transform("_v", lambda x, i: F.when(i == F.col("_p.j"), F.get(F.col("_w"), i)).otherwise(x)))
     scored = model.transform(swapped.select(TARGET, "_p.j", "_p.r", array_to_vector("_v").alias("features"))).drop("features")

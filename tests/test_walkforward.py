@@ -70,6 +70,14 @@ def test_anchored_arm_gives_one_event_an_episode(p):
     assert len(events) and not events.duplicated([*wf.KEYS, "decision_pos"]).any() and (events.zone_length > 0).all()
 
 
+def test_shuffled_is_a_random_permutation(spark):
+    for n in (1, 2, 3, 10, 1000):
+        got = spark.range(n).select("id", *[model.shuffled(F.col("id"), n, F.lit(k)).alias(f"k{k}") for k in range(3)]).toPandas()
+        assert all(sorted(got[f"k{k}"]) == list(range(n)) for k in range(3))
+    assert (got.k0 != got.k1).mean() > 0.99 and max(abs(np.corrcoef(got.id, got[f"k{k}"])[0, 1]) for k in range(3)) < 0.12
+    assert abs(np.corrcoef(np.diff(got.k0)[:-1], np.diff(got.k0)[1:])[0, 1] + 0.5) < 0.1  # steps are not those of an affine map
+
+
 def test_fewer_rounds_are_a_prefix(spark):
     """Growing rounds until patience decides, and cutting there, gives what a full fit cut there gives."""
     rng = np.random.default_rng(0)
