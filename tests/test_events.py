@@ -40,6 +40,7 @@ def test_streak_with_gap(spark):
     assert got.above_run.tolist() == [1, 0, 0, 0, 1, 0, 0, 0]
 
 
+# This series and the positions and lengths expected of it below are those stated for the scan.
 def zone(spark, **kw):
     disp = [0.5 if 10 <= i <= 19 else 2.0 for i in range(40)]
     for i, v in kw.pop("disp", {}).items():
@@ -98,6 +99,7 @@ def test_episodes_equal_a_loop(spark, seed):
     assert [tuple(r)[1:] for r in got] == loop_episodes(disp, 0.5, 3, 2)
 
 
+# This series and what is expected of its episodes below are those stated for the latch and its anchors.
 def episode_frame(spark, **columns):
     disp = [0.5 if 10 <= i <= 24 else 2.0 for i in range(60)]
     for i, v in columns.pop("disp", {}).items():
