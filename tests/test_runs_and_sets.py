@@ -63,3 +63,20 @@ def test_only_small_results_reach_the_driver(spark, tmp_path, monkeypatch):
     assert sinks.markdown_table(spark.range(5)).count("\n") == 6
     sinks.write_table(spark.range(1000).selectExpr("id", "'A' AS symbol"), str(tmp_path / "t"), files=4)
     assert 1 <= len(list((tmp_path / "t" / "symbol=A").glob("*.parquet"))) <= 4 and spark.read.parquet(str(tmp_path / "t")).count() == 1000
+
+
+def test_p_values_against_closed_forms(spark):
+    """Student's t with one, two and three degrees of freedom has its tails in closed form."""
+    rows = [(n, r) for n in (3, 4, 5) for r in (-0.9, -0.3, 0.0, 0.1, 0.5, 0.99, 1.0)] + [(2, 0.5), (5, None)]
+    df = spark.createDataFrame(rows, "n long, pearson double").withColumn("spearman", ev.F.col("pearson"))
+    for g in ev.with_p_values(df).collect():
+        if g["n"] < 3 or g["pearson"] is None:
+            assert g["pearson_p"] is None
+            continue
+        k, r = g["n"] - 2, abs(g["pearson"])
+        t = np.inf if r == 1 else r * np.sqrt(k / (1 - r * r))
+        one = 2 / np.pi * np.arctan(t)
+        two = 1.0 if np.isinf(t) else t / np.sqrt(2 + t * t)
+        x = t / np.sqrt(3)
+        three = 1.0 if np.isinf(t) else 2 / np.pi * (x / (1 + x * x) + np.arctan(x))
+        assert g["pearson_p"] == g["spearman_p"] == pytest.approx(1 - {1: one, 2: two, 3: three}[k], abs=1e-12)
